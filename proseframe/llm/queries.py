@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats
 from .common import table
 from .decontaminate import find_contamination
+from .embedding_dedup import embedding_duplicates
 from .line_dedup import drop_common_lines
+from .lm_score import pseudo_likelihood
+from .minhash import near_duplicates
+from .packing import pack
+from .toxicity import score_toxicity
 from .url_filter import filter_urls
 
+#: The tokenizer that the contract of operator 4 fixes.
+TOKENIZER = "word_bpe_49k.json"
 #: The rules that the contract of operator 3 fixes.
 URL_RULES = [
     ("org", "/", "allow"),
@@ -23,6 +30,30 @@ URL_RULES = [
 ]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+OP2 = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM roots LEFT JOIN counts USING (vec_id)
+"""
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -47,6 +78,12 @@ FROM parts p LEFT JOIN fits f ON p.host = f.host AND p.path = f.path
 """
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=4096, end_id=2)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window_words=10)
     return found.select(
@@ -97,6 +134,29 @@ FROM k LEFT JOIN common USING (key) GROUP BY doc_id
 """
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+
+
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents),
+places AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS shingle FROM places),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM roots LEFT JOIN n USING (doc_id)
+"""
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
@@ -113,10 +173,18 @@ WHERE c.conv_id NOT IN (SELECT conv_id FROM snapshots)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_url_filter": op3_url_filter,
-    "op6_decontamination": op6_decontamination,
-    "op7_line_dedup": op7_line_dedup,
-    "op10_chat_format": op10_chat_format,
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_embedding_dedup, op3_url_filter, op4_packing, op6_decontamination,
+        op7_line_dedup, op8_minhash_dedup, op9_lm_score, op10_chat_format,
+    )
 }
 
-ORACLE_SQL = {"op3_url_filter": OP3, "op6_decontamination": OP6, "op7_line_dedup": OP7, "op10_chat_format": OP10}
+ORACLE_SQL = {
+    "op2_embedding_dedup": OP2,
+    "op3_url_filter": OP3,
+    "op6_decontamination": OP6,
+    "op7_line_dedup": OP7,
+    "op8_minhash_dedup": OP8,
+    "op10_chat_format": OP10,
+}
