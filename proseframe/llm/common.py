@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,3 +55,9 @@ def two_hashes(value: Column) -> Column:
 
 def any_of(parts: list[Column]) -> Column:
     return functools.reduce(lambda a, b: a | b, parts)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of finished jobs now, not whenever the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

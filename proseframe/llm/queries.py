@@ -15,6 +15,7 @@ from .line_dedup import drop_common_lines
 from .lm_score import pseudo_likelihood
 from .minhash import near_duplicates
 from .packing import pack
+from .suffix_dedup import remove_repeated_strings
 from .toxicity import score_toxicity
 from .url_filter import filter_urls
 
@@ -84,6 +85,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=4096, end_id=2)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_strings(table(spark, sf_dir, "documents"), length=200)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window_words=10)
     return found.select(
@@ -175,7 +180,7 @@ WHERE c.conv_id NOT IN (SELECT conv_id FROM snapshots)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_embedding_dedup, op3_url_filter, op4_packing, op6_decontamination,
+        op1_toxicity, op2_embedding_dedup, op3_url_filter, op4_packing, op5_suffix_dedup, op6_decontamination,
         op7_line_dedup, op8_minhash_dedup, op9_lm_score, op10_chat_format,
     )
 }
