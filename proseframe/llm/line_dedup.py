@@ -16,21 +16,22 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def drop_common_lines(documents: DataFrame, min_documents: int = 10, min_chars: int = 1) -> DataFrame:
+def drop_common_lines(documents: DataFrame, min_documents: int = 10, min_chars: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines whose key (see line_key) is found in at least min_documents documents.
 
     Texts are split at \\n; a null or empty text is one empty line. Keys shorter than min_chars code
     points are never dropped. A document is one distinct (doc_id, text); a line repeated inside it
     counts once, and rows repeated as a whole count once but are all returned. Keys are compared by
-    128 bits of hash. Columns other than doc_id and text are ignored; an empty table gives an
-    empty result.
+    128 bits of hash. Columns other than doc_id and text are ignored, but for those named in
+    `carry`, which come back in one struct `carried`. An empty table gives an empty result.
 
     Lines are exploded as hashes only and counted with map-side partial sums. Documents are counted
     for lines that are frequent at all. The texts move once, to meet the positions they lose.
 
-    Returns doc_id, text (as given), n_lines, n_dropped, kept_text.
+    Returns doc_id, text (as given), carried if asked for, n_lines, n_dropped, kept_text.
     """
-    docs = documents.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    docs = documents.select("doc_id", "text", *carried, row_key(F.col("doc_id"), F.col("text")).alias("row"))
     lines_of = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     lines = (
         docs.select("row", F.posexplode(lines_of).alias("position", "line"))
@@ -50,6 +51,7 @@ def drop_common_lines(documents: DataFrame, min_documents: int = 10, min_chars:
     return joined.withColumn("kept", kept).select(
         "doc_id",
         "text",
+        *(["carried"] if carry else []),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
         F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n").alias("kept_text"),
