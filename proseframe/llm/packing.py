@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -12,46 +13,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .textarrays import slices
 
-#: Chunks of text whose ids a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 400_000
-_tokenizers: dict[str, tuple] = {}
+#: Chunks of text whose ids a worker remembers: this many used lately, and as many used before them.
+REMEMBERED = 500_000
+#: Plain words that are encoded as one text.
+TOGETHER = 2_000
+_tokenizers: dict[str, TokenMemory] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _tokenizers:
+class TokenMemory:
+    """A tokenizer, and the ids of the chunks that it has lately encoded."""
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.recent: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        """Have the ids of all these chunks in `recent`."""
+        if len(self.recent) > REMEMBERED:
+            self.recent, self.older = {"": b""}, self.recent
+        missing = []
+        for c in chunks.difference(self.recent):
+            if (ids := self.older.get(c)) is None:
+                missing.append(c)
+            else:
+                self.recent[c] = ids
+        # chunks often differ by case or a closing mark alone; the pieces of such a chunk are tokenized apart anyway
+        parts = []
+        for c in missing:
+            tail = c[-1:] if c[-1:] in ",.;:!?" else ""
+            word = c[: len(c) - len(tail)]
+            if word.isascii():
+                parts.append((word.lower(), tail) if word.isalpha() else (c, ""))
+            else:  # a mark that comes with a letter would join the closing mark
+                parts.append((word, tail) if unicodedata.normalize("NFC", word).lower().isalpha() else (c, ""))
+        fresh = {x for pair in parts for x in pair}.difference(self.recent)
+        plain = [x for x in fresh if x.isalpha()] if self.ends_word.any() else []
+        other = list(fresh.difference(plain))
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) == len(some):
+                self.recent.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:  # some letter becomes several when lower-cased
+                other += some
+        for x, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.recent[x] = np.array(e.ids, "<u4").tobytes()
+        for c, (word, tail) in zip(missing, parts, strict=True):
+            self.recent[c] = self.recent[word] + self.recent[tail]
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit values, without special tokens.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    chunks between blanks and line feeds. Distinct chunks are encoded once and remembered.
+    chunks between blanks and line feeds. Distinct chunks are encoded once and remembered; plain
+    words are encoded many at a time and told apart by the tokens that end a word.
     """
-    tokenizer, known = _tokenizer(path)
+    memory = _tokenizers.get(path) or _tokenizers.setdefault(path, TokenMemory(path))
     chunks = [t.replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*chunks).difference(known)
-    if new:
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set().union(*chunks)
-        # plain words often differ by case or a closing mark alone; the rest of such a chunk is then known
-        word_of = {}
-        for c in new:
-            tail = c[-1:] if c[-1:] in ",.;:!?" else ""
-            word = c[: len(c) - len(tail)]
-            word_of[c] = (word.lower(), tail) if word.isascii() and word.isalpha() else (c, "")
-        fresh = sorted({x for pair in word_of.values() for x in pair if x} - known.keys())
-        for x, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        known[""] = b""
-        for c, (word, tail) in word_of.items():
-            known[c] = known[word] + known[tail]
-    return [b"".join(map(known.__getitem__, c)) for c in chunks]
+    memory.learn(set().union(*chunks))
+    return [b"".join(map(memory.recent.__getitem__, c)) for c in chunks]
 
 
 def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
@@ -64,8 +95,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int, end_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part, _, _ in slices(batch, "text", 4 << 20):
                 ids, rows = token_bytes([t or "" for t in part.column("text").to_pylist()], tokenizer_path), []
                 for doc_id, x in zip(part.column("doc_id").to_pylist(), ids, strict=True):
                     x += end
