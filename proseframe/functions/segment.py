@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ BREAK, HELD = "\u0001", "\u0002"
 _ABBREVIATION = r"(?i)(^|[\s(])(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\."
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for a row; inside higher-order functions it would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines_of(text: Column) -> Column:
     """All lines of a text in order; a trailing line feed yields a last empty line."""
     return F.split(text, "\n", -1)
@@ -81,10 +88,14 @@ def fenced_mask(lines: Column, same_marker: bool = False) -> Column:
     The toggle form counts every fence line; the same-marker form closes a fence only with the
     marker that opened it.
     """
+    is_fence = lambda s: s.rlike(r"^\s*(```|~~~)")
     if not same_marker:
-        fences = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"^\s*(```|~~~)"))
-        before = lambda i: F.size(F.filter(fences, lambda p: p < i))
-        return F.transform(lines, lambda s, i: s.rlike(r"^\s*(```|~~~)") | (before(i) % 2 == 1))
+
+        def toggled(ls: Column) -> Column:
+            fences = F.filter(F.transform(ls, lambda s, i: F.when(is_fence(s), i)), lambda i: i.isNotNull())
+            return let(fences, lambda at: F.transform(ls, lambda s, i: is_fence(s) | (F.size(F.filter(at, lambda p: p < i)) % 2 == 1)))
+
+        return let(lines, toggled)
     marker = lambda s: F.regexp_extract(s, r"^\s*(```|~~~)", 1)
     start = F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("mask"))
 
@@ -98,9 +109,8 @@ def fenced_mask(lines: Column, same_marker: bool = False) -> Column:
 
 def asserted_text(text: Column) -> Column:
     """A message without what it quotes: fenced lines, block quotes and indented code become empty lines."""
-    ls = lines_of(text)
-    masked = F.zip_with(ls, fenced_mask(ls), lambda s, f: F.when(f | s.rlike(r"^(\s*>| {4}|\t)"), "").otherwise(s))
-    return F.array_join(masked, "\n")
+    drop = lambda s, f: F.when(f | s.rlike(r"^(\s*>| {4}|\t)"), "").otherwise(s)
+    return F.array_join(let(lines_of(text), lambda ls: F.zip_with(ls, fenced_mask(ls), drop)), "\n")
 
 
 # Lines that are never prose.
@@ -123,28 +133,32 @@ def blocks_of(text: Column) -> Column:
     without a letter are verbatim, one block each. Other lines that follow one another are one
     prose block; a list marker starts a new one. A prose block of trailer lines alone is verbatim.
     """
-    ls = lines_of(text)
-    fence = fenced_mask(ls)
-    front = front_matter_end(ls)
-    prose = F.transform(ls, lambda s, i: ~(s.rlike(VERBATIM) | s.rlike(DIRECTIVE) | F.get(fence, i) | (i < front)))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(ls) - 1),
-        lambda i: (i == 0) | ~F.get(prose, i) | ~F.get(prose, i - 1) | F.get(ls, i).rlike(LIST_MARKER),
-    )
+    def prose_of(ls: Column) -> Column:
+        is_prose = lambda x, i, front: ~(x["line"].rlike(VERBATIM) | x["line"].rlike(DIRECTIVE) | x["fenced"] | (i < front))
+        zipped = F.zip_with(ls, fenced_mask(ls), lambda s, f: F.struct(s.alias("line"), f.alias("fenced")))
+        return let(front_matter_end(ls), lambda front: F.transform(zipped, lambda x, i: is_prose(x, i, front)))
 
-    def block(s: Column, k: Column) -> Column:
+    def starts_of(ls: Column, prose: Column) -> Column:
+        starts = lambda i: (i == 0) | ~F.get(prose, i) | ~F.get(prose, i - 1) | F.get(ls, i).rlike(LIST_MARKER)
+        return F.filter(F.sequence(F.lit(0), F.size(ls) - 1), starts)
+
+    def block(ls: Column, prose: Column, starts: Column, s: Column, k: Column) -> Column:
         end = F.coalesce(F.get(starts, k + 1), F.size(ls))
-        own = F.slice(ls, s + 1, end - s)
-        kind = F.when(F.get(prose, s) & ~F.forall(own, lambda x: x.rlike(TRAILER)), "prose").otherwise("verbatim")
-        first = F.get(ls, s)
-        trimmed = F.filter(F.transform(own, lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
-        return F.struct(
-            (k + 1).alias("block_no"), kind.alias("kind"), (s + 1).alias("start_line"), end.alias("end_line"),
-            F.regexp_extract(first, LIST_MARKER, 2).alias("marker"), F.regexp_extract(first, r"^([ \t]*)", 1).alias("indent"),
-            F.array_join(trimmed, " ").alias("text"),
-        )
 
-    return F.transform(starts, block)
+        def made(own: Column) -> Column:
+            first = F.get(own, F.lit(0))
+            trimmed = F.filter(F.transform(own, lambda x: F.btrim(x, F.lit(" \t\n\r"))), lambda x: x != "")
+            kind = F.when(F.get(prose, s) & ~F.forall(own, lambda x: x.rlike(TRAILER)), "prose").otherwise("verbatim")
+            return F.struct(
+                (k + 1).alias("block_no"), kind.alias("kind"), (s + 1).alias("start_line"), end.alias("end_line"),
+                F.regexp_extract(first, LIST_MARKER, 2).alias("marker"), F.regexp_extract(first, r"^([ \t]*)", 1).alias("indent"),
+                F.array_join(trimmed, " ").alias("text"),
+            )
+
+        return let(F.slice(ls, s + 1, end - s), made)
+
+    return let(lines_of(text), lambda ls: let(prose_of(ls), lambda prose: let(
+        starts_of(ls, prose), lambda starts: F.transform(starts, lambda s, k: block(ls, prose, starts, s, k)))))
 
 
 def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -168,37 +182,43 @@ def mask_prose(text: Column) -> Column:
 
 def sections(docs: DataFrame, level: int = 2, text: str = "text") -> DataFrame:
     """doc_id, section_no, heading, n_lines, n_chars: what each heading of at most `level` opens; 0 is what stands before the first."""
-    ls, fence = lines_of(F.col(text)), fenced_mask(lines_of(F.col(text)))
-    heads = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.get(ls, i).rlike(f"^#{{1,{level}}} ") & ~F.get(fence, i))
-    starts = F.array_distinct(F.concat(F.array(F.lit(0)), heads))
+    heading = f"^#{{1,{level}}} "
+
+    def of_lines(ls: Column, fence: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.get(ls, i).rlike(heading) & ~F.get(fence, i))
 
-    def section(s: Column, k: Column) -> Column:
-        own = F.slice(ls, s + 1, F.coalesce(F.get(starts, k + 1), F.size(ls)) - s)
-        return F.struct(
-            (k + F.when(F.array_contains(heads, 0), 1).otherwise(0)).alias("section_no"),
-            F.when(F.get(ls, s).rlike(f"^#{{1,{level}}} ") & ~F.get(fence, s), F.regexp_replace(F.get(ls, s), "^#+ +", "")).alias("heading"),
-            F.size(own).alias("n_lines"), F.length(F.array_join(own, "\n")).alias("n_chars"),
-        )
+        def section(starts: Column, s: Column, k: Column) -> Column:
+            is_head = F.get(ls, s).rlike(heading) & ~F.get(fence, s)
+            opens = F.get(ls, F.lit(0)).rlike(heading) & ~F.get(fence, F.lit(0))
+            own = F.slice(ls, s + 1, F.coalesce(F.get(starts, k + 1), F.size(ls)) - s)
+            return F.struct(
+                (k + F.when(opens, 1).otherwise(0)).alias("section_no"), F.when(is_head, F.regexp_replace(F.get(ls, s), "^#+ +", "")).alias("heading"),
+                F.size(own).alias("n_lines"), F.length(F.array_join(own, "\n")).alias("n_chars"),
+            )
 
-    return docs.select("doc_id", F.explode(F.transform(starts, section)).alias("s")).select("doc_id", "s.*")
+        return let(F.array_distinct(F.concat(F.array(F.lit(0)), heads)), lambda starts: F.transform(starts, lambda s, k: section(starts, s, k)))
+
+    found = let(lines_of(F.col(text)), lambda ls: let(fenced_mask(ls), lambda fence: of_lines(ls, fence)))
+    return docs.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
 
 
 def comment_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, start_line, end_line, prefix, n_lines, text of runs of line comments (//, #, --); blank lines end a run."""
-    ls = lines_of(F.col(text))
     mark = r"^\s*(//|#|--)"
-    starts = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.get(ls, i).rlike(mark) & ((i == 0) | ~F.get(ls, i - 1).rlike(mark)))
-    others = F.filter(F.sequence(F.lit(0), F.size(ls)), lambda i: ~F.coalesce(F.get(ls, i).rlike(mark), F.lit(False)))
-
-    def run(s: Column) -> Column:
-        end = F.array_min(F.filter(others, lambda i: i > s))
-        own = F.slice(ls, s + 1, end - s)
-        return F.struct(
-            (s + 1).alias("start_line"), end.alias("end_line"), F.regexp_extract(F.get(ls, s), mark, 1).alias("prefix"), F.size(own).alias("n_lines"),
-            F.array_join(F.transform(own, lambda x: F.btrim(F.regexp_replace(x, mark + "+", ""), F.lit(" \t"))), " ").alias("text"),
-        )
-
-    return docs.select("doc_id", F.explode(F.transform(starts, run)).alias("r")).select("doc_id", "r.*")
+
+    def of_lines(ls: Column) -> Column:
+        marked = lambda i: F.coalesce(F.get(ls, i).rlike(mark), F.lit(False))
+        starts = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: marked(i) & ((i == 0) | ~marked(i - 1)))
+        ends = F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: marked(i - 1) & ~marked(i))
+
+        def run(s: Column, end: Column) -> Column:
+            own = F.slice(ls, s + 1, end - s)
+            said = F.array_join(F.transform(own, lambda x: F.btrim(F.regexp_replace(x, mark + "+", ""), F.lit(" \t"))), " ")
+            return F.struct((s + 1).alias("start_line"), end.alias("end_line"), F.regexp_extract(F.get(ls, s), mark, 1).alias("prefix"), (end - s).alias("n_lines"), said.alias("text"))
+
+        return F.zip_with(starts, ends, run)
+
+    return docs.select("doc_id", F.explode(let(lines_of(F.col(text)), of_lines)).alias("r")).select("doc_id", "r.*")
 
 
 def table_cells(docs: DataFrame, text: str = "text") -> DataFrame:

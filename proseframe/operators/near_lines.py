@@ -84,7 +84,9 @@ def merged_ranges(ranges: DataFrame, key: list[str]) -> DataFrame:
 def without_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """docs(doc_id, text) without the lines of ranges(doc_id, start, end)."""
     cut = ranges.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "end")))).alias("cut"))
-    ls = S.lines_of(F.col("text"))
-    kept: Column = F.array_except(F.sequence(F.lit(1), F.size(ls)), F.coalesce("cut", F.array().cast("array<int>")))
-    rows = docs.join(cut, "doc_id", "left")
-    return rows.withColumn("text", F.array_join(F.transform(kept, lambda i: F.get(ls, i - 1)), "\n")).drop("cut")
+
+    def left(ls: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(1), F.size(ls)), F.coalesce("cut", F.array().cast("array<int>")))
+        return F.transform(kept, lambda i: F.get(ls, i - 1))
+
+    return docs.join(cut, "doc_id", "left").withColumn("text", F.array_join(S.let(S.lines_of(F.col("text")), left), "\n")).drop("cut")

@@ -33,9 +33,9 @@ def _places(text: Column, pattern: str) -> Column:
     """array<struct<start, token>> of a pattern's matches, from the lengths of what stands between them."""
     tokens = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
     between = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(tokens, F.length)
-    start = lambda i: F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)
-    return F.transform(tokens, lambda t, i: F.struct(start(i).alias("start"), t.alias("token")))
+    total = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + x)
+    places = lambda ts, gaps, sizes: F.transform(ts, lambda t, i: F.struct((total(gaps, i + 1) + total(sizes, i)).alias("start"), t.alias("token")))
+    return S.let(tokens, lambda ts: S.let(between, lambda gaps: S.let(F.transform(ts, F.length), lambda sizes: places(ts, gaps, sizes))))
 
 
 def references(docs: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:

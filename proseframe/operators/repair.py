@@ -75,11 +75,11 @@ def joined_lines(text: Column) -> Column:
 
     The words of the result are those of the text in the same order, else the text stays.
     """
-    ls, blocks = S.lines_of(text), S.blocks_of(text)
-    one = F.transform(blocks, lambda b: F.when(b["kind"] == "prose", F.concat(b["indent"], b["text"])).otherwise(F.array_join(F.slice(ls, b["start_line"], b["end_line"] - b["start_line"] + 1), "\n")))
-    new = F.array_join(one, "\n")
-    same = F.regexp_replace(new, r"\s+", " ") == F.regexp_replace(F.btrim(text), r"\s+", " ")
-    return F.when(same | (F.btrim(F.regexp_replace(new, r"\s+", " ")) == F.btrim(F.regexp_replace(text, r"\s+", " "))), new).otherwise(text)
+    raw = lambda ls, b: F.array_join(F.slice(ls, b["start_line"], b["end_line"] - b["start_line"] + 1), "\n")
+    one = lambda ls: F.transform(S.blocks_of(text), lambda b: F.when(b["kind"] == "prose", F.concat(b["indent"], b["text"])).otherwise(raw(ls, b)))
+    new = F.array_join(S.let(S.lines_of(text), one), "\n")
+    flat = lambda t: F.btrim(F.regexp_replace(t, r"\s+", " "))
+    return S.let(new, lambda n: F.when(flat(n) == flat(text), n).otherwise(text))
 
 
 def sections_to_move(sections: DataFrame, total: Column, target: int) -> DataFrame:

@@ -177,8 +177,8 @@ def spliced_commas(text: Column) -> Column:
     dependent = rf"(?i)^(?:(?:{one_of(L.class_words('subordinator-conjunction'))})\s+)?(?:{one_of(L.class_words('subordinator'))}){high}"
     clause = lambda b: ~b.rlike(dependent) & b.rlike(f"(?i){low}(?:{verb}){high}") & (F.size(F.split(b, r"\s+")) >= 3)
     joined = lambda m: m.rlike(rf"(?i)^,\s+(?:{one_of(L.class_words('splice-conjunction'))})\s+(?:{subject})\s")
-    hits = F.transform(pieces, lambda p, i: F.when((i > 0) & (joined(match(p)) | clause(before(F.get(pieces, i - 1)))), match(p)))
-    return F.array_compact(hits)
+    hits = lambda ps: F.transform(ps, lambda p, i: F.when((i > 0) & (joined(match(p)) | clause(before(F.get(ps, i - 1)))), match(p)))
+    return F.array_compact(S.let(pieces, hits))
 
 
 @rule("english/comma-splice", cases=(Case("bare", "The cache holds rows, it drops them."), Case("list", "It holds rows, keys and files.", False), Case("dependent", "If the cache is cold, it waits.", False)))
@@ -254,8 +254,8 @@ def file_budget(s: Segments) -> DataFrame:
 def wide_line(s: Segments) -> DataFrame:
     """Lines over the column limit, but not in fences and tables, nor where no blank lets them break."""
     cap = s.limit("line_columns", L.LINE_COLUMNS)
-    ls = S.lines_of(F.col("text"))
-    rows = s.docs.select("doc_id", F.posexplode(F.arrays_zip(ls.alias("line"), S.fenced_mask(ls).alias("fenced"))).alias("at", "l")).select("doc_id", (F.col("at") + 1).alias("no"), "l.*")
+    zipped = lambda ls: F.zip_with(ls, S.fenced_mask(ls), lambda x, f: F.struct(x.alias("line"), f.alias("fenced")))
+    rows = s.docs.select("doc_id", F.posexplode(S.let(S.lines_of(F.col("text")), zipped)).alias("at", "l")).select("doc_id", (F.col("at") + 1).alias("no"), "l.*")
     rows = rows.where((F.length("line") > cap) & ~F.col("fenced") & ~F.col("line").rlike(r"^\s*\|") & F.btrim("line").rlike(r"\s"))
     return _found(rows, F.col("no"), F.col("no"), F.lit(f"over {cap} columns"), F.col("line"), "Wrap it.")
 
@@ -287,10 +287,9 @@ def noun_cluster(s: Segments) -> DataFrame:
 def verb_forms(words: Column) -> Column:
     """Places and kinds of `be` + participle (passive), `have` + participle (perfect) and `be` + -ing (progressive)."""
     participles = sorted({p for _, _, p in L.VERBS})
-    lower = F.transform(words, F.lower)
     participle = lambda w: w.isin(participles) | w.rlike("^[a-z]{2,}ed$")
 
-    def form(w: Column, i: Column) -> Column:
+    def form(lower: Column, w: Column, i: Column) -> Column:
         before = F.get(lower, i - 1)
         kind = (
             F.when(before.isin(L.class_words("be")) & participle(w), "passive")
@@ -299,7 +298,7 @@ def verb_forms(words: Column) -> Column:
         )
         return F.when((i > 0) & kind.isNotNull(), F.struct(i.alias("pos"), kind.alias("kind"), F.concat_ws(" ", before, w).alias("form")))
 
-    return F.array_compact(F.transform(lower, form))
+    return F.array_compact(S.let(F.transform(words, F.lower), lambda lower: F.transform(lower, lambda w, i: form(lower, w, i))))
 
 
 def _forms(s: Segments, kinds: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -298,12 +298,12 @@ def d19_class_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = F.transform(S.words_of(F.col("text")), F.lower)
     rows = docs_of(spark, sf_dir).select("doc_id", lower.alias("w"))
 
-    def match(w: F.Column, i: F.Column) -> F.Column:
-        a, b = F.get("w", i + 1), F.get("w", i + 2)
+    def match(all_words: Column, w: Column, i: Column) -> Column:
+        a, b = F.get(all_words, i + 1), F.get(all_words, i + 2)
         fits = w.isin(DETERMINER) & ~a.isin(rules.closed_class_words()) & b.isin(PREPOSITION)
         return F.when(fits, F.struct(i.alias("pos"), F.concat_ws(" ", w, a, b).alias("phrase")))
 
-    return rows.select("doc_id", F.explode(F.array_compact(F.transform("w", match))).alias("m")).select("doc_id", "m.pos", "m.phrase")
+    return rows.select("doc_id", F.explode(F.array_compact(S.let(F.col("w"), lambda ws: F.transform(ws, lambda w, i: match(ws, w, i))))).alias("m")).select("doc_id", "m.pos", "m.phrase")
 
 
 # --- aggregations ----------------------------------------------------------------------------------
