@@ -74,7 +74,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window_words:
     """
     windows = written(item_windows(benchmark, window_words, shingle_words), "windows")
     sizes = [r["size"] for r in windows.select(F.explode("shingles").alias("s")).select("s.size").distinct().collect()]  # 3 at most
-    vocabulary = windows.select(F.explode("shingles.shingle").alias("shingle")).distinct()
+    vocabulary = written(windows.select(F.explode("shingles.shingle").alias("shingle")).distinct(), "benchmark-shingles")
 
     docs = documents.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row"))
     worded = docs.select("row", words_of(F.col("text")).alias("words"))
@@ -116,8 +116,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window_words:
         m["shingle"].alias("shingle"), m["place"].alias("place"), first(m).alias("first"),
         F.slice("words", first(m) + 1, 2 * window_words).alias("near"),
     )
-    starts = (
-        docs.join(matched, "row")
+    starts = (  # what matched grows with the documents, so it is never broadcast
+        docs.join(matched.hint("merge"), "row")
         .select("row", words_of(F.col("text")).alias("words"), "matches")
         .select("row", F.explode(F.transform("matches", around)).alias("m"))
         .join(rarest, F.col("m.shingle") == F.col("shingle"))
@@ -136,10 +136,11 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window_words:
     )
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["window_size"] - 1))))
     hits = hits.select("row", F.size(covered).cast("long").alias("n_hit"), "items")
-    return docs.join(hits, "row", "left").select(
+    counted = docs.withColumn("n_words", F.size(words_of(F.col("text"))).cast("long"))  # below the join, which then needs no text
+    return counted.join(hits, "row", "left").select(
         "doc_id",
         "text",
-        F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
+        "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
