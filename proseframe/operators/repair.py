@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import segment as S
 
@@ -12,21 +11,25 @@ from ..functions import segment as S
 def gate_edits(docs: DataFrame, edits: DataFrame, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(admitted, refused) of edits(doc_id, start, end, text): characters from zero, end exclusive.
 
-    Refused are edits outside the text, edits that overlap one that starts before them (or, starting
-    there too, ends before), and with scope(doc_id, start, end) those that no range of it holds.
+    Edits are read in the order of their starts, then ends. Refused are those outside the text, those
+    that overlap an edit admitted before, and with scope(doc_id, start, end) those that no range of
+    it holds.
     """
+    keep = ["doc_id", "start", "end", "text"]
     rows = edits.join(docs.select("doc_id", F.length("text").alias("_n")), "doc_id", "left")
-    place = W.partitionBy("doc_id").orderBy("start", "end", "text")
-    reach = F.max("end").over(place.rowsBetween(W.unboundedPreceding, -1))
     inside = (F.col("start") >= 0) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.col("_n"))
-    rows = rows.withColumn("_ok", F.coalesce(inside, F.lit(False)) & (reach.isNull() | (F.col("start") >= reach)))
     if scope is not None:
         ranges = scope.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_ranges"))
         rows = rows.join(ranges, "doc_id", "left")
-        held = F.exists("_ranges", lambda r: (r["start"] <= F.col("start")) & (F.col("end") <= r["end"]))
-        rows = rows.withColumn("_ok", F.col("_ok") & F.coalesce(held, F.lit(False))).drop("_ranges")
-    keep = ["doc_id", "start", "end", "text"]
-    return rows.where("_ok").select(keep), rows.where("not _ok").select(keep)
+        inside = inside & F.exists("_ranges", lambda r: (r["start"] <= F.col("start")) & (F.col("end") <= r["end"]))
+    rows = rows.withColumn("_ok", F.coalesce(inside, F.lit(False)))
+    ordered = rows.where("_ok").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("_edits"))
+    start = F.array().cast("array<struct<start: int, end: int, text: string>>")
+    free = lambda kept, e: (F.size(kept) == 0) | (e["start"] >= F.get(kept, F.size(kept) - 1)["end"])
+    cast = F.col("_edits").cast("array<struct<start: int, end: int, text: string>>")
+    kept = F.aggregate(cast, start, lambda kept, e: F.when(free(kept, e), F.array_append(kept, e)).otherwise(kept))
+    admitted = ordered.select("doc_id", F.explode(kept).alias("e")).select("doc_id", "e.*")
+    return admitted, edits.select(keep).exceptAll(admitted.select(keep))
 
 
 def splice(docs: DataFrame, edits: DataFrame) -> DataFrame:

@@ -668,12 +668,12 @@ def r3_messages_without_long_sentences(spark: SparkSession, sf_dir: str) -> Data
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.cast("binary")).alias("digest"))
 
 
-@query(f"""WITH {SQL_NEAR}, cut AS (SELECT DISTINCT doc_b AS doc_id, unnest(range("start", "end" + 1)) AS line_no FROM por)
+@query(f"""WITH {SQL_NEAR.replace('share >= 0.95', 'share >= 0.6')}, cut AS (SELECT DISTINCT doc_b AS doc_id, unnest(range("start", "end" + 1)) AS line_no FROM por)
 SELECT l.doc_id, count(*) AS n_kept, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM l WHERE (doc_id, line_no) NOT IN (SELECT doc_id, line_no FROM cut) AND doc_id IN (SELECT doc_b FROM near) GROUP BY l.doc_id""")
 def r4_later_copies_without_portions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of later copies; those of which nothing is left have no row."""
+    """What is left of later copies that share 0.6 of their lines; those of which nothing is left have no row."""
     docs = docs_of(spark, sf_dir)
-    pairs = near_lines.near_duplicates(docs)
+    pairs = near_lines.near_duplicates(docs, 0.6)
     ranges = near_lines.copied_portions(docs, pairs).select(F.col("doc_b").alias("doc_id"), "start", "end")
     later = docs.join(pairs.select(F.col("doc_b").alias("doc_id")), "doc_id", "left_semi")
     left = near_lines.without_ranges(later, near_lines.merged_ranges(ranges, ["doc_id"]))
