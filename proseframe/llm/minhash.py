@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .components import connected_components
 from .textarrays import mixed, slices, span_hashes, words
 
@@ -18,10 +18,14 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 BANDS, BAND_ROWS = 32, 4
-SKETCH_WORDS = 4  # of 64 bits
+SAMPLES = 256  # of which the first BANDS * BAND_ROWS make the bands, and all the sketch
+SKETCH_WORDS = 8  # of 64 bits, of the samples
+WHOLE_WORDS = 16  # of 64 bits, of the whole set
+#: Members of a bucket's main component that each other member is tried against in a round, and how many of all these in full.
+PIVOTS, TRIED, ROUNDS = 2, 4, 1
 _seeded = np.random.default_rng(8)
-_FLIP = _seeded.integers(0, 2**32, BANDS * BAND_ROWS, dtype=np.uint32)
-_TIMES = _seeded.integers(0, 2**31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _seeded.integers(0, 2**32, SAMPLES, dtype=np.uint32)
+_TIMES = _seeded.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -46,45 +50,50 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return out
 
 
-def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, odd sketches) of non-empty sets."""
+def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(band keys, odd sketches of the samples, odd sketches of the whole sets) of non-empty sets."""
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    least = np.empty((len(sets), BANDS * BAND_ROWS), np.uint64)
-    for k in range(BANDS * BAND_ROWS):
+    least = np.empty((len(sets), SAMPLES), np.uint64)
+    for k in range(SAMPLES):
         least[:, k] = np.minimum.reduceat((flat ^ _FLIP[k]) * _TIMES[k], at)
     keys = np.zeros((len(sets), BANDS), np.uint64)
     for j in range(BAND_ROWS):
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, j::BAND_ROWS] + np.arange(BANDS, dtype=np.uint64) * np.uint64(1 << 33))
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, j : BANDS * BAND_ROWS : BAND_ROWS] + np.arange(BANDS, dtype=np.uint64) * np.uint64(1 << 33))
     # each sample (function, minimum) turns over one bit
-    samples = mixed(least + (np.arange(BANDS * BAND_ROWS, dtype=np.uint64) << np.uint64(32)))
+    samples = mixed(least + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)))
     bits = (samples % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
     odd = np.zeros((len(sets), 64 * SKETCH_WORDS), np.uint8)
     np.add.at(odd, (np.arange(len(sets))[:, None], bits), 1)
-    return keys.view(np.int64), np.packbits(odd & 1, axis=1, bitorder="little").view(np.int64)
+    # and so does each shingle in a second bitmap
+    whole = np.zeros((len(sets), 64 * WHOLE_WORDS), np.uint8)
+    flat = np.concatenate(sets)
+    np.add.at(whole, (np.repeat(np.arange(len(sets)), [len(s) for s in sets]), (mixed(flat) % np.uint64(64 * WHOLE_WORDS)).astype(np.int64)), 1)
+    packed = lambda bits: np.packbits(bits & 1, axis=1, bitorder="little").view(np.int64)
+    return keys.view(np.int64), packed(odd), packed(whole)
 
 
 def sketches(documents: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, keys, sketch) of each row; set_a and set_b name its shingle set."""
+    """(doc_id, n_shingles, set_a, set_b, keys, sketch, whole) of each row; set_a and set_b name its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 sets = shingle_sets(data, offsets, shingle_words)
                 full = [k for k, s in enumerate(sets) if len(s)]
-                keys, odd = [None] * len(sets), [None] * len(sets)
+                keys, odd, whole = ([None] * len(sets) for _ in range(3))
                 if full:
-                    for k, a, b in zip(full, *_signatures([sets[k] for k in full]), strict=True):
-                        keys[k], odd[k] = a, b
+                    for k, *found in zip(full, *_signatures([sets[k] for k in full]), strict=True):
+                        keys[k], odd[k], whole[k] = found
                 names = [[int(mixed(s + np.uint64(seed)).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for seed in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(n, pa.int64()) for n in names),
-                     pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "keys", "sketch"],
+                     *(pa.array(x, pa.list_(pa.int64())) for x in (keys, odd, whole))],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "keys", "sketch", "whole"],
                 )
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>"
+        run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>, whole array<long>"
     )
 
 
@@ -104,36 +113,45 @@ def full_sets(documents: DataFrame, shingle_words: int) -> DataFrame:
     return documents.mapInArrow(run, "node long, shingles array<long>")
 
 
-def sketch_distance_limit(threshold: float) -> int:
-    """Sketches of sets at the threshold differ in more bits than this only beyond seven standard errors.
+def _distance(kind: str, a: str, b: str, longs: int) -> Column:
+    """Bits in which two sketches differ; each of their longs is a column of its own, which joins test fastest."""
+    return sum((F.bit_count(F.col(f"{kind}{k}_{a}").bitwiseXOR(F.col(f"{kind}{k}_{b}"))) for k in range(longs)), F.lit(0))
 
-    With k samples of similarity J, 2k(1 - J) samples differ, and m differing samples turn over
-    n/2 (1 - (1 - 2/n)**m) of n bits.
+
+def _allowed(percent: int, a: str, b: str) -> Column:
+    """Sizes and whole-set sketches of two nodes allow the threshold.
+
+    A bit in which the sketches differ takes a shingle in one set only, so the distance never
+    exceeds the symmetric difference, which at a similarity of t is (1 - t) / (1 + t) of both sizes
+    together. Nothing that reaches the threshold is ruled out.
     """
-    k, n = BANDS * BAND_ROWS, 64 * SKETCH_WORDS
-    low = max(0.0, threshold - 7 * (threshold * (1 - threshold) / k) ** 0.5)
-    return int(np.ceil(n / 2 * (1 - (1 - 2 / n) ** (2 * k * (1 - low)))))
+    sizes = 100 * F.least(f"n_{a}", f"n_{b}") >= percent * F.greatest(f"n_{a}", f"n_{b}")
+    return sizes & ((100 + percent) * _distance("whole", a, b, WHOLE_WORDS) <= (100 - percent) * (F.col(f"n_{a}") + F.col(f"n_{b}")))
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those pairs(a, b) whose sizes and sketches allow the threshold, with the sketches' distance."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
-    distance: Column = sum((F.bit_count(F.get("s_a", k).bitwiseXOR(F.get("s_b", k))) for k in range(SKETCH_WORDS)), F.lit(0))
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .withColumn("distance", distance)
-        .where(F.col("distance") <= sketch_distance_limit(percent / 100))
-        .select("a", "b", "distance")
-    )
+def _named(nodes: DataFrame, name: str, samples: bool = False) -> DataFrame:
+    """The nodes with all columns marked by a name."""
+    kinds = [("whole", WHOLE_WORDS)] + [("sketch", SKETCH_WORDS)] * samples
+    parts = [F.get(kind, k).alias(f"{kind}{k}_{name}") for kind, n in kinds for k in range(n)]
+    return nodes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), *parts)
+
 
+def _best(pairs: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
+    """Of pairs(a, b), for each b the `most` ones with the nearest sketches of samples, so the most alike, that the threshold allows."""
+    near = pairs.join(_named(nodes, "a", True), "a").join(_named(nodes, "b", True), "b").where(_allowed(percent, "a", "b"))
+    near = near.select("a", "b", _distance("sketch", "a", "b", SKETCH_WORDS).alias("distance"))
+    ranked = near.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "a"))), 1, most).alias("nearest"))
+    return ranked.select(F.explode("nearest.a").alias("a"), "b")
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Those pairs(a, b) of document ids whose full sets reach the threshold."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(needed, "node", "left_semi")
-    sets = written(full_sets(texts, shingle_words), "full-sets")
+
+def _sets_of(nodes: DataFrame, documents: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, shingles) of the documents whose ids are nodes(node)."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    return written(full_sets(texts, shingle_words), "full-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs(a, b) whose full sets reach the threshold."""
     both = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -151,12 +169,13 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     returned; other columns are ignored; empty tables give an empty result.
 
     Equal sets are one node, so copies cost nothing. Nodes meet in buckets of 32 bands of 4 minima
-    (a pair at 0.8 is missed by all bands with probability 5e-8). In each bucket every node is
-    paired with the smallest one only; odd sketches, folded from the 128 minima, give each node its
-    best such partner, which the full sets confirm. Where a bucket then still holds several
-    components, the nodes outside its main one are paired with all nodes of other components that
-    the sketches allow, and confirmed likewise. So no link between components is lost that a band
-    holds, and groups of copies are not expanded into all their pairs.
+    (a pair at 0.8 is missed by all bands with probability 5e-8). Odd sketches of 256 minima tell
+    which partners in a bucket are the most alike, odd sketches of whole sets which cannot be; full
+    sets decide. First every node is tried against the nearest few of its buckets' smallest nodes. While
+    buckets hold several components, the nodes outside a bucket's main one are tried against the
+    nearest of some random members of it; that joins large groups without expanding their pairs.
+    Nodes that stay apart are at last tried against all members of other components in their
+    buckets that the sketches allow, so no link between components is lost that a band holds.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is that
     smallest; true for null ids).
@@ -167,7 +186,7 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     nodes = (
         usable.join(classes.select("node", "set_a", "set_b"), ["set_a", "set_b"])
         .where(F.col("doc_id") == F.col("node"))
-        .select("node", "n_shingles", "keys", "sketch")
+        .select("node", "n_shingles", "keys", "sketch", "whole")
     )
     nodes = written(nodes, "nodes")
     members = nodes.select("node", F.explode("keys").alias("bucket"))
@@ -176,27 +195,44 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     )
     members = written(members.join(shared, "bucket"), "members")
     stars = members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    allowed = written(_alike(stars, nodes, percent), "star-pairs")
-    best = allowed.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = written(_confirmed(best, documents, shingle_words, percent), "first-links")
-    roots = connected_components(links)
-
-    # buckets with several components
-    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    placed = written(placed, "placed")
-    by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where(F.col("roots") > 1)
-    main = written(main.select("bucket", F.col("main.root").alias("main")), "mixed-buckets")
-    mixed_members = placed.join(main, "bucket")
-    mixed_members = written(mixed_members, "mixed-members")
-    others = mixed_members.where(F.col("root") != F.col("main")).select("bucket", F.col("node").alias("p"), F.col("root").alias("p_root"))
-    cross = (
-        mixed_members.select("bucket", "node", "root").join(others, "bucket").where(F.col("root") != F.col("p_root"))
-        .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    )
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = written(_alike(cross.join(tried, ["a", "b"], "left_anti"), nodes, percent).select("a", "b"), "cross-pairs")
-    links = links.union(_confirmed(cross, documents, shingle_words, percent))
+    first = written(_best(stars, nodes, percent, TRIED), "first-pairs")
+    needed = written(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+    links = written(_confirmed(first, _sets_of(needed, documents, shingle_words), percent), "links")
+    release(documents.sparkSession)
+
+    sets, apart = None, None
+    for turn in range(ROUNDS + 1):
+        placed = members.join(connected_components(links), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        placed = written(placed, "placed")
+        by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        main = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where(F.col("roots") > 1)
+        members = written(placed.join(main.select("bucket", F.col("main.root").alias("main")), "bucket"), "mixed-buckets")
+        others = members.where(F.col("root") != F.col("main"))
+        n_apart = others.select("node").distinct().count()
+        if turn == ROUNDS or n_apart == apart:  # a round without success: what is left is tried in full
+            break
+        apart = n_apart
+        if sets is None:
+            sets = _sets_of(written(members.select("node").distinct(), "needed"), documents, shingle_words)
+        in_main = members.where(F.col("root") == F.col("main"))
+        pivots = in_main.groupBy("bucket").agg(F.array_distinct(F.array(
+            *(F.min_by("node", F.xxhash64("node", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)))).alias("pivots"))
+        tries = others.join(pivots, "bucket").select(F.explode("pivots").alias("a"), F.col("node").alias("b")).distinct()
+        found = _confirmed(written(_best(tries, nodes, percent, TRIED), "tries"), sets, percent)
+        links = written(links.union(found), "links")
+        members = members.select("bucket", "node")
+        release(documents.sparkSession)
+
+    if sets is not None and apart:
+        known = members.join(_named(nodes, "x"), F.col("node") == F.col("x"))
+        known = written(known.drop("node"), "mixed-members")
+        left = known.where(F.col("root") != F.col("main")).drop("main")
+        left = left.select(*(F.col(c).alias(c[:-1] + "y" if c == "x" or c.endswith("_x") else f"{c}_y") for c in left.columns))
+        # the test is part of the join, so only pairs that the sketches allow leave it
+        plausible = known.join(left, (F.col("bucket") == F.col("bucket_y")) & (F.col("root") != F.col("root_y")) & _allowed(percent, "x", "y"))
+        cross = written(plausible.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cross-pairs")
+        links = written(links.union(_confirmed(cross, sets, percent)), "links")
+        release(documents.sparkSession)
     # documents that carry several sets under one id, and equal sets, are linked by their ids
     roots = written(connected_components(links.union(usable.join(classes.where("n > 1"), ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")))), "roots")
     return (

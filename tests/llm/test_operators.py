@@ -152,13 +152,17 @@ def test_minhash(spark, size):
     assert minhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
-def test_odd_sketches_estimate_similarity():
+def test_odd_sketches_estimate_similarity_and_bound_difference():
     rng = np.random.default_rng(3)
-    common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (900, 50, 50))
-    _, odd = minhash._signatures([np.unique(np.concatenate((common, a))), np.unique(np.concatenate((common, b)))])
-    z, n = int(np.unpackbits((odd[0] ^ odd[1]).view(np.uint8)).sum()), 64 * minhash.SKETCH_WORDS
-    estimate = 1 - (-n / 2 * np.log(1 - 2 * z / n)) / (2 * minhash.SAMPLES)
-    assert abs(estimate - 0.9) < 0.08 and z <= minhash.sketch_distance_limit(0.8)
+    for n_common, n_own in ((900, 50), (200, 30), (5000, 900), (1, 1)):
+        common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (n_common, n_own, n_own))
+        _, odd, whole = minhash._signatures([np.unique(np.concatenate((common, a))), np.unique(np.concatenate((common, b)))])
+        bits = lambda x: int(np.unpackbits((x[0] ^ x[1]).view(np.uint8)).sum())
+        assert bits(whole) <= 2 * n_own
+        n = 64 * minhash.SKETCH_WORDS
+        if n_common > 1:
+            estimate = 1 - (-n / 2 * np.log(1 - 2 * bits(odd) / n)) / (2 * minhash.SAMPLES)
+            assert abs(estimate - n_common / (n_common + 2 * n_own)) < 0.1
 
 
 def test_embedding_dedup(spark):
