@@ -358,3 +358,28 @@ def test_lm_training_beats_word_frequencies(spark):
     assert mean > -np.log(6)  # below it, word frequencies alone would do as well
     assert lm_score.pseudo_likelihood(docs(spark, ODD_ROWS)).count() == len(ODD_ROWS)
     assert lm_score.pseudo_likelihood(docs(spark, ODD_ROWS).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("listed", [1 << 18, 900])
+def test_lm_gives_every_word_its_own_probability(spark, listed):
+    """Words of one token differ by their counts, and the probabilities of all words in one place add up to 1."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(200))) for i in range(200)]
+    counts = Counter(w for _, t in rows for w in t.split())
+    assert len(counts) > 2000
+    # a text of one word has no context, so its likelihood is that word's log-probability in one and the same place
+    single = [(1000 + k, w) for k, w in enumerate(sorted(counts))]
+    counts.update(w for _, w in single)
+    got = {r.doc_id: r.log_likelihood for r in lm_score.pseudo_likelihood(docs(spark, rows + single), one_in=1, listed=listed).collect()}
+    assert sum(np.exp(got[k]) for k, _ in single) == pytest.approx(1, abs=1e-3)
+    d = {w: np.frombuffer(w.encode(), np.uint8) for w in counts}
+    v = lm_score.list_words(lm_score.word_counts(docs(spark, rows + single)), listed)
+    assert len(v.words) == max(k for n in set(counts.values()) if (k := sum(c >= n for c in counts.values())) <= listed)
+    groups = defaultdict(list)
+    for k, w in single:
+        tokens, *_ = lm_score.word_tokens(d[w], np.array([0, len(d[w])]), v.words, v.token_of)
+        groups[int(tokens[0])].append((counts[w], got[k]))
+    assert max(len({n for n, _ in g}) for g in groups.values()) > 1
+    for g in groups.values():
+        for n, x in g:
+            assert x - g[0][1] == pytest.approx(np.log(n / g[0][0]), abs=1e-4)
