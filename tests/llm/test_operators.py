@@ -383,3 +383,17 @@ def test_lm_gives_every_word_its_own_probability(spark, listed):
     for g in groups.values():
         for n, x in g:
             assert x - g[0][1] == pytest.approx(np.log(n / g[0][0]), abs=1e-4)
+
+
+@pytest.mark.parametrize("few_shards, shard_documents", [(lm_score.FEW_SHARDS, 500), (1, 60)])
+def test_lm_learns_from_every_document_by_default(spark, monkeypatch, few_shards, shard_documents):
+    """Beats word frequencies with its defaults, at a size where one document in 40 is next to none, and where each round has other shards."""
+    monkeypatch.setattr(lm_score, "FEW_SHARDS", few_shards)
+    rng = random.Random(10)
+    pairs = [("red", "fox"), ("blue", "whale"), ("big", "house")]
+    rows = [(i, " ".join(f"{a} {b}" for a, b in (rng.choice(pairs) for _ in range(100)))) for i in range(180)]
+    scored = lm_score.pseudo_likelihood(docs(spark, rows), shard_documents=shard_documents)
+    mean = scored.agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0]
+    counts = Counter(w for _, t in rows for w in t.split())
+    unigram = sum(n * np.log(n / counts.total()) for n in counts.values()) / counts.total()
+    assert mean > unigram + 0.1
