@@ -120,7 +120,7 @@ def text_features(texts: list[str], automaton: Automaton) -> np.ndarray:
     """A row of features for each text, from the kinds of its hits and the context windows around them.
 
     A hit is quoted if an odd number of quotation marks stands before it in its text and one within
-    WINDOW words after it; it is dense if another hit stands within WINDOW words.
+    WINDOW words after it, up to the start of the next word or the end of the text; it is dense if another hit stands within WINDOW words.
     """
     lower, letter, quote = _code_tables()
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
@@ -149,7 +149,8 @@ def text_features(texts: list[str], automaton: Automaton) -> np.ndarray:
     row = text_of_word[hits]
     odd = (marks[starts[hits]] - marks[offsets[row]]) % 2 == 1
     last = np.minimum(np.searchsorted(starts, offsets[row + 1]) - 1, hits + WINDOW)
-    quoted = odd & (marks[ends[last]] > marks[ends[hits]])
+    until = np.minimum(np.append(starts, len(codes))[last + 1], offsets[row + 1])
+    quoted = odd & (marks[until] > marks[ends[hits]])
     gap = np.diff(hits, prepend=-(WINDOW + 1), append=len(starts) + WINDOW + 1)
     same = np.concatenate(([False], row[1:] == row[:-1], [False]))
     dense = ((gap[:-1] <= WINDOW) & same[:-1]) | ((gap[1:] <= WINDOW) & same[1:])

@@ -305,6 +305,14 @@ def test_quoted_hits_are_told_apart():
     assert plain[1] > 0 and not plain[5] and quoted[5] > 0 and not quoted[1]
 
 
+def test_closing_mark_after_the_last_word_of_the_window():
+    automaton = toxicity.build_automaton(["idiot"], [])
+    texts = ['he said "idiot"', 'he said "idiot".', '"idiot a b c d e f" then', '"idiot a b c d e f g" then', 'he said "idiot', '"so" it is']
+    got = toxicity.text_features(texts, automaton)
+    assert [bool(x[5]) for x in got] == [True, True, True, False, False, False]
+    assert [bool(x[1]) for x in got] == [bool(x[9]) for x in got] == [False, False, False, True, True, False]
+
+
 def test_toxicity_learns_held_out_labels(spark):
     rng = random.Random(4)
     rows, labels = [], []
