@@ -24,11 +24,11 @@ _tables: list[np.ndarray] = []
 
 
 def _code_tables() -> list[np.ndarray]:
-    """For each code point below CODES: its lower case, whether it is a letter, whether it is a quotation mark."""
+    """For each code point below CODES: its lower case, and whether it is a letter, a quotation mark, something that may stand for a letter."""
     if not _tables:
         chars = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(CODES)]
         lower = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in chars], np.uint16)
-        _tables[:] = [lower, np.array([c.isalpha() for c in chars]), np.array([c in QUOTES for c in chars])]
+        _tables[:] = [lower, np.array([c.isalpha() for c in chars]), np.array([c in QUOTES for c in chars]), np.array([not (c.isalpha() or c.isspace() or c in QUOTES) for c in chars])]
     return _tables
 
 
@@ -116,13 +116,26 @@ def _runs(inside: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(inside & (~before | edge[:-1])), np.flatnonzero(inside & (~after | edge[1:])) + 1
 
 
+def _found(automaton: Automaton, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What each run of `sizes` code points is, from the classes of all code points."""
+    states = np.ones(len(starts), np.int32)
+    live, k = np.arange(len(starts)), 0
+    while len(live):
+        live = live[sizes[live] > k]
+        states[live] = automaton.step[states[live], classes[starts[live] + k]]
+        live = live[(states[live] != 0) & ~automaton.settled[states[live]]]
+        k += 1
+    return automaton.found[states]
+
+
 def text_features(texts: list[str], automaton: Automaton) -> np.ndarray:
     """A row of features for each text, from the kinds of its hits and the context windows around them.
 
+    A word may hold one digit or mark in place of a letter or between two letters, which is an edit.
     A hit is quoted if an odd number of quotation marks stands before it in its text and one within
     WINDOW words after it, up to the start of the next word or the end of the text; it is dense if another hit stands within WINDOW words.
     """
-    lower, letter, quote = _code_tables()
+    lower, letter, quote, stands_in = _code_tables()
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
     codes = np.minimum(codes, CODES - 1).astype(np.uint16)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
@@ -133,18 +146,15 @@ def text_features(texts: list[str], automaton: Automaton) -> np.ndarray:
     edge[offsets] = True
     starts, ends = _runs(letter[codes], edge)
     classes = automaton.class_of[lower[codes]]
-    states = np.ones(len(starts), np.int32)
-    live, k, sizes = np.arange(len(starts)), 0, ends - starts
-    while len(live):
-        live = live[sizes[live] > k]
-        states[live] = automaton.step[states[live], classes[starts[live] + k]]
-        live = live[(states[live] != 0) & ~automaton.settled[states[live]]]
-        k += 1
-    kinds = automaton.found[states]
+    kinds = _found(automaton, classes, starts, ends - starts)
+    text_of_word = np.searchsorted(offsets, starts, "right") - 1
+    # two words around one digit or mark may be one word with a letter changed; words that are hits themselves stay apart
+    pair = np.flatnonzero((starts[1:] == ends[:-1] + 1) & (text_of_word[1:] == text_of_word[:-1]) & (kinds[1:] == NOTHING) & (kinds[:-1] == NOTHING))
+    pair = pair[stands_in[codes[ends[pair]]]]
+    kinds[pair] = _found(automaton, classes, starts[pair], ends[pair + 1] - starts[pair])
     hits = np.flatnonzero(kinds)
     if not len(hits):
         return out
-    text_of_word = np.searchsorted(offsets, starts, "right") - 1
     marks = np.concatenate(([0], np.cumsum(quote[codes])))
     row = text_of_word[hits]
     odd = (marks[starts[hits]] - marks[offsets[row]]) % 2 == 1

@@ -313,6 +313,17 @@ def test_closing_mark_after_the_last_word_of_the_window():
     assert [bool(x[1]) for x in got] == [bool(x[9]) for x in got] == [False, False, False, True, True, False]
 
 
+def test_digits_and_marks_inside_words_are_edits():
+    automaton = toxicity.build_automaton(["idiot", "stupid", "trash"], ["lostra"])
+    fuzzy = ["an id1ot", "tr@sh", "you.st*pid", "idi.ot", "lost*abc"]
+    exact = ["idiot's", "stupid,idea", "x-trash", "trash/bin"]
+    none = ["i*i*t", "id 1 ot", "id  ot", 'idi"ot', "st1", "it's", "idi", "ot."]
+    got = toxicity.text_features([*fuzzy, *exact, *none, "idi.", "ot"], automaton)
+    assert all(x[0] + x[2] > 0 and not x[1] for x in got[: len(fuzzy)])
+    assert all(x[1] > 0 and not x[0] for x in got[len(fuzzy) : len(fuzzy + exact)])
+    assert not got[len(fuzzy + exact) :].any()
+
+
 def test_toxicity_learns_held_out_labels(spark):
     rng = random.Random(4)
     rows, labels = [], []
