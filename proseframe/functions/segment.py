@@ -231,6 +231,7 @@ def table_cells(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def canonical_json(text: Column) -> Column:
-    """A flat JSON object with its keys in order; null where the text is none."""
-    entries = F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
-    return F.to_json(F.map_from_entries(entries))
+    """A flat JSON object with its keys in order; of a repeated key the last value counts. Null where the text is none."""
+    placed = F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value")))
+    last = lambda es: F.filter(es, lambda e, i: ~F.coalesce(F.get(es, i + 1)["key"] == e["key"], F.lit(False)))
+    return let(let(F.array_sort(placed), last), lambda es: F.to_json(F.map_from_arrays(es["key"], es["value"])))

@@ -96,13 +96,21 @@ def section_citations(docs: DataFrame) -> DataFrame:
     return cites.join(headings(docs).select("doc_id", "number", "anchor"), ["doc_id", "number"], "left")
 
 
+# Conclusions of a check that did not pass, and of one that is still to come.
+CHECK_FAILED = ["FAILURE", "ERROR", "TIMED_OUT", "CANCELLED", "ACTION_REQUIRED", "STARTUP_FAILURE"]
+CHECK_PENDING = ["PENDING", "EXPECTED"]
+
+
 def pull_state(state: Column, mergeable: Column, merge_state: Column, checks: Column) -> Column:
-    """The state of a pull request, the gravest first."""
-    failed = F.exists(checks, lambda c: c.isin("FAILURE", "ERROR", "CANCELLED", "TIMED_OUT"))
-    pending = F.exists(checks, lambda c: c.isin("PENDING", "QUEUED", "IN_PROGRESS"))
+    """The state of a pull request, the gravest first: what is finished, then defects, then chores, then waiting.
+
+    Null checks are none; null fields hold nothing against the request.
+    """
+    any_of = lambda values: F.coalesce(F.exists(checks, lambda c: c.isin(values)), F.lit(False))
+    conflict = F.coalesce(mergeable == "CONFLICTING", F.lit(False)) | F.coalesce(merge_state == "DIRTY", F.lit(False))
     return (
-        F.when(state == "MERGED", "merged").when(state == "CLOSED", "closed").when(mergeable == "CONFLICTING", "conflict")
-        .when(failed, "failing").when(pending, "pending").when(merge_state == "BEHIND", "behind").when(merge_state == "BLOCKED", "blocked").otherwise("ready")
+        F.when(state == "MERGED", "merged").when(state == "CLOSED", "closed").when(any_of(CHECK_FAILED), "failing")
+        .when(conflict, "conflict").when(any_of(CHECK_PENDING), "pending").otherwise("ready")
     )
 
 

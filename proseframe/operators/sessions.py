@@ -11,10 +11,11 @@ from ..functions.wordlists import STREAK_GAP_SECONDS, STREAK_TURNS
 SESSION, SIG, START, END = "session", "sig", "started_at", "ended_at"
 
 
-def streaks(turns: DataFrame, gap_seconds: int = STREAK_GAP_SECONDS, order: tuple[str, ...] = (START,)) -> DataFrame:
+def streaks(turns: DataFrame, gap_seconds: int = STREAK_GAP_SECONDS, order: tuple[str, ...] = (START, END, SIG)) -> DataFrame:
     """session, sig, n, first_at, last_at: maximal runs of turns(session, sig, started_at, ended_at) with one signature and small gaps.
 
     A gap is the next start less the last end, zero at least. Turns without a signature belong to none.
+    `order` has to settle the place of every turn; by default turns of one start go by their end, then their signature.
     """
     place = W.partitionBy(SESSION).orderBy(*order)
     gap = F.greatest(F.unix_micros(START) - F.unix_micros(F.lag(END).over(place)), F.lit(0))
@@ -24,7 +25,7 @@ def streaks(turns: DataFrame, gap_seconds: int = STREAK_GAP_SECONDS, order: tupl
     return runs.where(F.col(SIG) != "").select(SESSION, SIG, "n", "first_at", "last_at")
 
 
-def trailing_streaks(turns: DataFrame, gap_seconds: int = STREAK_GAP_SECONDS, least: int = STREAK_TURNS, order: tuple[str, ...] = (START,)) -> DataFrame:
+def trailing_streaks(turns: DataFrame, gap_seconds: int = STREAK_GAP_SECONDS, least: int = STREAK_TURNS, order: tuple[str, ...] = (START, END, SIG)) -> DataFrame:
     """The run that the last turn of each session belongs to, where it has `least` turns."""
     last = turns.groupBy(SESSION).agg(F.max(F.struct(*order, F.col(SIG).alias("s"))).alias("last")).select(SESSION, F.col("last.s").alias(SIG))
     place = W.partitionBy(SESSION).orderBy(F.desc("first_at"), F.desc("last_at"))

@@ -13,6 +13,8 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, Str
 from ..functions.wordlists import STREAK_GAP_SECONDS, STREAK_TURNS
 from ..plans import check as plan
 
+#: Keyed state of what sends nothing for this long is dropped.
+IDLE_SECONDS = 86_400
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,13 +30,14 @@ def judge_stream(messages: DataFrame, rules: list[str] | None = None) -> DataFra
 
 
 class StreakProcessor(StatefulProcessor):
-    """Keeps the last signature, its end and the length of its run for each session."""
+    """Keeps the last signature, its end and the length of its run for each session, until it is idle for too long."""
 
-    def __init__(self, gap_seconds: float, least: int) -> None:
-        self.gap, self.least = gap_seconds, least
+    def __init__(self, gap_seconds: float, least: int, idle_ms: int) -> None:
+        self.gap, self.least, self.idle_ms = gap_seconds, least, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", StructType([StructField("sig", StringType()), StructField("ended", DoubleType()), StructField("n", LongType())]))
+        run = StructType([StructField("sig", StringType()), StructField("ended", DoubleType()), StructField("n", LongType())])
+        self.state = handle.getValueState("run", run, ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         sig, ended, n = self.state.get() if self.state.exists() else ("", 0.0, 0)
@@ -44,7 +47,7 @@ class StreakProcessor(StatefulProcessor):
             near = max(0.0, t.started_s - ended) <= self.gap
             n = n + 1 if n and t.sig == sig and near else 1
             sig, ended = t.sig, t.ended_s
-            if sig and n == self.least:
+            if sig and n >= self.least:
                 out.append((key[0], sig, n, t.turn_id))
         self.state.update((sig, float(ended), int(n)))
         yield pd.DataFrame(out, columns=["session", "sig", "n", "turn_id"])
@@ -53,20 +56,24 @@ class StreakProcessor(StatefulProcessor):
         pass
 
 
-def streak_alerts(turns: DataFrame, gap_seconds: float = STREAK_GAP_SECONDS, least: int = STREAK_TURNS) -> DataFrame:
-    """session, sig, n, turn_id: the turn that makes a run of turns(session, sig, started_s, ended_s, turn_id) `least` long."""
+def streak_alerts(turns: DataFrame, gap_seconds: float = STREAK_GAP_SECONDS, least: int = STREAK_TURNS, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+    """session, sig, n, turn_id: each turn that stands in a run of turns(session, sig, started_s, ended_s, turn_id) as the `least`-th or later.
+
+    A session that sends nothing for idle_seconds is forgotten.
+    """
     out = StructType([StructField("session", LongType()), StructField("sig", StringType()), StructField("n", LongType()), StructField("turn_id", LongType())])
-    return turns.groupBy("session").transformWithStateInPandas(StreakProcessor(gap_seconds, least), out, "Append", "None")
+    return turns.groupBy("session").transformWithStateInPandas(StreakProcessor(gap_seconds, least, int(1000 * idle_seconds)), out, "Append", "ProcessingTime")
 
 
 class LedgerProcessor(StatefulProcessor):
-    """Keeps when each subject of a session was last settled or read."""
+    """Keeps when each subject of a session was last settled or read, until it is idle for too long."""
 
-    def __init__(self, life_seconds: float) -> None:
-        self.life = life_seconds
+    def __init__(self, life_seconds: float, idle_ms: int) -> None:
+        self.life, self.idle_ms = life_seconds, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", StructType([StructField("subject", StringType())]), StructType([StructField("at", DoubleType())]))
+        subject, at = StructType([StructField("subject", StringType())]), StructType([StructField("at", DoubleType())])
+        self.seen = handle.getMapState("seen", subject, at, ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         records, out = pd.concat(list(rows)).sort_values(["at_s", "record_id"]), []
@@ -83,10 +90,10 @@ class LedgerProcessor(StatefulProcessor):
         pass
 
 
-def repeated_reads(records: DataFrame, life_seconds: float = STREAK_GAP_SECONDS) -> DataFrame:
+def repeated_reads(records: DataFrame, life_seconds: float = STREAK_GAP_SECONDS, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
     """session, record_id, subject: reads of records(session, record_id, kind, subject, at_s) whose subject was settled or read lately."""
     out = StructType([StructField("session", LongType()), StructField("record_id", LongType()), StructField("subject", StringType())])
-    return records.groupBy("session").transformWithStateInPandas(LedgerProcessor(life_seconds), out, "Append", "None")
+    return records.groupBy("session").transformWithStateInPandas(LedgerProcessor(life_seconds, int(1000 * idle_seconds)), out, "Append", "ProcessingTime")
 
 
 class FenceProcessor(StatefulProcessor):
@@ -123,9 +130,44 @@ def fenced_lines(flushes: DataFrame) -> DataFrame:
     return flushes.groupBy("message_id").transformWithStateInPandas(FenceProcessor(), out, "Append", "ProcessingTime")
 
 
-def answered_lookups(requests: DataFrame, known: DataFrame, life: str = "1 minute") -> DataFrame:
-    """requests(key, ts) joined to known(key, ...), each key once in its life."""
-    return requests.withWatermark("ts", life).dropDuplicatesWithinWatermark(["key"]).join(known, "key", "left")
+class AnswerProcessor(StatefulProcessor):
+    """Keeps the last answer to each key and when it was given; a finished one stays."""
+
+    def __init__(self, life_seconds: float, finished: tuple[str, ...], idle_ms: int) -> None:
+        self.life, self.finished, self.idle_ms = life_seconds, finished, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        answer = StructType([StructField("answer", StringType()), StructField("at", DoubleType())])
+        self.kept = handle.getValueState("answer", answer, ttlDurationMs=self.idle_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        answer, at = self.kept.get() if self.kept.exists() else (None, 0.0)
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["at_s", "request_id"]).itertuples():
+            cached = answer is not None and (answer in self.finished or r.at_s - at <= self.life)
+            if not cached and isinstance(r.now, str):  # an unknown is no answer, and is never kept
+                answer, at = r.now, float(r.at_s)
+            out.append((r.request_id, key[0], answer if cached or isinstance(r.now, str) else None, cached))
+        if answer is not None:
+            self.kept.update((answer, at))
+        yield pd.DataFrame(out, columns=["request_id", "key", "answer", "cached"])
+
+    def close(self) -> None:
+        pass
+
+
+def answered_lookups(
+    requests: DataFrame, known: DataFrame, life_seconds: float = 60, finished: tuple[str, ...] = ("merged", "closed"), idle_seconds: float = 30 * IDLE_SECONDS
+) -> DataFrame:
+    """request_id, key, answer, cached: every one of requests(request_id, key, at_s) with an answer of known(key, answer), null if there is none.
+
+    An answer serves further requests of its key for life_seconds, a finished one for good; known is
+    read anew with each batch. Keys that nobody asks for in idle_seconds are forgotten.
+    """
+    now = requests.join(known.select("key", F.col("answer").alias("now")), "key", "left").select("request_id", "key", "at_s", "now")
+    out = StructType([StructField("request_id", LongType()), StructField("key", StringType()), StructField("answer", StringType()), StructField("cached", BooleanType())])
+    processor = AnswerProcessor(life_seconds, finished, int(1000 * idle_seconds))
+    return now.groupBy("key").transformWithStateInPandas(processor, out, "Append", "ProcessingTime")
 
 
 def gap_sessions(events: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

@@ -58,6 +58,8 @@ def test_sections_and_comments(spark):
 
 def test_canonical_json(spark):
     assert one(spark, S.canonical_json, '{"b":"1","a":"x"}') == '{"a":"x","b":"1"}'
+    assert one(spark, S.canonical_json, '{"a":"1","b":"3","a":"2"}') == '{"a":"2","b":"3"}'
+    assert one(spark, S.canonical_json, "{}") == "{}" and one(spark, S.canonical_json, "no object") is None and one(spark, S.canonical_json, None) is None
 
 
 def dice(a, b):
@@ -210,10 +212,15 @@ def test_references(spark):
 
 
 def test_pull_states(spark):
-    rows = [("MERGED", None, None, []), ("OPEN", "CONFLICTING", None, ["FAILURE"]), ("OPEN", "MERGEABLE", None, ["SUCCESS", "ERROR"]), ("OPEN", "MERGEABLE", "BEHIND", ["QUEUED"]), ("OPEN", "MERGEABLE", "BEHIND", []), ("OPEN", "MERGEABLE", "CLEAN", ["SUCCESS"])]
-    data = spark.createDataFrame(rows, "s string, m string, g string, c array<string>")
-    got = [r.x for r in data.select(references.pull_state(F.col("s"), F.col("m"), F.col("g"), F.col("c")).alias("x")).collect()]
-    assert got == ["merged", "conflict", "failing", "pending", "behind", "ready"]
+    rows = [
+        ("MERGED", None, None, ["FAILURE"], "merged"), ("CLOSED", "CONFLICTING", None, None, "closed"), ("OPEN", "CONFLICTING", None, ["FAILURE"], "failing"),
+        ("OPEN", "MERGEABLE", None, ["SUCCESS", "STARTUP_FAILURE"], "failing"), ("OPEN", "MERGEABLE", None, ["ACTION_REQUIRED"], "failing"),
+        ("OPEN", "CONFLICTING", None, ["PENDING"], "conflict"), ("OPEN", "MERGEABLE", "DIRTY", [], "conflict"), ("OPEN", "MERGEABLE", None, ["EXPECTED"], "pending"),
+        ("OPEN", None, "BEHIND", ["SKIPPED", "NEUTRAL"], "ready"), ("OPEN", None, None, None, "ready"), (None, None, None, [None], "ready"),
+    ]
+    data = spark.createDataFrame(rows, "s string, m string, g string, c array<string>, want string")
+    got = data.select("want", references.pull_state(F.col("s"), F.col("m"), F.col("g"), F.col("c")).alias("x")).collect()
+    assert [r.x for r in got] == [r.want for r in got]
 
 
 def test_config_rules(spark):
