@@ -14,9 +14,11 @@ def run(spark, frames, schema, build, tmp_path, name):
     for i, rows in enumerate(frames):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
     live.with_state_store(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # each partition of state costs many small files a batch
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     query = build(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query.awaitTermination(300)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert query.exception() is None
     return spark.table(name).collect()
 
