@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, two_hashes, written
+from .common import ascii_lower, row_key, spread_join, two_hashes, written
 
 #: The characters of [\x20\x09-\x0D], fixed by the contract.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -26,7 +26,9 @@ def drop_common_lines(documents: DataFrame, min_documents: int = 10, min_chars:
     `carry`, which come back in one struct `carried`. An empty table gives an empty result.
 
     Lines are exploded as hashes only and counted with map-side partial sums. Documents are counted
-    for lines that are frequent at all. The texts move once, to meet the positions they lose.
+    for lines that are frequent at all, first by (line, document), then by line, so that no task
+    gets all documents of a line; joins deal a hot line to many tasks. The texts move once, to meet
+    the positions they lose.
 
     Returns doc_id, text (as given), carried if asked for, n_lines, n_dropped, kept_text.
     """
@@ -41,11 +43,12 @@ def drop_common_lines(documents: DataFrame, min_documents: int = 10, min_chars:
     )
     # lines of any number inside a document count here, so this holds all common ones and a few more
     often = written(
-        lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("line"), "frequent-lines"
+        lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents), "frequent-lines"
     )
-    hits = written(lines.join(often, "line", "left_semi"), "frequent-line-hits")
-    common = hits.groupBy("line").agg(F.count_distinct("row").alias("n")).where(F.col("n") >= min_documents).select("line")
-    dropped = hits.join(common, "line", "left_semi").groupBy("row").agg(F.collect_set("position").alias("dropped"))
+    hits = written(spread_join(lines, often, "line", "n", F.col("row")), "frequent-line-hits")
+    documents_of = hits.select("line", "row").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("documents"))
+    common = written(documents_of.where(F.col("documents") >= min_documents).join(often, "line"), "common-lines")
+    dropped = spread_join(hits, common, "line", "n", F.col("row")).groupBy("row").agg(F.collect_set("position").alias("dropped"))
     joined = docs.join(dropped, "row", "left").withColumn("lines", lines_of)
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("dropped", F.array().cast("array<int>")))
     return joined.withColumn("kept", kept).select(
