@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +11,10 @@ from .common import two_hashes, written
 from .components import connected_components
 
 
+#: Rows of a tile that are multiplied at once.
+BLOCK_ROWS = 1024
+
+
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(int8 values, scale, error) of unit vectors: a row differs from values * scale by at most error in the Euclidean norm."""
     scale = np.abs(x).max(axis=1) / 127
@@ -21,13 +24,22 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, error
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between 1/2 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def linked_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
     """(rows of x, rows of y, pairs recomputed) of all pairs whose cosine in double precision is at least the threshold.
 
+    Vectors are first scaled by powers of two, which rounds nothing, so that neither very large nor
+    very small components leave the range of doubles when squared.
+
     For unit vectors u = u' + d and v = v' + e, with quantised u' and v', |u.v - u'.v'| is at most
     |d||v'| + |u'||e| + |d||e|. Only pairs whose int8 product plus that bound reaches the threshold
     are computed in double precision.
     """
+    x, y = scaled(x), scaled(y)
     norm_x, norm_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     (qx, sx, ex), (qy, sy, ey) = quantise(x / norm_x[:, None]), quantise(y / norm_y[:, None])
     # products of int8 values summed below 2**24 are exact in single precision
@@ -54,7 +66,7 @@ def _smallest_reachable(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
         low = new
 
 
-def embedding_duplicates(embeddings: DataFrame, threshold: float = 0.98, tile_rows: int = 1024) -> DataFrame:
+def embedding_duplicates(embeddings: DataFrame, threshold: float = 0.98, tile_rows: int = 4096) -> DataFrame:
     """Link rows of embeddings(vec_id, embedding, label) of one label with a cosine of at least the threshold.
 
     Null labels, ids and vectors, zero vectors and those with null or non-finite components are
@@ -63,7 +75,8 @@ def embedding_duplicates(embeddings: DataFrame, threshold: float = 0.98, tile_ro
 
     Bitwise equal vectors of a label are one class, so copies cost nothing. Classes of a label are
     dealt to tiles of about tile_rows; each pair of tiles is one small task, whatever the size of
-    the label. A task returns link counts and, of its links, a spanning star for each part that
+    the label, which works through it in blocks of BLOCK_ROWS. Vectors move as they are stored, in
+    single precision if the column is, once for each tile of their label. A task returns link counts and, of its links, a spanning star for each part that
     they connect: never more rows than its tiles have.
 
     Returns vec_id, n_links (other vectors linked directly, copies included), component_id
@@ -74,7 +87,9 @@ def embedding_duplicates(embeddings: DataFrame, threshold: float = 0.98, tile_ro
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()
         & ~F.coalesce(bad, F.lit(False)) & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False))
     )
-    rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("usable", usable)
+    single = dict(embeddings.dtypes)["embedding"] in ("array<float>", "array<tinyint>", "array<smallint>")
+    vector = F.col("embedding").cast("array<float>" if single else "array<double>")
+    rows = embeddings.select("vec_id", "label", vector.alias("embedding")).withColumn("usable", usable)
     rows = rows.withColumn("name", F.when(F.col("usable"), two_hashes(F.struct("label", "embedding"))))
     classes = written(
         rows.where("usable").groupBy("name", "label").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes"
@@ -96,16 +111,22 @@ def embedding_duplicates(embeddings: DataFrame, threshold: float = 0.98, tile_ro
     def tile_pair(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node", ignore_index=True)
         nodes, copies = part["node"].to_numpy(), part["copies"].to_numpy()
-        x = np.stack(part["embedding"].to_numpy())
+        x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
         first, second = np.flatnonzero(part["is_first"]), np.flatnonzero(part["is_second"])
-        i, j, _ = linked_pairs(x[first], x[second], threshold)
-        i, j = first[i], second[j]
-        if key[2] == key[3]:  # a tile with itself holds each pair twice
-            i, j = i[i < j], j[i < j]
-        links = np.zeros(len(nodes), np.int64)
-        np.add.at(links, i, copies[j])
-        np.add.at(links, j, copies[i])
-        root = _smallest_reachable(nodes, i, j)
+        links, stars = np.zeros(len(nodes), np.int64), [np.zeros((2, 0), np.int64)]
+        place = np.arange(len(nodes))
+        for a in range(0, len(first), BLOCK_ROWS):
+            for b in range(0, len(second), BLOCK_ROWS):
+                rows_x, rows_y = first[a : a + BLOCK_ROWS], second[b : b + BLOCK_ROWS]
+                i, j, _ = linked_pairs(x[rows_x], x[rows_y], threshold)
+                i, j = rows_x[i], rows_y[j]
+                if key[2] == key[3]:  # a tile with itself holds each pair twice
+                    i, j = i[i < j], j[i < j]
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                low = _smallest_reachable(place, i, j)  # the block's links as stars, at most one for each row
+                stars.append(np.stack([place, low])[:, low != place])
+        root = nodes[_smallest_reachable(place, *np.hstack(stars))]  # nodes are sorted, so the first place has the smallest
         some = links > 0
         return pd.DataFrame({"node": nodes[some], "links": links[some], "root": root[some]})
 
