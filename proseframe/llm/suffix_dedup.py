@@ -1,22 +1,28 @@
-"""Suffix dedup: bytes covered by long strings that start elsewhere too, by ranking sampled positions.
-
-A suffix array by prefix doubling would rank every byte position at lengths 1, 2, 4 ... and drop
-positions once they are unique. Here the positions are sampled first, so that a fiftieth of them
-has to be ranked: in every string of `length` bytes one anchor is chosen from its content alone
-(its least hashed 32-byte string), so equal strings choose anchors of equal content at equal
-offsets. Ranks are then taken at growing lengths and what is unique leaves:
-
-1. anchors by their 32 bytes, and by all bytes of the strings that chose them;
-2. blocks of 8 neighbouring strings of anchors still undecided: by the bytes that the eight have
-   in common (unique: none is repeated), and by all their bytes (found twice: all are repeated);
-3. single strings of blocks that this leaves undecided.
-
-Every rank is a shuffle on a 64-bit or 128-bit hash of the bytes; nothing is compared pairwise.
+"""Suffix dedup: bytes covered by long strings that start elsewhere too, by prefix doubling over sampled positions.
+
+A suffix array by prefix doubling ranks positions by strings of growing lengths: pairs of the ranks
+of a position and of the one that far behind it are sorted and ranked again, and positions leave
+once they are unique or their string is past the threshold. Here the positions are sampled first:
+in every string of `length` bytes one anchor is chosen from its content alone (its least hashed
+32-byte string), so equal strings choose anchors of equal content at equal offsets. Neighbouring
+starts that choose one anchor are a run, and runs, a fiftieth of all positions, are doubled over:
+
+1. runs whose anchor is unique hold no repeated string and leave;
+2. the others are ranked by their bytes and those of the next run, then by the pairs of ranks of a
+   run and of the one 2, 4, 8 ... runs behind it. A run is settled once bytes that hold all its
+   strings occur twice;
+3. runs at the ends of repeated passages stay open. Blocks of 8 of their strings are ranked by the
+   bytes that the eight have in common (unique: none is repeated) and by all their bytes (found
+   twice: all are repeated), and what this leaves open string by string.
+
+Names of bytes are 64-bit or 128-bit hashes; nothing is compared pairwise.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import release, written
+from .common import discard, release, spread_join, written
 from .textarrays import mixed, powers, slices
 
 SEED_BYTES = 32
@@ -34,8 +40,6 @@ BLOCK = 8
 #: One value for each byte, so that case counts, and a second, independent set.
 _values = np.random.default_rng(5).integers(1, 2**63, (2, 256), dtype=np.uint64)
 
-_PLACE_OF_OTHERS = np.dtype([("id", "<i8"), ("h", "<i4"), ("span", "<i8")])
-
 
 class Rolling:
     """Hashes of any substrings of some bytes, by two independent polynomials."""
@@ -106,46 +110,27 @@ def _rows(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
-def _anchor_rows(length: int, seed: int) -> Callable:
+def _run_rows(length: int, seed: int) -> Callable:
+    """Runs of starts by anchor: key names the anchor, chunk the bytes from the run's first start to that of the second run behind it, or to the end of the last string."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
             for rows, data, offsets in slices(batch, "text"):
                 rolling = Rolling(data)
                 first, last, anchor = choose_anchors(data, offsets, rolling, length, seed)
                 row = np.searchsorted(offsets, first, "right") - 1
+                final = (last + length)[np.searchsorted(row, row, "right") - 1]  # where the last string of the row ends
+                follows = np.append(row[2:] == row[:-2], [False, False])[: len(row)] if len(row) > 2 else np.zeros(len(row), bool)
+                end = np.where(follows, np.append(first[2:], [0, 0])[: len(row)], final)
                 key = rolling.of(0, anchor, anchor + seed)
-                full = rolling.of(1, first, last + length, (anchor - first) * 4096 + last - first)
+                chunk = rolling.of(1, first, end, (anchor - first) * 4096 + last - first)
                 span = pack_span(first - offsets[row], last - first + 1, anchor - first)
-                found.append((key, full, rows.column("id").to_numpy()[row], rows.column("h").to_numpy()[row], span))
-            key, full, ids, h, span = (np.concatenate(c) for c in zip(*found, strict=True))
-            # equal strings of one batch settle each other here and go on as one row
-            order = np.lexsort((full, key))
-            key, full, ids, h, span = (c[order] for c in (key, full, ids, h, span))
-            head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (full[1:] != full[:-1]))) if len(key) else [])
-            tail = np.append(head[1:], len(key))
-            others = [None] * len(head)
-            for k in np.flatnonzero(tail - head > 1).tolist():
-                part = slice(head[k] + 1, tail[k])
-                x = np.empty(tail[k] - head[k] - 1, _PLACE_OF_OTHERS)
-                x["id"], x["h"], x["span"] = ids[part], h[part], span[part]
-                others[k] = x.tobytes()
-            yield _rows(["key", "full", "id", "h", "span", "others"], key[head].view(np.int64), full[head].view(np.int64), ids[head],
-                        h[head].astype(np.int32), span[head], pa.array(others, pa.binary()))
+                of = lambda c: rows.column(c).to_numpy()[row]
+                yield _rows(["key", "chunk", "id", "h", "span", "size"], key.view(np.int64), chunk.view(np.int64), of("id"), of("h"), span, end - first)
 
     return run
 
 
-def _flat_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each place; those kept with another one are settled."""
-    for batch in batches:
-        yield batch.select(["id", "h", "span", "settled", "key"])
-        for others in batch.column("others").drop_null():
-            x = np.frombuffer(others.as_py(), _PLACE_OF_OTHERS)
-            n = len(x)
-            yield _rows(["id", "h", "span", "settled", "key"], x["id"], x["h"], x["span"], np.ones(n, bool), pa.nulls(n, pa.int64()))
-
-
 def _result(text: bytes, first: np.ndarray, count: np.ndarray, length: int) -> tuple[int, int, int, str]:
     start, end = covered(first, count, length)
     kept, at = hashlib.sha256(), 0
@@ -223,7 +208,7 @@ def _block_rows(length: int) -> Callable:
                 full = rolling.of(1, start, last + length, (anchor[owner] - start) * 4096 + last - start)
                 r = row[owner]
                 yield _rows(["core", "full", "id", "h", "start", "count"], core.view(np.int64), full.view(np.int64), rows.column("id").to_numpy()[r],
-                            rows.column("h").to_numpy()[r].astype(np.int32), start - offsets[r], last - start + 1)
+                            rows.column("h").to_numpy()[r], start - offsets[r], last - start + 1)
 
     return run
 
@@ -245,7 +230,7 @@ def _string_rows(length: int) -> Callable:
                 one = rolling.of(0, s, s + length, key[owner[of]] ^ (a - s).astype(np.uint64))
                 two = rolling.of(1, s, s + length)
                 yield _rows(["one", "two", "id", "h", "start"], one.view(np.int64), two.view(np.int64), rows.column("id").to_numpy()[r],
-                            rows.column("h").to_numpy()[r].astype(np.int32), s - offsets[r])
+                            rows.column("h").to_numpy()[r], s - offsets[r])
 
     return run
 
@@ -267,16 +252,60 @@ def _finish_texts(length: int) -> Callable:
     return run
 
 
+def _doubled(runs: DataFrame, length: int) -> list[DataFrame]:
+    """Written tables that together are runs(id, h, span, size, key, chunk, n_key, weight) with klass: names bytes that occur twice and hold all strings of the run; null where it stays open.
+
+    Runs of one rank have equal bytes, so they need the same length and are settled together. Each
+    round takes only runs that are neither settled nor unique; one that is followed by a settled run
+    is settled next.
+    """
+    first, need = F.shiftright("span", 24), F.shiftright("span", 12).bitwiseAND(F.lit(0xFFF)) + length
+    klass = lambda level, rank: F.struct(F.lit(level).alias("level"), rank.alias("rank"))
+    known = F.col("rank").isNotNull()
+    t = runs.withColumn("pair", F.struct(F.col("key").alias("rank"), F.col("chunk").alias("behind"))).drop("chunk")
+    # a row that is repeated as a whole is settled from the start
+    t = t.withColumn("klass", F.when(F.col("weight") > 1, klass(-1, F.xxhash64("id", "h", "span")))).withColumn("doubles", F.lit(True))
+    tables, settled, going = [], [], None
+    for level in itertools.count():
+        t = written(t, "pairs")
+        if going is not None:
+            discard(going)
+        counted = t.where("doubles").groupBy("pair").agg(F.sum("weight").alias("times"), F.count(F.lit(1)).alias("n")).where("times > 1")
+        # in the order of the pairs; ranks of different rounds differ
+        ranks = written(counted.sort("pair").select("pair", "n", (F.monotonically_increasing_id() + F.lit(level << 54)).alias("rank")), "ranks")
+        ranked = spread_join(t, ranks, "pair", "n", F.struct("id", "span"), "left")
+        ranked = ranked.withColumn("klass", F.coalesce("klass", F.when(known & (F.col("size") >= need), klass(level, F.col("rank")))))
+        ranked = ranked.withColumn("going", known & (F.col("size") < need))
+        now = written(ranked.select("id", "h", "span", "key", "n_key", "weight", "klass", "size", "rank", "going"), "ranked-runs")
+        discard(t, ranks)
+        tables.append(now)
+        settled.append(now.where(known & ~F.col("going")).drop("going"))
+        going = written(now.where("going").drop("going"), "unsettled-runs")
+        release(t.sparkSession)
+        if going.isEmpty():
+            return tables
+        behind = functools.reduce(DataFrame.union, [*settled, going]).select("id", "h", first.alias("next"), F.col("rank").alias("behind"), F.col("size").alias("more"))
+        paired = going.withColumn("next", first + F.col("size")).join(behind, ["id", "h", "next"], "left")
+        # pairs of different names keep runs that end here from meeting in one task
+        none = F.struct((-1 - F.pmod(F.xxhash64("id", "span"), F.lit(1 << 40))).alias("rank"), F.lit(0).cast("long").alias("behind"))
+        follows = F.col("behind").isNotNull()
+        t = paired.select(
+            "id", "h", "span", "key", "n_key", "weight", "klass", follows.alias("doubles"),
+            (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.when(follows, F.struct("rank", "behind")).otherwise(none).alias("pair"),
+        )
+
+
 def remove_repeated_strings(documents: DataFrame, length: int = 200) -> DataFrame:
     """Remove each byte of documents(doc_id, text) covered by a string of `length` bytes that also starts anywhere else.
 
     Texts are UTF-8 bytes, null is empty; strings lie inside one row and are judged on the input,
     so all of several copies go. Overlapping places of one text count. Texts shorter than length
-    stay whole. Repeated rows, also with one doc_id or none, are copies of each other. Other columns
-    are ignored; an empty table gives an empty result. `length` lies between 40 and 4000.
+    stay whole. Repeated rows, also with one doc_id or none, are copies of each other. doc_id is of
+    an integer type. Other columns are ignored; an empty table gives an empty result. `length` lies
+    between 40 and 4000.
 
-    Rows with one very common string cost each task one row for it: equal strings of a batch
-    of texts settle each other before the shuffle.
+    Counts are combined before they are shuffled, and joins deal the rows of a very common string to
+    many tasks.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
     """
@@ -285,60 +314,61 @@ def remove_repeated_strings(documents: DataFrame, length: int = 200) -> DataFram
     seed = min(SEED_BYTES, length // 2)
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text",
-        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), F.hash("text").alias("h"),
-    )
-    anchors = docs.select("id", "h", "text").mapInArrow(
-        _anchor_rows(length, seed), "key long, full long, id long, h int, span long, others binary"
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), F.xxhash64(F.lit("row"), "text").alias("h"),
     )
-    by_key, by_full = W.partitionBy("key"), W.partitionBy("key", "full").orderBy("id", "h", "span")
-    whole = by_full.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ranked = (
-        anchors.withColumn("n_full", F.count(F.lit(1)).over(whole))
-        .withColumn("nth", F.row_number().over(by_full))
-        .withColumn("settled", (F.col("n_full") > 1) | F.col("others").isNotNull())
-        .withColumn("n_key", F.count(F.lit(1)).over(by_key))
-        .withColumn("some_open", F.max(~F.col("settled")).over(by_key))
-        .where((F.col("n_key") > 1) | F.col("settled"))
-        .withColumn("asked", F.col("some_open") & (F.col("nth") == 1))
-    )
-    ranked = written(ranked.select("id", "h", "span", "settled", F.when(F.col("asked"), F.col("key")).alias("key"), "others"), "ranked-anchors")
-    release(documents.sparkSession)
-
-    of_text = (
-        ranked.mapInArrow(_flat_places, "id long, h int, span long, settled boolean, key long")
-        .groupBy("id", "h")
-        .agg(
-            F.collect_list(F.when(F.col("settled"), F.col("span"))).alias("settled"),
-            F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "span"))).alias("asked"),
-        )
+    runs = written(docs.select("id", "h", "text").mapInArrow(_run_rows(length, seed), "key long, chunk long, id long, h long, span long, size long"), "runs")
+    keys = written(runs.groupBy("key").agg(F.count(F.lit(1)).alias("n_key")).where("n_key > 1"), "repeated-anchors")
+    found = spread_join(runs, keys, "key", "n_key", F.struct("id", "span"), "inner")
+    if docs.groupBy("id", "h").count().where("count > 1").isEmpty():
+        found = found.withColumn("weight", F.lit(1).cast("long"))
+    else:  # one run for all copies of a row
+        found = found.groupBy("id", "h", "span", "size", "key", "chunk", "n_key").agg(F.count(F.lit(1)).alias("weight"))
+    tables = _doubled(found, length)
+    ranked = functools.reduce(DataFrame.union, tables).where("not going").select("id", "h", "span", "key", "n_key", "klass")
+    discard(runs, keys)
+
+    # open runs, and one run of each class that may hold strings of theirs, are looked at string by string
+    is_open = F.col("klass").isNull()
+    open_keys = written(ranked.where(is_open).groupBy("key").agg(F.max("n_key").alias("n_key")), "open-anchors")
+    classes = ranked.where(~is_open).groupBy("key", "klass").agg(F.min(F.struct("id", "h", "span")).alias("place"))
+    examples = spread_join(classes, open_keys, "key", "n_key", F.col("klass")).select("place.*", "key", F.lit(False).alias("settled"))
+    places = ranked.select("id", "h", "span", F.when(is_open, F.col("key")).alias("key"), (~is_open).alias("settled")).union(examples)
+    of_text = places.groupBy("id", "h").agg(
+        F.collect_list(F.when(F.col("settled"), F.col("span"))).alias("settled"),
+        F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "span"))).alias("asked"),
     )
-    place_of = "doc_id long, id long, h int, text string, settled array<long>, asked array<struct<key: long, span: long>>, "
+    place_of = "doc_id long, id long, h long, text string, settled array<long>, asked array<struct<key: long, span: long>>, "
     texts = written(
         docs.join(of_text, ["id", "h"], "left").select("doc_id", "id", "h", "text", "settled", "asked").mapInArrow(_settle_texts(length), place_of + RESULT),
         "settled-texts",
     )
+    discard(*tables, open_keys)
     release(documents.sparkSession)
     done = texts.where("n_bytes is not null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     open_texts = texts.where("n_bytes is null").select("doc_id", "id", "h", "text", "settled", "asked")
 
-    # a row that is repeated as a whole is settled, so (id, h) names one open text
-    blocks = open_texts.select("id", "h", "text", "asked").mapInArrow(_block_rows(length), "core long, full long, id long, h int, start long, count long")
-    shared = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    shared_blocks = written(blocks.join(shared, "core", "left_semi"), "shared-blocks")
+    # rows that are repeated as a whole are settled; one that is an example of a class stands here as often as it is there
+    blocks = open_texts.select("id", "h", "text", "asked").mapInArrow(_block_rows(length), "core long, full long, id long, h long, start long, count long")
+    place = F.struct("id", "start")  # of one block or string
+    shared = written(blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-cores")
+    shared_blocks = written(spread_join(blocks, shared, "core", "n", place), "shared-blocks")
     release(documents.sparkSession)
     kinds = written(
         shared_blocks.groupBy("core", "full").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "start")).alias("place")), "block-kinds"
     )
-    repeated_blocks = shared_blocks.join(kinds.where("n > 1").select("core", "full"), ["core", "full"], "left_semi").select("id", "h", "start", "count")
+    both = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b")).alias("pair")
+    repeated_kinds = kinds.where("n > 1").select(both("core", "full"), "n")
+    repeated_blocks = spread_join(shared_blocks.select(both("core", "full"), "id", "h", "start", "count"), repeated_kinds, "pair", "n", place).drop("pair")
     undecided = kinds.where("n = 1").select("core").distinct()
     wanted = kinds.join(undecided, "core", "left_semi").select("place.*").groupBy("id", "h").agg(F.collect_set("start").alias("starts"))
     strings = open_texts.join(wanted, ["id", "h"]).select("id", "h", "text", "asked", "starts").mapInArrow(
-        _string_rows(length), "one long, two long, id long, h int, start long"
+        _string_rows(length), "one long, two long, id long, h long, start long"
     )
     strings = written(strings, "strings")
     release(documents.sparkSession)
-    twice = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
-    repeated = repeated_blocks.union(strings.join(twice, ["one", "two"], "left_semi").select("id", "h", "start", F.lit(1).cast("long")))
+    named = strings.select(both("one", "two"), "id", "h", "start")
+    twice = written(named.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-strings")
+    repeated = repeated_blocks.union(spread_join(named, twice, "pair", "n", place).select("id", "h", "start", F.lit(1).cast("long")))
     more = written(repeated.groupBy("id", "h").agg(F.collect_list(F.struct("start", "count")).alias("more")), "repeated")
     release(documents.sparkSession)
     finished = open_texts.join(more, ["id", "h"], "left").select("doc_id", "text", "settled", "more").mapInArrow(
