@@ -40,6 +40,7 @@ class Automaton:
     class_of: np.ndarray
     found: np.ndarray
     settled: np.ndarray  # nothing that follows changes what is found
+    far: dict[str, int] = field(default_factory=dict)  # classes of letters beyond CODES
 
 
 def build_automaton(words: list[str], stems: list[str], edits: Callable[[str], int] = lambda t: int(len(t) >= 5)) -> Automaton:
@@ -104,10 +105,28 @@ def build_automaton(words: list[str], stems: list[str], edits: Callable[[str], i
             row.append(numbers[to])
         step.append(row or [0] * (len(alphabet) + 1))
     class_of = np.zeros(CODES, np.int32)
+    far = {}
     for k, c in enumerate(alphabet):
         if ord(c) < CODES:
             class_of[ord(c)] = k + 1
-    return Automaton(np.array(step, np.int32), class_of, np.array(found, np.int8), np.array(settled))
+        else:
+            far[c] = k + 1
+    return Automaton(np.array(step, np.int32), class_of, np.array(found, np.int8), np.array(settled), far)
+
+
+def _read_codes(automaton: Automaton, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: its class in the automaton, and whether it is a letter, a quotation mark, something that may stand for a letter."""
+    lower, *kinds = _code_tables()
+    near = np.minimum(codes, CODES - 1)
+    classes, (letter, quote, stands_in) = automaton.class_of[lower[near]], (k[near] for k in kinds)
+    at = np.flatnonzero(codes >= CODES)
+    if len(at):  # few, so each distinct one is looked up
+        chars, which = np.unique(codes[at], return_inverse=True)
+        chars = [chr(c) for c in chars.tolist()]
+        letter[at] = np.array([c.isalpha() for c in chars])[which]
+        stands_in[at] = ~letter[at]
+        classes[at] = np.array([automaton.far.get(c.lower(), 0) for c in chars], np.int32)[which]
+    return classes, letter, quote, stands_in
 
 
 def _runs(inside: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,27 +154,25 @@ def text_features(texts: list[str], automaton: Automaton) -> np.ndarray:
     A hit is quoted if an odd number of quotation marks stands before it in its text and one within
     WINDOW words after it, up to the start of the next word or the end of the text; it is dense if another hit stands within WINDOW words.
     """
-    lower, letter, quote, stands_in = _code_tables()
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
-    codes = np.minimum(codes, CODES - 1).astype(np.uint16)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     out = np.zeros((len(texts), 10))
     if not len(codes):
         return out
     edge = np.zeros(len(codes) + 1, bool)
     edge[offsets] = True
-    starts, ends = _runs(letter[codes], edge)
-    classes = automaton.class_of[lower[codes]]
+    classes, letter, quote, stands_in = _read_codes(automaton, codes)
+    starts, ends = _runs(letter, edge)
     kinds = _found(automaton, classes, starts, ends - starts)
     text_of_word = np.searchsorted(offsets, starts, "right") - 1
     # two words around one digit or mark may be one word with a letter changed; words that are hits themselves stay apart
     pair = np.flatnonzero((starts[1:] == ends[:-1] + 1) & (text_of_word[1:] == text_of_word[:-1]) & (kinds[1:] == NOTHING) & (kinds[:-1] == NOTHING))
-    pair = pair[stands_in[codes[ends[pair]]]]
+    pair = pair[stands_in[ends[pair]]]
     kinds[pair] = _found(automaton, classes, starts[pair], ends[pair + 1] - starts[pair])
     hits = np.flatnonzero(kinds)
     if not len(hits):
         return out
-    marks = np.concatenate(([0], np.cumsum(quote[codes])))
+    marks = np.concatenate(([0], np.cumsum(quote)))
     row = text_of_word[hits]
     odd = (marks[starts[hits]] - marks[offsets[row]]) % 2 == 1
     last = np.minimum(np.searchsorted(starts, offsets[row + 1]) - 1, hits + WINDOW)
@@ -211,7 +228,8 @@ def learn_toxicity(
     lexicon has the words, and the beginnings of 4 to 6 letters that several words share, which at
     least least_share (and 3) of the toxic ones hold and whose log odds of a toxic document reach
     min_log_odds; the most_terms best. Weights of the kinds of hits are fitted to the same rows.
-    Null labels and ids, and labels without a document, are left out. Where toxic or clean rows are
+    Null labels and ids, and labels without a document, are left out; of different labels of
+    one id the toxic one counts. Where toxic or clean rows are
     missing, every score is the share of toxic rows (0.5 without any).
     """
     known = (
