@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import release, spread_join, written
 from .components import connected_components
 from .textarrays import mixed, slices, span_hashes, words
 
@@ -23,6 +23,8 @@ SKETCH_WORDS = 8  # of 64 bits, of the samples
 WHOLE_WORDS = 16  # of 64 bits, of the whole set
 #: Members of a bucket's main component that each other member is tried against in a round, and how many of all these in full.
 PIVOTS, TRIED, ROUNDS = 2, 4, 1
+#: Nodes of a bucket that one task tries in the last round.
+PART_NODES = 512
 _seeded = np.random.default_rng(8)
 _FLIP = _seeded.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 _TIMES = _seeded.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -123,22 +125,46 @@ def _allowed(percent: int, a: str, b: str) -> Column:
 
     A bit in which the sketches differ takes a shingle in one set only, so the distance never
     exceeds the symmetric difference, which at a similarity of t is (1 - t) / (1 + t) of both sizes
-    together. Nothing that reaches the threshold is ruled out.
+    together. This rules out nothing that reaches the threshold, but tells little of large sets.
+    There the odd sketches of samples estimate the similarity; see sample_limit for the margin.
     """
     sizes = 100 * F.least(f"n_{a}", f"n_{b}") >= percent * F.greatest(f"n_{a}", f"n_{b}")
-    return sizes & ((100 + percent) * _distance("whole", a, b, WHOLE_WORDS) <= (100 - percent) * (F.col(f"n_{a}") + F.col(f"n_{b}")))
+    whole = (100 + percent) * _distance("whole", a, b, WHOLE_WORDS) <= (100 - percent) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+    return sizes & whole & (_distance("sketch", a, b, SKETCH_WORDS) <= sample_limit(percent))
 
 
-def _named(nodes: DataFrame, name: str, samples: bool = False) -> DataFrame:
+def estimated_similarity(distance: int) -> float:
+    """The similarity of two sets whose odd sketches of samples differ in this many bits."""
+    n = 64 * SKETCH_WORDS
+    return 1 + n / (4 * SAMPLES) * np.log(max(1 - 2 * distance / n, 1e-9))
+
+
+def sample_limit(percent: int, sigmas: float = 7) -> int:
+    """The most bits in which odd sketches of samples differ where sets reach the threshold, `sigmas` standard deviations above the mean.
+
+    At a similarity of t, (1 - t) of the samples differ, with a binomial spread; each of them turns
+    over two of n bits, and m turned bits leave n / 2 (1 - exp(-2 m / n)) of them odd. At seven
+    deviations a pair at the threshold is ruled out with a probability below 1e-11, which the bands,
+    at 5e-8, exceed by far.
+    """
+    n, apart = 64 * SKETCH_WORDS, 1 - percent / 100
+    turned = np.exp(-4 * SAMPLES * apart / n)
+    spread = np.hypot(2 * np.sqrt(SAMPLES * apart * (1 - apart)) * turned, np.sqrt(n * (1 - turned**2)) / 2)
+    return int(np.ceil(n / 2 * (1 - turned) + sigmas * spread))
+
+
+def _named(nodes: DataFrame, name: str) -> DataFrame:
     """The nodes with all columns marked by a name."""
-    kinds = [("whole", WHOLE_WORDS)] + [("sketch", SKETCH_WORDS)] * samples
+    kinds = [("whole", WHOLE_WORDS), ("sketch", SKETCH_WORDS)]
     parts = [F.get(kind, k).alias(f"{kind}{k}_{name}") for kind, n in kinds for k in range(n)]
     return nodes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), *parts)
 
 
 def _best(pairs: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
     """Of pairs(a, b), for each b the `most` ones with the nearest sketches of samples, so the most alike, that the threshold allows."""
-    near = pairs.join(_named(nodes, "a", True), "a").join(_named(nodes, "b", True), "b").where(_allowed(percent, "a", "b"))
+    counts = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_pairs")), "pair-counts")
+    near = spread_join(pairs, _named(nodes, "a").join(counts, "a"), "a", "n_pairs", F.col("b"), "inner", counts.agg(F.coalesce(F.sum("n_pairs"), F.lit(0))).first()[0])
+    near = near.join(_named(nodes, "b"), "b").where(_allowed(percent, "a", "b"))
     near = near.select("a", "b", _distance("sketch", "a", "b", SKETCH_WORDS).alias("distance"))
     ranked = near.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "a"))), 1, most).alias("nearest"))
     return ranked.select(F.explode("nearest.a").alias("a"), "b")
@@ -151,9 +177,16 @@ def _sets_of(nodes: DataFrame, documents: DataFrame, shingle_words: int) -> Data
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs(a, b) whose full sets reach the threshold."""
+    """Those pairs(a, b) whose full sets reach the threshold.
+
+    A node has at most TRIED pairs as b, so sets move about as often; one that is a of very many
+    meets them in several tasks.
+    """
+    counts = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_pairs")), "pair-counts")
+    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(counts, "a")
+    total = counts.agg(F.coalesce(F.sum("n_pairs"), F.lit(0))).first()[0]
     both = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        spread_join(pairs, first, "a", "n_pairs", F.col("b"), "inner", total)
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .withColumn("shared", F.size(F.array_intersect("x", "y")))
     )
@@ -169,9 +202,9 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     returned; other columns are ignored; empty tables give an empty result.
 
     Equal sets are one node, so copies cost nothing. Nodes meet in buckets of 32 bands of 4 minima
-    (a pair at 0.8 is missed by all bands with probability 5e-8). Odd sketches of 256 minima tell
-    which partners in a bucket are the most alike, odd sketches of whole sets which cannot be; full
-    sets decide. First every node is tried against the nearest few of its buckets' smallest nodes. While
+    (a pair at 0.8 is missed by all bands with probability 5e-8). Odd sketches of 256 minima estimate
+    the similarity of partners in a bucket: they name the most alike and, with those of whole sets,
+    rule out what cannot reach the threshold; full sets decide. First every node is tried against the nearest few of its buckets' smallest nodes. While
     buckets hold several components, the nodes outside a bucket's main one are tried against the
     nearest of some random members of it; that joins large groups without expanding their pairs.
     Nodes that stay apart are at last tried against all members of other components in their
@@ -191,9 +224,9 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     nodes = written(nodes, "nodes")
     members = nodes.select("node", F.explode("keys").alias("bucket"))
     shared = written(
-        members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket", "pivot"), "buckets"
+        members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "buckets"
     )
-    members = written(members.join(shared, "bucket"), "members")
+    members = written(spread_join(members, shared, "bucket", "n", F.col("node"), "inner").drop("n"), "members")
     stars = members.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     first = written(_best(stars, nodes, percent, TRIED), "first-pairs")
     needed = written(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
@@ -205,8 +238,9 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
         placed = members.join(connected_components(links), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         placed = written(placed, "placed")
         by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        main = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where(F.col("roots") > 1)
-        members = written(placed.join(main.select("bucket", F.col("main.root").alias("main")), "bucket"), "mixed-buckets")
+        main = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).where(F.col("roots") > 1)
+        main = written(main.select("bucket", F.col("main.root").alias("main"), "n"), "main-parts")
+        members = written(spread_join(placed, main, "bucket", "n", F.col("node"), "inner"), "mixed-buckets")
         others = members.where(F.col("root") != F.col("main"))
         n_apart = others.select("node").distinct().count()
         if turn == ROUNDS or n_apart == apart:  # a round without success: what is left is tried in full
@@ -216,20 +250,24 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
             sets = _sets_of(written(members.select("node").distinct(), "needed"), documents, shingle_words)
         in_main = members.where(F.col("root") == F.col("main"))
         pivots = in_main.groupBy("bucket").agg(F.array_distinct(F.array(
-            *(F.min_by("node", F.xxhash64("node", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)))).alias("pivots"))
-        tries = others.join(pivots, "bucket").select(F.explode("pivots").alias("a"), F.col("node").alias("b")).distinct()
+            *(F.min_by("node", F.xxhash64("node", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)))).alias("pivots"), F.max("n").alias("n"))
+        pivots = written(pivots, "pivots")
+        tries = spread_join(others.drop("n"), pivots, "bucket", "n", F.col("node"), "inner").select(F.explode("pivots").alias("a"), F.col("node").alias("b")).distinct()
         found = _confirmed(written(_best(tries, nodes, percent, TRIED), "tries"), sets, percent)
         links = written(links.union(found), "links")
-        members = members.select("bucket", "node")
+        members = members.select("bucket", "node")  # placed anew with the links found
         release(documents.sparkSession)
 
     if sets is not None and apart:
-        known = members.join(_named(nodes, "x"), F.col("node") == F.col("x"))
+        # a bucket is dealt to parts of about PART_NODES nodes, and what is apart in it goes to each of them
+        parts = F.ceil(F.col("n") / PART_NODES).cast("int")
+        known = members.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).join(_named(nodes, "x"), F.col("node") == F.col("x"))
         known = written(known.drop("node"), "mixed-members")
-        left = known.where(F.col("root") != F.col("main")).drop("main")
+        left = known.where(F.col("root") != F.col("main")).drop("main", "part").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
         left = left.select(*(F.col(c).alias(c[:-1] + "y" if c == "x" or c.endswith("_x") else f"{c}_y") for c in left.columns))
         # the test is part of the join, so only pairs that the sketches allow leave it
-        plausible = known.join(left, (F.col("bucket") == F.col("bucket_y")) & (F.col("root") != F.col("root_y")) & _allowed(percent, "x", "y"))
+        in_part = (F.col("bucket") == F.col("bucket_y")) & (F.col("part") == F.col("part_y"))
+        plausible = known.join(left, in_part & (F.col("root") != F.col("root_y")) & _allowed(percent, "x", "y"))
         cross = written(plausible.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cross-pairs")
         links = written(links.union(_confirmed(cross, sets, percent)), "links")
         release(documents.sparkSession)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proseframe.llm import (
-    chat_format, decontaminate, embedding_dedup, line_dedup, lm_score, minhash, packing, suffix_dedup, textarrays, toxicity, url_filter,
+    chat_format, common, decontaminate, embedding_dedup, line_dedup, lm_score, minhash, packing, suffix_dedup, textarrays, toxicity, url_filter,
 )
 from proseframe.llm.components import connected_components
 
@@ -110,6 +110,22 @@ def components(links, ids):
     return low
 
 
+def test_spread_join_deals_a_hot_key_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, 1), ("alone", 2)], "key string, i long")
+    counts = rows.where("key is not null and key != 'alone'").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    for how in ("left_semi", "inner"):
+        got = common.spread_join(rows, counts, "key", "n", F.col("i"), how)
+        assert sorted(r.i for r in got.collect()) == list(range(300)) and "_salt" not in got.columns
+    assert common.spread_join(rows, counts.limit(0), "key", "n", F.col("i")).count() == 0
+
+
+def test_connected_components_of_a_large_star(spark):
+    star = spark.range(1, 20_001).select((F.col("id") + 7).alias("a"), F.lit(7).cast("long").alias("b"))
+    got = connected_components(star)
+    assert got.count() == 20_001 and got.where("root != 7").count() == 0
+
+
 def test_connected_components(spark):
     links = [(R.randrange(120), R.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 260)] + [(5, 5)]
     want = components(links, {x for p in links for x in p})
@@ -160,12 +176,26 @@ def test_odd_sketches_estimate_similarity_and_bound_difference():
         bits = lambda x: int(np.unpackbits((x[0] ^ x[1]).view(np.uint8)).sum())
         assert bits(whole) <= 2 * n_own
         n = 64 * minhash.SKETCH_WORDS
+        assert 0 < bits(odd) < n
         if n_common > 1:
-            estimate = 1 - (-n / 2 * np.log(1 - 2 * bits(odd) / n)) / (2 * minhash.SAMPLES)
-            assert abs(estimate - n_common / (n_common + 2 * n_own)) < 0.1
+            assert abs(minhash.estimated_similarity(bits(odd)) - n_common / (n_common + 2 * n_own)) < 0.1
+
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_sample_sketches_rule_out_no_pair_at_the_threshold(percent):
+    rng, most, n = np.random.default_rng(6), 0, 64 * minhash.SKETCH_WORDS
+    for size in (5, 20, 100, 1000):
+        for _ in range(60):
+            shared = -(-2 * size * percent // (100 + percent))
+            pool = rng.integers(0, 2**63, 2 * size - shared, dtype=np.uint64)
+            _, odd, _ = minhash._signatures([np.unique(pool[:size]), np.unique(pool[size - shared :])])
+            most = max(most, int(np.unpackbits((odd[0] ^ odd[1]).view(np.uint8)).sum()))
+    limit = minhash.sample_limit(percent)
+    assert most < limit < n / 2 and limit - most > 20
 
-def test_embedding_dedup(spark):
+
+@pytest.mark.parametrize("tile_rows", [16, 4096])
+def test_embedding_dedup(spark, monkeypatch, tile_rows):
     rng = np.random.default_rng(1)
     rows = []
     for label in range(3):
@@ -173,12 +203,16 @@ def test_embedding_dedup(spark):
         for k in range(60):
             rows.append((len(rows), [float(np.float32(x)) for x in centres[k % 6] + rng.normal(scale=0.12, size=16)], label))
     rows += [(len(rows) + i, rows[i][1], rows[i][2]) for i in range(30)]
+    huge, tiny = [1e200, 2e200, -1e199] + [0.0] * 13, [1e-200, 2e-200, -1e-201] + [0.0] * 13
+    rows += [(600 + i, v, 2) for i, v in enumerate([huge, [2 * x for x in huge], tiny, [0.5 * x for x in tiny]])]
     rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, [None] + [1.0] * 15, 1), (504, rows[0][1], None), (505, [1.0], 0), (506, [], 0), (None, rows[0][1], 0)]
-    data = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, label int, node string")
-    ok = [(i, np.array(v), lab) for i, v, lab in rows if i is not None and lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    data = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, label int, node string")
+    unit = lambda v: np.array(v) / np.abs(v).max()
+    ok = [(i, unit(v), lab) for i, v, lab in rows if i is not None and lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     links = [(i, j) for i, v, a in ok for j, w, b in ok if i != j and a == b and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98]
     low, n = components(links, [r[0] for r in rows]), Counter(i for i, _ in links)
-    got = embedding_dedup.embedding_duplicates(data, 0.98, tile_rows=16).collect()
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 7)
+    got = embedding_dedup.embedding_duplicates(data, 0.98, tile_rows=tile_rows).collect()
     assert len(got) == len(rows) and len(links) > 100
     for r in got:
         assert (r.n_links, r.component_id, r.kept) == ((n[r.vec_id], low[r.vec_id], low[r.vec_id] == r.vec_id) if r.vec_id is not None else (0, None, True))
@@ -305,6 +339,20 @@ def test_quoted_hits_are_told_apart():
     assert plain[1] > 0 and not plain[5] and quoted[5] > 0 and not quoted[1]
 
 
+def test_letters_beyond_the_basic_plane():
+    word = "".join(chr(0x10428 + k) for k in (0, 4, 9, 4, 7))  # small letters of a cased alphabet up there
+    automaton = toxicity.build_automaton([word], [])
+    got = toxicity.text_features([f"so {word} it is", word.upper(), word[:2] + "x" + word[3:], word[:3], "\U0001f600 " + word], automaton)
+    assert [bool(x[1]) for x in got] == [True, True, False, False, True] and [bool(x[0]) for x in got] == [False, False, True, False, False]
+
+
+def test_long_texts_are_scored_in_slices(spark):
+    model = toxicity.ToxicityModel(toxicity.build_automaton(["idiot"], []), np.array([0.0] * 9 + [5.0, -2.0]))
+    rows = [(0, "word " * 300_000), (1, "word " * 300_000 + "idiot"), (2, None), (3, "idiot"), (4, "")]
+    got = {r.doc_id: r.s for r in spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).select("doc_id", toxicity.toxicity_score(F.col("text"), model).alias("s")).collect()}
+    assert got[1] == got[3] > 0.9 and got[0] == got[2] == got[4] < 0.2
+
+
 def test_closing_mark_after_the_last_word_of_the_window():
     automaton = toxicity.build_automaton(["idiot"], [])
     texts = ['he said "idiot"', 'he said "idiot".', '"idiot a b c d e f" then', '"idiot a b c d e f g" then', 'he said "idiot', '"so" it is']

@@ -51,6 +51,27 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in decontaminated.collect()} == {r[0] for r in rows} - {33}
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    body, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, body, "x", 1), (3, body, "x", 1), (3, body + " end", "x", 2), (2, body, "y", 1), (None, body, "z", 1), (None, other, "n", 1), (None, other, "n", 1), (9, "", "e", 0), (9, "", "e", 0), (None, None, "e", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, component_id long")
+    got = P.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([rows[3], rows[5], *rows[7:]], key=str)
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, folder):
+    path, _ = folder
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, row string, lines string, bad string, kept string")
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, path)
+        assert got.columns == docs.columns and got.count() == 0
+    assert P.pack_tokens(spark, docs, path).count() == 0
+    clash = docs.union(spark.createDataFrame([(1, "one two\nthree", "en", "s", 3, "r", "l", "b", "k")] * 2, docs.schema))
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, clash, path)
+        assert got.columns == docs.columns and got.count() == (1 if name == "near-dedup" else 2)
+
+
 def test_run(spark, folder):
     path, rows = folder
     got = P.run(spark, path).collect()
