@@ -1,4 +1,10 @@
-"""A training-corpus pipeline: each stage takes what its predecessor kept of the documents."""
+"""A training-corpus pipeline: each stage takes what its predecessor kept of the documents.
+
+Every stage takes documents with any further columns, whatever their names, and returns them all.
+Null and empty texts are scored, split and compared like texts without words and stay, unless a
+duplicate stands for them; empty tables give empty results. Repeated rows, and null doc_ids, are
+rows like any others.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseframe.llm.common import row_key, table, written
+from proseframe.llm.common import discard, row_key, table, written
 from proseframe.llm.decontaminate import find_contamination
 from proseframe.llm.line_dedup import drop_common_lines
 from proseframe.llm.minhash import near_duplicates
@@ -30,9 +36,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 on five-word shingles, the one with the smallest doc_id stays."""
-    copies = written(near_duplicates(docs, shingle_words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of rows linked by a similarity of 0.8 on five-word shingles, one with the smallest doc_id stays.
+
+    Rows are compared, not doc_ids: rows that repeat an id, or have none, are each a document. A null
+    id is larger than all others. Rows without words stay.
+    """
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), shingle_words=5, percent=80)
+    ids = numbered.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", F.col("doc_id").alias("row"))
+    first = found.join(ids, "doc_id").groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = written(first.select(F.col("first.row").alias(row)), "kept-rows")
+    return numbered.join(kept, row, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +80,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; what each keeps is a table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        kept = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if at:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
