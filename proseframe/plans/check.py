@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators import phrases  # noqa: F401  registers its rules
 from ..operators.rules import FINDING, Rule, Segments, run_rule, select_rules
 
 
@@ -44,9 +45,18 @@ def report(findings: DataFrame) -> DataFrame:
     return findings.orderBy("doc_id", "line", "rule_id", "detail", "end_line")
 
 
+# Rule families, the most structural first and the most numerous last.
+FAMILY_RANKS = {"yaml": 0, "ste": 1, "english": 2, "wrap": 4}
+
+
 def top_findings(findings: DataFrame, most: int, ranks: dict[str, int] | None = None) -> DataFrame:
-    """At most `most` findings of each document by (rank of the category, line, rule); the last one says how many are hidden."""
-    rank = F.coalesce(*(F.when(F.col("category") == c, F.lit(n)) for c, n in (ranks or {}).items()), F.lit(99))
+    """At most `most` findings of each document by (rank, line, rule); the last one says how many are hidden.
+
+    The rank is that of the category; categories that `ranks` does not name stand before the last
+    one of it. Warnings stand behind everything else, so that none hides an error.
+    """
+    ranks = ranks or FAMILY_RANKS
+    rank = F.coalesce(F.when(F.col("severity") == "warning", F.lit(99)), *(F.when(F.col("category") == c, F.lit(n)) for c, n in ranks.items()), F.lit(max(ranks.values()) - 0.5))
     order = W.partitionBy("doc_id").orderBy(rank, "line", "rule_id", "detail")
     rows = findings.withColumn("rn", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(W.partitionBy("doc_id")))
     rows = rows.where(F.col("rn") <= most)

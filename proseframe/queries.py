@@ -442,11 +442,11 @@ def g10_unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("rn", rn).select("doc_id", F.when(F.col("rn") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("rn").cast("string"))).alias("slug"))
 
 
-@query(f"""WITH {WRAP_SQL}, r AS (SELECT doc_id, line, rule_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, rule_id) AS rn, count(*) OVER (PARTITION BY doc_id) AS total FROM w)
+@query(f"""WITH {WRAP_SQL}, r AS (SELECT doc_id, line, rule_id, row_number() OVER (PARTITION BY doc_id ORDER BY rule_id = 'wrap/wide-line', line, rule_id) AS rn, count(*) OVER (PARTITION BY doc_id) AS total FROM w)
 SELECT doc_id, line, rule_id, rn, CASE WHEN rn = 5 AND total > 5 THEN total - 5 ELSE 0 END AS hidden FROM r WHERE rn <= 5""")
 def g11_top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five findings of each document."""
-    rows = plan.top_findings(plan.check(docs_of(spark, sf_dir), ["wrap"]), 5, {"wrap": 1})
+    """The first five findings of each document, warnings last."""
+    rows = plan.top_findings(plan.check(docs_of(spark, sf_dir), ["wrap"]), 5)
     return rows.select("doc_id", "line", "rule_id", "rn", "hidden")
 
 
