@@ -9,9 +9,10 @@ from ..functions import segment as S
 from ..functions.wordlists import NAME_LETTERS, NAMES_PER_TEXT
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
-    """word, n_docs over identifier words."""
+def document_frequency(docs: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """word, n_docs over identifier words; with `wanted`, a test of the column word, only of those, so that no other word is shuffled."""
     words = docs.select("doc_id", F.explode(F.array_distinct(S.identifier_words_of(F.col("text")))).alias("word"))
+    words = words if wanted is None else words.where(wanted)
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -26,12 +27,13 @@ def dead_names(docs: DataFrame, candidate: Column | None = None, most_names: int
     A text with more candidates than most_names answers nothing. `candidate` tests the column word.
     """
     found = S.identifier_words_of(F.col("text"))
-    rows = docs.select("doc_id", F.explode(found).alias("word")).where(identifier_shaped(F.col("word")) if candidate is None else candidate)
+    candidate = identifier_shaped(F.col("word")) if candidate is None else candidate
+    rows = docs.select("doc_id", F.explode(found).alias("word")).where(candidate)
     per_text = rows.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = per_text.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_names")).where(F.col("n_names") <= most_names)
     once = per_text.where("n = 1").join(counts.select("doc_id"), "doc_id", "left_semi")
     # whether another document holds the word: the documents of each candidate word, over all texts
-    return once.join(document_frequency(docs).where("n_docs = 1"), "word", "left_semi").select("doc_id", F.col("word").alias("name"))
+    return once.join(document_frequency(docs, candidate).where("n_docs = 1"), "word", "left_semi").select("doc_id", F.col("word").alias("name"))
 
 
 def without_file_names(names: DataFrame, paths: DataFrame) -> DataFrame:
