@@ -16,47 +16,64 @@ def trimmed_lines(docs: DataFrame) -> DataFrame:
     return rows.where("line != ''")
 
 
-def line_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n: a key for each copy of a line, so that common keys count the multiset intersection; n is their number.
+def line_multisets(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, *columns, keys: a key for each copy of a trimmed line, so that common keys count the multiset intersection.
 
-    Keys are made inside each row: a line's copies are numbered by its places in the sorted lines.
+    Made inside each row: equal lines stand together in the sorted hashes, and each run of them is
+    numbered. Documents without such lines are left out.
     """
     trimmed = F.filter(F.transform(S.lines_of(F.col("text")), lambda s: F.btrim(s, F.lit(" \t\r\x0b\x0c"))), lambda s: s != "")
-    rows = docs.select("doc_id", F.array_sort(F.transform(trimmed, lambda s: F.xxhash64(s))).alias("h"))
-    rows = rows.where(F.size("h") > 0).select("doc_id", F.size("h").alias("n"), "h", F.posexplode("h").alias("at", "line"))
-    # the first place of an equal value in a sorted array numbers the copies
-    return rows.select("doc_id", "n", F.xxhash64("line", F.col("at") - F.array_position("h", F.col("line")) + 1).alias("key"))
+
+    def numbered(h: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(h) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+
+        def of_run(firsts: Column, first: Column, j: Column) -> Column:
+            copies = F.coalesce(F.get(firsts, j + 1), F.size(h)) - first
+            return F.transform(F.sequence(F.lit(1), copies), lambda k: F.xxhash64(F.get(h, first), k))
+
+        return S.let(starts, lambda firsts: F.flatten(F.transform(firsts, lambda first, j: of_run(firsts, first, j))))
+
+    rows = docs.select("doc_id", *columns, F.array_sort(F.transform(trimmed, lambda s: F.xxhash64(s))).alias("h")).where(F.size("h") > 0)
+    return rows.select("doc_id", *columns, F.array_sort(S.let(F.col("h"), numbered)).alias("keys"))
 
 
 def near_duplicates(docs: DataFrame, share: float = NEAR_DUPLICATE_SHARE, block: list[str] | None = None) -> DataFrame:
     """doc_a, doc_b, share: each document with the first earlier one whose Dice share of lines reaches the threshold.
 
-    A pair at the threshold t has sizes within t / (2 - t) of each other and shares a key among the
-    first n - ceil(n t / (2 - t)) + 1 of each document, when keys are sorted by how many documents
-    hold them. Only these prefixes are joined; the pairs found are then counted in full. `block`
-    names columns that both documents must share, as a file name.
+    Documents with equal lines are one class, and only its smallest id is compared: it stands before
+    all its copies, so they have the same first earlier document as it has, or else it itself. A pair
+    at the threshold t has sizes within t / (2 - t) of each other and shares a key among the first
+    n - ceil(n t / (2 - t)) + 1 of each document, when keys are sorted by how many classes hold them.
+    Only these prefixes are joined; the pairs found are then counted in full. `block` names columns
+    that both documents must share, as a file name; a null there matches nothing.
     """
     block = block or []
-    keys = line_copies(docs)
+    rows = line_multisets(docs.dropna(subset=block) if block else docs, *block)
+    same = [*block, "same_a", "same_b"]
+    rows = rows.withColumns({"same_a": F.xxhash64("keys"), "same_b": F.xxhash64(F.lit("second"), "keys")})
+    classes = rows.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")).withColumn("n", F.size("keys"))
+    keys = classes.select("doc_id", "n", *block, F.explode("keys").alias("key"))
     frequency = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    shared = keys.join(frequency.where("df > 1"), "key")  # a key of one document joins nothing
+    shared = keys.join(frequency.where("df > 1"), "key")  # a key of one class joins nothing
     ratio = share / (2 - share)
     prefix = F.col("n") - F.ceil(F.col("n") * ratio - 1e-9) + 1
-    # keys of one document stand before all shared ones, so they use up places of the prefix
-    place = W.partitionBy("doc_id").orderBy("df", "key")
-    counted = shared.withColumn("rank", F.row_number().over(place)).withColumn("n_shared", F.count(F.lit(1)).over(W.partitionBy("doc_id")))
-    firsts = counted.where(F.col("rank") + F.col("n") - F.col("n_shared") <= prefix).select("doc_id", "n", "key")
-    if block:
-        firsts = firsts.join(docs.select("doc_id", *block), "doc_id")
+    # keys of one class stand before all shared ones, so they use up places of the prefix
+    of_class = W.partitionBy("doc_id")
+    counted = shared.withColumn("rank", F.row_number().over(of_class.orderBy("df", "key"))).withColumn("n_shared", F.count(F.lit(1)).over(of_class))
+    firsts = counted.where(F.col("rank") + F.col("n") - F.col("n_shared") <= prefix)
     a = firsts.select(F.col("doc_id").alias("doc_a"), F.col("n").alias("n_a"), "key", *block)
     b = firsts.select(F.col("doc_id").alias("doc_b"), F.col("n").alias("n_b"), "key", *block)
     sized = (F.least("n_a", "n_b") >= F.ceil(F.greatest("n_a", "n_b") * ratio - 1e-9)) & (F.col("doc_a") < F.col("doc_b"))
-    pairs = a.join(b, ["key", *block]).where(sized).select("doc_a", "doc_b", "n_a", "n_b").distinct()
-    left = keys.select(F.col("doc_id").alias("doc_a"), "key")
-    right = keys.select(F.col("doc_id").alias("doc_b"), "key")
-    common = pairs.join(left, "doc_a").join(right, ["doc_b", "key"]).groupBy("doc_a", "doc_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"))
-    found = common.withColumn("share", 2.0 * F.col("common") / (F.col("n_a") + F.col("n_b"))).where(F.col("share") >= share)
-    return found.groupBy("doc_b").agg(F.min(F.struct("doc_a", "share")).alias("first")).select("first.doc_a", "doc_b", "first.share")
+    pairs = a.join(b, ["key", *block]).where(sized).select("doc_a", "doc_b").distinct()
+    sets = lambda name: classes.select(F.col("doc_id").alias(f"doc_{name}"), F.col("keys").alias(f"keys_{name}"))
+    common = F.size(F.array_intersect("keys_a", "keys_b"))
+    full = pairs.join(sets("a"), "doc_a").join(sets("b"), "doc_b").withColumn("share", 2.0 * common / (F.size("keys_a") + F.size("keys_b")))
+    found = full.where(F.col("share") >= share).groupBy("doc_b").agg(F.min(F.struct("doc_a", "share")).alias("first"))
+    first = classes.select(*same, F.col("doc_id").alias("smallest")).join(found.withColumnRenamed("doc_b", "smallest"), "smallest", "left")
+    members = rows.select(F.col("doc_id").alias("doc_b"), *same).join(first, same)
+    own = F.when(F.col("doc_b") != F.col("smallest"), F.struct(F.col("smallest").alias("doc_a"), F.lit(1.0).alias("share")))
+    return members.withColumn("first", F.coalesce("first", own)).where("first is not null").select("first.doc_a", "doc_b", "first.share")
 
 
 def copied_portions(docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -80,6 +80,7 @@ def test_near_duplicates_equal_all_pairs(spark):
                 t[rng.randrange(40)] = f"new {rng.random()}"
             rows.append("\n".join(t))
     rows += ["", " \n ", "a\na\na", "a\na", rows[0]]
+    rows += [rows[2], rows[19], rows[2], "a\na"]
     for share in (0.95, 0.8, 2 * 38 / 80):
         want = {}
         for b in range(len(rows)):
@@ -88,6 +89,8 @@ def test_near_duplicates_equal_all_pairs(spark):
                 want[b] = a
         got = {r.doc_b: r.doc_a for r in near_lines.near_duplicates(texts(spark, *rows), share).collect()}
         assert got == want, share
+    docs = texts(spark, "a\nb", "b\na", "a\nb", "a\nb").withColumn("name", F.when(F.col("doc_id") < 3, F.when(F.col("doc_id") == 1, "y").otherwise("x")))
+    assert [tuple(r) for r in near_lines.near_duplicates(docs, block=["name"]).collect()] == [(0, 2, 1.0)]
 
 
 def test_copied_portions_and_their_removal(spark):
