@@ -14,9 +14,10 @@ OPENERS = r"[\p{Lu}\p{Nd}(`'\"*_\[§¶“‘—–]"
 ABBREVIATIONS = ("e.g", "i.e", "etc", "vs", "cf", "al", "fig", "no", "approx", "dr", "mr", "mrs")
 WORD = r"[A-Za-z]+(?:'[A-Za-z]+)?"
 LIST_MARKER = r"^([ \t]*)([-*+]|[0-9]+[.)])[ \t]"
-BREAK, HELD = "\u0001", "\u0002"
+BREAK = "\u0001"
 
-_ABBREVIATION = r"(?i)(^|[\s(])(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\."
+# looks back from a terminator only, so other places of a text cost nothing
+_NO_ABBREVIATION = r"(?=[.!?])(?<!(?:^|[\s(])(?i:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")(?=\.))"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,9 +44,8 @@ def sentences_of(text: Column) -> Column:
     opener follow, unless the terminator belongs to an abbreviation. File names, sections and
     lower-case identifiers open no sentence here, which a tagger would tell from ordinary words.
     """
-    held = F.regexp_replace(text, _ABBREVIATION, "$1$2" + HELD)
-    cut = F.regexp_replace(held, f"({ENDS}{CLOSERS})\\s+({OPENERS})", "$1" + BREAK + "$2")
-    parts = F.split(F.translate(cut, HELD, "."), BREAK, -1)
+    cut = F.regexp_replace(text, f"{_NO_ABBREVIATION}({ENDS}{CLOSERS})\\s+({OPENERS})", "$1" + BREAK + "$2")
+    parts = F.split(cut, BREAK, -1)
     return F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(" \t\n\r"))), lambda s: s != "")
 
 
@@ -63,7 +63,7 @@ def words_of(sentence: Column) -> Column:
 
 def word_count(sentence: Column) -> Column:
     """Number of words; what stands in parentheses counts as one."""
-    return F.size(words_of(F.regexp_replace(sentence, r"\([^()]*\)", " x ")))
+    return F.size(words_of(F.when(F.contains(sentence, F.lit("(")), F.regexp_replace(sentence, r"\([^()]*\)", " x ")).otherwise(sentence)))
 
 
 def identifier_words_of(text: Column) -> Column:
@@ -166,18 +166,24 @@ def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.explode(blocks_of(F.col(text))).alias("b")).select("doc_id", "b.*")
 
 
+# What counts as no words of a prose text, and the placeholder that stands for it.
+PLACEHOLDERS = (
+    (r"(`+)[^`]+\1", " CODE "),
+    (r"\[#x[0-9A-Fa-f]+(?:-#x[0-9A-Fa-f]+)?\]", " "),
+    (r"\[§[^\]\s]*\]\([^)\s]*\)", "§"),
+    (r"\]\([^)]*\)", "](URL)"),
+    (r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});", " ENTITY "),
+    (r"\"[^\"\n]*\"|“[^”\n]*”", " QUOTE "),
+)
+
+
 def mask_prose(text: Column) -> Column:
     """Code spans, character ranges, section links, link targets, entities and quotations become placeholder words."""
-    for pattern, instead in (
-        (r"(`+)[^`]+\1", " CODE "),
-        (r"\[#x[0-9A-Fa-f]+(?:-#x[0-9A-Fa-f]+)?\]", " "),
-        (r"\[§[^\]\s]*\]\([^)\s]*\)", "§"),
-        (r"\]\([^)]*\)", "](URL)"),
-        (r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});", " ENTITY "),
-        (r"\"[^\"\n]*\"|“[^”\n]*”", " QUOTE "),
-    ):
-        text = F.regexp_replace(text, pattern, instead)
-    return text
+    masked = text
+    for pattern, instead in PLACEHOLDERS:
+        masked = F.regexp_replace(masked, pattern, instead)
+    # each pattern holds one of these characters, and most texts hold none
+    return F.when(F.length(F.translate(text, "`]&\"“", "")) < F.length(text), masked).otherwise(text)
 
 
 def sections(docs: DataFrame, level: int = 2, text: str = "text") -> DataFrame:

@@ -164,28 +164,57 @@ def long_block(s: Segments) -> DataFrame:
 
 
 def spliced_commas(text: Column) -> Column:
-    """The parts `, (conjunction) subject [words] verb` of a text that join two clauses; the bare form needs a clause before it."""
-    low, high = BOUND
-    subject, verb = one_of(L.class_words("clause-subject")), one_of(L.class_words("finite-verb"))
-    after = rf"(?i),\s+((?:{one_of(L.class_words('splice-conjunction'))})\s+)?(?:{subject})\s+(?:[A-Za-z0-9_]+\s+){{0,2}}?(?:not\s+)?(?:{verb}){high}"
-    flat = F.regexp_replace(text, r"\([^()]*\)", " ")
-    # each piece ends where the match of the next one begins
-    pieces = F.split(F.regexp_replace(flat, f"({after})", "\u0001$1\u0002"), "\u0001", -1)
-    match = lambda p: F.substring_index(p, "\u0002", 1)
-    rest = lambda p: F.when(F.contains(p, F.lit("\u0002")), F.substring_index(p, "\u0002", -1)).otherwise(p)
-    before = lambda p: F.btrim(F.regexp_extract(rest(p), r"([^.!?:;—]*)$", 1))
-    dependent = rf"(?i)^(?:(?:{one_of(L.class_words('subordinator-conjunction'))})\s+)?(?:{one_of(L.class_words('subordinator'))}){high}"
-    clause = lambda b: ~b.rlike(dependent) & b.rlike(f"(?i){low}(?:{verb}){high}") & (F.size(F.split(b, r"\s+")) >= 3)
-    joined = lambda m: m.rlike(rf"(?i)^,\s+(?:{one_of(L.class_words('splice-conjunction'))})\s+(?:{subject})\s")
-    hits = lambda ps: F.transform(ps, lambda p, i: F.when((i > 0) & (joined(match(p)) | clause(before(F.get(ps, i - 1)))), match(p)))
-    return F.array_compact(S.let(pieces, hits))
+    """The parts `, [conjunction] subject [words] verb` of a text that join two clauses; without a conjunction a clause has to stand before the comma.
+
+    Words are looked up by class in arrays: a sentence part is cut at its commas, and only the few
+    words after a comma are classed; what stands before it is read where those fit.
+    """
+    in_class = lambda word, name: word.isin(L.class_words(name))
+    lead = lambda word: F.regexp_extract(F.lower(word), "^([a-z0-9_]*)", 1)
+
+    def stands_alone(before: Column) -> Column:
+        def of_words(words: Column) -> Column:
+            first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+            dependent = in_class(lead(first), "subordinator") | (in_class(F.lower(first), "subordinator-conjunction") & F.coalesce(in_class(lead(second), "subordinator"), F.lit(False)))
+            has_verb = F.exists(words, lambda w: F.exists(F.split(F.lower(w), "[^a-z0-9_]+"), lambda x: in_class(x, "finite-verb")))
+            return (F.size(words) >= 3) & ~dependent & has_verb
+
+        return S.let(F.split(F.btrim(before, F.lit(" \t\n\r")), r"\s+", -1), of_words)
+
+    def hit(pieces: Column, i: Column, words: Column) -> Column:
+        # words[0] is empty where white space follows the comma
+        joined = in_class(F.lower(F.get(words, F.lit(1))), "splice-conjunction")
+        at = F.when(joined, 2).otherwise(1)
+
+        def is_verb(v: Column) -> Column:
+            between = F.slice(words, at + 2, v - at - 1)
+            near = (v <= at + 3) | (F.lower(F.get(words, v - 1)) == "not")
+            return in_class(lead(F.get(words, v)), "finite-verb") & near & F.forall(between, lambda w: w.rlike("^[A-Za-z0-9_]+$"))
+
+        def made(v: Column) -> Column:
+            end = F.substring(F.get(words, v), F.lit(1), F.length(lead(F.get(words, v))))
+            return F.concat(F.lit(", "), F.array_join(F.concat(F.slice(words, F.lit(2), v - 1), F.array(end)), " "))
+
+        verb = F.get(F.filter(F.sequence(at + 1, at + 4), lambda v: F.coalesce(is_verb(v), F.lit(False))), F.lit(0))
+        opens = (F.get(words, F.lit(0)) == "") & in_class(F.lower(F.get(words, at)), "clause-subject")
+        found = S.let(verb, lambda v: F.when(v.isNotNull() & (joined | stands_alone(F.array_join(F.slice(pieces, F.lit(1), i), ","))), made(v)))
+        return F.when(opens, found)
+
+    def of_sentence(sentence: Column) -> Column:
+        pieces = F.split(sentence, ",", -1)
+        # a white space, a conjunction, a subject, two words, a negation and a verb are seven at most
+        each = lambda ps: F.transform(ps, lambda p, i: F.when(i > 0, S.let(F.split(p, r"\s+", 8), lambda words: hit(ps, i, words))))
+        return F.array_compact(S.let(pieces, each))
+
+    parts = F.split(F.regexp_replace(text, r"\([^()]*\)", " "), "[.!?:;—]", -1)
+    return F.flatten(F.transform(F.filter(parts, lambda x: F.contains(x, F.lit(","))), of_sentence))
 
 
 @rule("english/comma-splice", cases=(Case("bare", "The cache holds rows, it drops them."), Case("list", "It holds rows, keys and files.", False), Case("dependent", "If the cache is cold, it waits.", False)))
 def comma_splice(s: Segments) -> DataFrame:
     # a subject and a verb after a comma: without a comma no match
-    rows = s.prose.where(F.contains("masked", F.lit(","))).select("doc_id", "start_line", "end_line", F.explode(spliced_commas(F.col("masked"))).alias("hit"))
-    return _found(rows, F.col("start_line"), F.col("end_line"), F.lit("a comma joins two clauses that each stand alone"), F.col("hit"), "Write a period in place of the comma.")
+    rows = s.prose.where(F.contains("text", F.lit(","))).select("doc_id", "start_line", "end_line", F.explode(spliced_commas(F.col("masked"))).alias("hit"))
+    return _found(rows, F.col("start_line"), F.col("end_line"), F.lit("two full clauses meet at a comma"), F.col("hit"), "End the sentence at the comma.")
 
 
 @rule("english/semicolon", cases=(Case("one", "It runs; it stops."), Case("code", "It writes `a;b` there.", False)))

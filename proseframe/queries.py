@@ -547,7 +547,7 @@ SPLICE_SQL = r"regexp_matches(masked, '(?i),\s+(?:(?:" + "|".join(L.class_words(
 def k4_spliced_conjunctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that join two clauses by a comma and a conjunction, the form that asks for no clause before it."""
     conjunction = "|".join(L.class_words("splice-conjunction"))
-    rows = rules.Segments(docs_of(spark, sf_dir)).prose
+    rows = rules.Segments(docs_of(spark, sf_dir)).prose.where(F.contains("text", F.lit(",")))
     hits = F.filter(rules.spliced_commas(F.col("masked")), lambda m: m.rlike(rf"(?i)^,\s+(?:{conjunction})\s"))
     return rows.where(F.size(hits) > 0).select("doc_id", "block_no")
 

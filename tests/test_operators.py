@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proseframe.functions import kinds as K
 from proseframe.functions import segment as S
-from proseframe.operators import config_rules, dead_names, messages, near_lines, references, repair, sessions, snapshots
+from proseframe.operators import config_rules, dead_names, messages, near_lines, references, repair, rules, sessions, snapshots
 from proseframe.sources import tables
 
 
@@ -29,6 +29,23 @@ def test_sentences(spark):
     assert one(spark, S.word_count, "It (a b c) isn't") == 3
 
 
+def test_spliced_commas(spark):
+    cases = {
+        "The cache holds rows, it drops them.": [", it drops"],
+        "It runs, and  they do not stop. A b c, x": [", and they do"],
+        "If the cache is cold, it waits": [],
+        "And if it is cold, it waits": [],
+        "The row (so, it is) stays, but the two old not keeps it": [", but the two old not keeps"],
+        "a, it is, it was": [", it was"],
+        "It works well,it is": [],
+        "It is so, the big red fast car moves": [],
+        "": [],
+    }
+    for text, want in cases.items():
+        assert one(spark, rules.spliced_commas, text) == want, text
+    assert one(spark, rules.spliced_commas, None) is None
+
+
 def test_fences(spark):
     t = "a\n```\nb\n~~~\nc\n```\nd"
     assert one(spark, lambda c: S.fenced_mask(S.lines_of(c)), t) == [False, True, True, True, False, True, True]
