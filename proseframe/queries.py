@@ -163,6 +163,13 @@ WRAP_SQL = SQL_PROSE + f""", w AS (
   SELECT doc_id, unnest(range(start_line + 1, end_line + 1)) AS line, 'wrap/hard-wrap' AS rule_id FROM prose WHERE end_line > start_line
   UNION ALL SELECT doc_id, start_line, 'wrap/long-block' FROM prose WHERE length(text) > 1500
   UNION ALL SELECT doc_id, line_no, 'wrap/wide-line' FROM l WHERE length(line) > 150 AND NOT regexp_matches(line, '^\\s*\\|') AND regexp_matches(trim(line), '\\s'))"""
+WARNING_SQL = "rule_id IN ('wrap/wide-line', 'ste/paragraph-length')"
+#: The rules of the queries about a whole run, of several families, and their findings as the table w.
+RUN_RULES = ["ste/paragraph-length", "ste/sentence-length", "wrap"]
+RUN_SQL = WRAP_SQL.replace(SQL_PROSE, SQL_SENTENCES).replace(", w AS (", f""", w AS (
+  SELECT doc_id, start_line AS line, 'ste/sentence-length' AS rule_id FROM s WHERE n_words > 25
+  UNION ALL SELECT doc_id, start_line, 'ste/paragraph-length' FROM prose WHERE NOT listed AND len({sql_sentences('masked')}) > 6
+  UNION ALL""")
 
 
 @query(f"WITH {WRAP_SQL} SELECT rule_id, count(*) AS n_findings, count(DISTINCT doc_id) AS n_docs FROM w GROUP BY rule_id")
@@ -170,9 +177,9 @@ def c1_select_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.check(docs_of(spark, sf_dir), ["wrap"]).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_findings"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query(f"WITH {WRAP_SQL} SELECT doc_id, bool_or(rule_id <> 'wrap/wide-line') AS failed FROM w GROUP BY doc_id")
+@query(f"WITH {RUN_SQL} SELECT doc_id, bool_or(NOT {WARNING_SQL}) AS failed FROM w GROUP BY doc_id")
 def c2_severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.check(docs_of(spark, sf_dir), ["wrap"]).groupBy("doc_id").agg(F.bool_or(F.col("severity") == "error").alias("failed"))
+    return plan.check(docs_of(spark, sf_dir), RUN_RULES).groupBy("doc_id").agg(F.bool_or(F.col("severity") == "error").alias("failed"))
 
 
 @query("WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[^A-Za-z0-9_]+')) AS token FROM documents) SELECT doc_id, token FROM w WHERE regexp_matches(token, '^[0-9a-f]{7,40}$') AND regexp_matches(token, '[0-9]') AND regexp_matches(token, '[a-f]')")
@@ -309,9 +316,9 @@ def d19_class_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- aggregations ----------------------------------------------------------------------------------
 
 
-@query(f"WITH {WRAP_SQL} SELECT CASE WHEN grouping(rule_id) = 1 AND grouping(category) = 1 THEN NULL ELSE category END AS category, rule_id, severity, count(*) AS n_findings FROM (SELECT *, 'wrap' AS category, CASE WHEN rule_id = 'wrap/wide-line' THEN 'warning' ELSE 'error' END AS severity FROM w) GROUP BY ROLLUP (category, rule_id, severity)")
+@query(f"WITH {RUN_SQL} SELECT CASE WHEN grouping(rule_id) = 1 AND grouping(category) = 1 THEN NULL ELSE category END AS category, rule_id, severity, count(*) AS n_findings FROM (SELECT *, split_part(rule_id, '/', 1) AS category, CASE WHEN {WARNING_SQL} THEN 'warning' ELSE 'error' END AS severity FROM w) GROUP BY ROLLUP (category, rule_id, severity)")
 def e1_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.summary(plan.check(docs_of(spark, sf_dir), ["wrap"]))
+    return plan.summary(plan.check(docs_of(spark, sf_dir), RUN_RULES))
 
 
 @query(f"WITH {SQL_PROSE} SELECT doc_id, start_line AS line, len({sql_sentences('masked')}) AS n FROM prose WHERE NOT listed AND len({sql_sentences('masked')}) > 6")
@@ -442,11 +449,11 @@ def g10_unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("rn", rn).select("doc_id", F.when(F.col("rn") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("rn").cast("string"))).alias("slug"))
 
 
-@query(f"""WITH {WRAP_SQL}, r AS (SELECT doc_id, line, rule_id, row_number() OVER (PARTITION BY doc_id ORDER BY rule_id = 'wrap/wide-line', line, rule_id) AS rn, count(*) OVER (PARTITION BY doc_id) AS total FROM w)
+@query(f"""WITH {RUN_SQL}, r AS (SELECT doc_id, line, rule_id, row_number() OVER (PARTITION BY doc_id ORDER BY {WARNING_SQL}, NOT {WARNING_SQL} AND rule_id LIKE 'wrap/%', line, rule_id) AS rn, count(*) OVER (PARTITION BY doc_id) AS total FROM w)
 SELECT doc_id, line, rule_id, rn, CASE WHEN rn = 5 AND total > 5 THEN total - 5 ELSE 0 END AS hidden FROM r WHERE rn <= 5""")
 def g11_top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five findings of each document, warnings last."""
-    rows = plan.top_findings(plan.check(docs_of(spark, sf_dir), ["wrap"]), 5)
+    rows = plan.top_findings(plan.check(docs_of(spark, sf_dir), RUN_RULES), 5)
     return rows.select("doc_id", "line", "rule_id", "rn", "hidden")
 
 
@@ -503,9 +510,9 @@ def h1_worst_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("n_chars") >= F.ceil(F.lit(1500) * L.NEAR_FRACTION)).orderBy(F.desc("n_chars"), "doc_id").limit(20)
 
 
-@query(f"WITH {WRAP_SQL} SELECT doc_id, line, rule_id FROM w")
+@query(f"WITH {RUN_SQL} SELECT doc_id, line, rule_id FROM w")
 def h2_ordered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.report(plan.check(docs_of(spark, sf_dir), ["wrap"])).select("doc_id", "line", "rule_id")
+    return plan.report(plan.check(docs_of(spark, sf_dir), RUN_RULES)).select("doc_id", "line", "rule_id")
 
 
 @query(f"WITH {SQL_SENTENCES}, x AS (SELECT doc_id, start_line AS line, 'ste/sentence-length' AS rule_id FROM s WHERE n_words > 25 UNION ALL SELECT doc_id, start_line, 'wrap/long-block' FROM prose WHERE length(text) > 1500) SELECT rule_id, count(*) AS n, sum(doc_id * 31 + line) AS digest FROM x GROUP BY rule_id")
@@ -525,10 +532,10 @@ def h4_intersected_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.intersect_scopes(changed, snapshots.new_documents(base, head).select("doc_id"), wide, none)
 
 
-@query(f"WITH {WRAP_SQL} SELECT doc_id FROM documents EXCEPT ALL SELECT DISTINCT doc_id FROM w")
+@query(f"WITH {RUN_SQL} SELECT doc_id FROM documents EXCEPT ALL SELECT DISTINCT doc_id FROM w")
 def h5_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir)
-    return docs.select("doc_id").exceptAll(plan.check(docs, ["wrap"]).select("doc_id").distinct())
+    return docs.select("doc_id").exceptAll(plan.check(docs, RUN_RULES).select("doc_id").distinct())
 
 
 # --- scalar rules ----------------------------------------------------------------------------------
