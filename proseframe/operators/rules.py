@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import segment as S
 from ..functions import wordlists as L
@@ -293,24 +292,31 @@ def closed_class_words() -> list[str]:
     return sorted({w for c in ("article", "determiner", "conjunction", "preposition", "auxiliary", "adverb", "pronoun") for w in L.class_words(c)})
 
 
-def open_runs(tokens: DataFrame, over: int = L.NOUN_RUN) -> DataFrame:
-    """doc_id, sent_no, start, n: runs of over `over` words of a sentence that no closed class holds.
+def open_runs(lower: Column, over: int = L.NOUN_RUN) -> Column:
+    """(start, n) of runs of over `over` words, of an array in lower case, that no closed class holds.
 
-    A lexicon stands in for a tagger, so verbs count as open words.
+    What stands between two words of closed classes is a run, so a row is read once. A lexicon
+    stands in for a tagger, so verbs count as open words.
     """
-    place = W.partitionBy("doc_id", "sent_no").orderBy("pos")
-    is_open = ~F.col("lower").isin(closed_class_words())
-    rows = tokens.withColumn("island", F.when(is_open, F.col("pos") - F.sum(F.when(is_open, 1).otherwise(0)).over(place)))
-    return rows.where("island is not null").groupBy("doc_id", "sent_no", "island").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n")).where(F.col("n") > over).drop("island")
+    closed = closed_class_words()
+
+    def between(ends: Column) -> Column:
+        runs = F.transform(F.slice(ends, F.lit(2), F.size(ends)), lambda end, i: F.struct((F.get(ends, i) + 1).alias("start"), (end - F.get(ends, i) - 1).cast("long").alias("n")))
+        return F.filter(runs, lambda r: r["n"] > over)
+
+    def ends_of(ws: Column) -> Column:
+        inner = F.filter(F.transform(ws, lambda w, i: F.when(w.isin(closed), i)), lambda i: i.isNotNull())
+        return S.let(F.concat(F.array(F.lit(-1)), inner, F.array(F.size(ws))), between)
+
+    return S.let(lower, ends_of)
 
 
 @rule("ste/noun-cluster", "warning", cases=(Case("four", "The build cache key file is old."), Case("three", "The cache key file is old.", False)))
 def noun_cluster(s: Segments) -> DataFrame:
-    place = W.partitionBy("doc_id", "block_no", "sent_no").orderBy("pos")
-    is_open = ~F.col("lower").isin(closed_class_words())
-    rows = s.tokens.withColumn("island", F.when(is_open, F.col("pos") - F.sum(F.when(is_open, 1).otherwise(0)).over(place))).where("island is not null")
-    runs = rows.groupBy("doc_id", "block_no", "sent_no", "island", "start_line", "end_line").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w")).where(F.size("w") > L.NOUN_RUN)
-    return _found(runs, F.col("start_line"), F.col("end_line"), F.lit("over three nouns in a row"), F.array_join("w.word", " "), "Break the cluster up.")
+    rows = s.sentences.select("doc_id", "start_line", "end_line", S.words_of(F.col("sentence")).alias("w"))
+    runs = rows.select("doc_id", "start_line", "end_line", "w", F.explode(open_runs(F.transform("w", F.lower))).alias("r"))
+    words = F.array_join(F.slice("w", F.col("r.start") + 1, F.col("r.n").cast("int")), " ")
+    return _found(runs, F.col("start_line"), F.col("end_line"), F.lit("over three nouns in a row"), words, "Break the cluster up.")
 
 
 def verb_forms(words: Column) -> Column:

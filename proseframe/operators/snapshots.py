@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,8 +13,19 @@ from ..functions import segment as S
 
 
 def _copies(docs: DataFrame) -> DataFrame:
-    place = W.partitionBy("doc_id", "line").orderBy("line_no")
-    return S.lines(docs).withColumn("occ", F.row_number().over(place))
+    """doc_id, line, line_no, occ: the copies of a line are numbered from above, inside the row, so nothing is shuffled for it."""
+    placed = F.array_sort(F.transform(S.lines_of(F.col("text")), lambda s, i: F.struct(s.alias("line"), (i + 1).alias("line_no"))))
+
+    def numbered(ls: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: (i == 0) | (F.get(ls, i)["line"] != F.get(ls, i - 1)["line"]))
+
+        def of_run(firsts: Column, first: Column, j: Column) -> Column:
+            run = F.slice(ls, first + 1, F.coalesce(F.get(firsts, j + 1), F.size(ls)) - first)
+            return F.transform(run, lambda x, k: F.struct(x["line"].alias("line"), x["line_no"].alias("line_no"), (k + 1).alias("occ")))
+
+        return S.let(starts, lambda firsts: F.flatten(F.transform(firsts, lambda first, j: of_run(firsts, first, j))))
+
+    return docs.select("doc_id", F.explode(S.let(placed, numbered)).alias("l")).select("doc_id", "l.*")
 
 
 def changed_lines(base: DataFrame, head: DataFrame) -> DataFrame:

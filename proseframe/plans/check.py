@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import phrases  # noqa: F401  registers its rules
+from ..operators import counts, phrases  # noqa: F401  they register their rules
 from ..operators.rules import FINDING, Rule, Segments, run_rule, select_rules
 
 
@@ -70,13 +70,15 @@ def repair_text(text: Column, rules: list[Rule]) -> Column:
     return text
 
 
-def repair(docs: DataFrame, rules: list[str] | None = None, rounds: int = 4) -> DataFrame:
-    """docs with the repaired text, `before` and `changed`.
+def repair(docs: DataFrame, rules: list[str | Rule] | None = None, rounds: int = 4) -> DataFrame:
+    """docs with the repaired text, `before` and `changed`. Rules go by id or category; one that is not registered is given itself.
 
     The rounds are composed into one expression: a text that a round leaves alone stays as it is in
     the next, so four rounds reach the same result without a job for each.
     """
-    chosen = select_rules(rules)
+    own = [r for r in rules or [] if isinstance(r, Rule)]
+    names = None if rules is None else [r for r in rules if not isinstance(r, Rule)]
+    chosen = own + select_rules(names)
     rows = docs.withColumn("before", F.col("text"))
     for _ in range(rounds):
         rows = rows.withColumn("text", repair_text(F.col("text"), chosen))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from .functions import kinds as K
 from .functions import segment as S
 from .functions import wordlists as L
-from .operators import dead_names, near_lines, references, repair, rules, sessions, snapshots
+from .operators import dead_names, near_lines, numbering, references, repair, rules, sessions, snapshots
 from .plans import check as plan
 from .sources.tables import file_kind, table
 
@@ -445,8 +445,7 @@ SELECT doc_id, CASE WHEN rn = 1 THEN slug ELSE slug || '-' || CAST(rn AS VARCHAR
 def g10_unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of a document as its title; equal slugs of a source are numbered."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", references.slug(F.get(S.lines_of(F.col("text")), F.lit(0))).alias("slug"))
-    rn = F.row_number().over(W.partitionBy("source", "slug").orderBy("doc_id"))
-    return rows.withColumn("rn", rn).select("doc_id", F.when(F.col("rn") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("rn").cast("string"))).alias("slug"))
+    return numbering.numbered(rows, ["source", "slug"], "doc_id").select("doc_id", F.when(F.col("rn") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("rn").cast("string"))).alias("slug"))
 
 
 @query(f"""WITH {RUN_SQL}, r AS (SELECT doc_id, line, rule_id, row_number() OVER (PARTITION BY doc_id ORDER BY {WARNING_SQL}, NOT {WARNING_SQL} AND rule_id LIKE 'wrap/%', line, rule_id) AS rn, count(*) OVER (PARTITION BY doc_id) AS total FROM w)
@@ -482,8 +481,8 @@ o AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY
 SELECT doc_id, 0 AS sent_no, min(pos) AS "start", count(*) AS n FROM o GROUP BY doc_id, i HAVING count(*) > 3""")
 def g17_open_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of more than three open words; a whole text is one sequence here."""
-    words = S.words(docs_of(spark, sf_dir)).select("doc_id", F.lit(0).alias("sent_no"), "pos", F.lower("word").alias("lower"))
-    return rules.open_runs(words)
+    lower = F.transform(S.words_of(F.col("text")), F.lower)
+    return docs_of(spark, sf_dir).select("doc_id", F.lit(0).alias("sent_no"), F.explode(rules.open_runs(lower)).alias("r")).select("doc_id", "sent_no", "r.*")
 
 
 PARTICIPLES = sorted({p for _, _, p in L.VERBS})
@@ -665,6 +664,18 @@ def r2_spliced_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.splice(docs, admitted).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+ROUND_SQL = "replace(replace({}, '  ', ' '), chr(10), '  ')"
+
+
+@query(f"WITH r AS (SELECT doc_id, text, {ROUND_SQL.format(ROUND_SQL.format(ROUND_SQL.format(ROUND_SQL.format('text'))))} AS now FROM documents) SELECT doc_id, md5(now) AS digest, now <> text AS changed FROM r")
+def r1_repaired_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two repairs by their places in four rounds: double blanks become one, then line feeds two, so each needs what the other leaves."""
+    no_cases = lambda s: s.docs.limit(0)
+    blanks = rules.Rule("own/blanks", no_cases, repair=lambda t: F.replace(t, F.lit("  "), F.lit(" ")), place=10)
+    feeds = rules.Rule("own/line-feeds", no_cases, repair=lambda t: F.replace(t, F.lit("\n"), F.lit("  ")), place=20)
+    return plan.repair(docs_of(spark, sf_dir), [feeds, blanks]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "changed")
+
+
 @query(r"""WITH ln AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM conversations),
 m AS (SELECT *, [trim(x, ' ' || chr(9) || chr(13)) FOR x IN string_split(regexp_replace(line, '([.!?]+)([^A-Za-z0-9.!?]|$)', '\1' || chr(1) || '\2', 'g'), chr(1)) IF trim(x, ' ' || chr(9) || chr(13)) <> ''] AS s FROM ln),
 c AS (SELECT conv_id, turn, no, line, CASE WHEN len([x FOR x IN s IF length(x) > 150]) > 0 THEN array_to_string([x FOR x IN s IF length(x) <= 150], ' ') ELSE line END AS now FROM m)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proseframe.functions import kinds as K
 from proseframe.functions import segment as S
-from proseframe.operators import config_rules, dead_names, messages, near_lines, references, repair, rules, sessions, snapshots
+from proseframe.operators import config_rules, dead_names, messages, near_lines, numbering, references, repair, rules, sessions, snapshots
 from proseframe.sources import tables
 
 
@@ -145,6 +145,28 @@ def test_changed_lines_in_order(spark):
     assert [r.line_no for r in moved.collect()] == [3]
 
 
+def test_changed_copies_of_lines(spark):
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    base, head = docs((0, "a\nb\na\n"), (1, None), (2, "x")), docs((0, "\na\na\nc\na\n"), (1, "p\np"), (2, None), (3, ""))
+    got = sorted((r.doc_id, r.line_no, r.line) for r in snapshots.changed_lines(base, head).collect())
+    assert got == [(0, 4, "c"), (0, 5, "a"), (0, 6, ""), (1, 1, "p"), (1, 2, "p"), (3, 1, "")]
+
+
+def test_open_runs(spark):
+    runs = lambda t: [tuple(r) for r in one(spark, lambda c: rules.open_runs(F.transform(S.words_of(c), F.lower), 2), t)]
+    assert runs("Build cache key of the file and new row key store") == [(0, 3), (6, 4)] and runs("") == [] and runs("of the") == []
+
+
+def test_numbers_inside_large_groups(spark):
+    rng = random.Random(4)
+    rows = [(i, "hot" if rng.random() < 0.7 else f"k{i % 5}", None if i % 90 == 0 else "s") for i in rng.sample(range(10**6), 900)]
+    rows += [(None, "lone", "s")]
+    docs = spark.createDataFrame(rows, "id long, k string, s string")
+    got = {r.id: r.rn for r in numbering.numbered(docs, ["k", "s"], "id", parts=7).collect()}
+    assert got == {i: 1 if i is None else sum(a == b and c == d and (j or 0) <= i for j, a, c in rows for b, d in [(k, s)]) for i, k, s in rows}
+    assert numbering.numbered(docs.limit(0), ["k"], "id").count() == 0
+
+
 def test_tagged_snapshot(spark):
     rows = spark.createDataFrame([("s1", 1, "p", "d", "v1"), ("s2", 2, "p", "d", None)], "snapshot string, seq long, path string, digest string, tag string")
     head = spark.createDataFrame([("p", "d"), ("q", "e")], "path string, digest string")
