@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -63,25 +63,22 @@ def top_findings(findings: DataFrame, most: int, ranks: dict[str, int] | None =
     return rows.withColumn("hidden", F.when((F.col("rn") == most) & (F.col("total") > most), F.col("total") - most).otherwise(0)).drop("total")
 
 
-def repair_text(text: Column, rules: list[Rule]) -> Column:
-    """One round of the rules' repairs, in the order of their places."""
-    for r in sorted((r for r in rules if r.repair), key=lambda r: (r.place, r.id)):
-        text = r.repair(text)
-    return text
-
-
 def repair(docs: DataFrame, rules: list[str | Rule] | None = None, rounds: int = 4) -> DataFrame:
     """docs with the repaired text, `before` and `changed`. Rules go by id or category; one that is not registered is given itself.
 
-    The rounds are composed into one expression: a text that a round leaves alone stays as it is in
-    the next, so four rounds reach the same result without a job for each.
+    In a round the repairs go in the order of their places. The rounds are steps of one plan: a text
+    that a round leaves alone stays as it is in the next, so four rounds reach the same result
+    without a job for each. Every repair is a projection of its own, since the optimizer takes very
+    long over one expression that nests them all.
     """
     own = [r for r in rules or [] if isinstance(r, Rule)]
     names = None if rules is None else [r for r in rules if not isinstance(r, Rule)]
     chosen = own + select_rules(names)
     rows = docs.withColumn("before", F.col("text"))
     for _ in range(rounds):
-        rows = rows.withColumn("text", repair_text(F.col("text"), chosen))
+        for r in sorted((r for r in chosen if r.repair), key=lambda r: (r.place, r.id)):
+            # the text is read twice, which keeps projections apart; null stays null
+            rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), r.repair(F.col("text"))))
     return rows.withColumn("changed", ~F.col("text").eqNullSafe(F.col("before")))
 
 

@@ -154,7 +154,7 @@ def test_changed_copies_of_lines(spark):
 
 def test_open_runs(spark):
     runs = lambda t: [tuple(r) for r in one(spark, lambda c: rules.open_runs(F.transform(S.words_of(c), F.lower), 2), t)]
-    assert runs("Build cache key of the file and new row key store") == [(0, 3), (6, 4)] and runs("") == [] and runs("of the") == []
+    assert runs("Build cache key of the file and new row key store") == [(0, 3), (7, 4)] and runs("") == [] and runs("of the") == []
 
 
 def test_numbers_inside_large_groups(spark):
