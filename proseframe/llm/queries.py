@@ -11,10 +11,13 @@ from .chat_format import format_chats
 from .common import table
 from .decontaminate import find_contamination
 from .embedding_dedup import embedding_duplicates
+from .fingerprint import compare_edited
+from .hard_negatives import hard_negatives
 from .line_dedup import drop_common_lines
 from .lm_score import pseudo_likelihood
 from .minhash import near_duplicates
 from .packing import pack
+from .phrases import mine_phrases
 from .suffix_dedup import remove_repeated_strings
 from .toxicity import score_toxicity
 from .url_filter import filter_urls
@@ -177,11 +180,101 @@ SELECT c.conv_id, CAST(len(c.turns) AS BIGINT) AS n_turns, c.rendered FROM c JOI
 WHERE c.conv_id NOT IN (SELECT conv_id FROM snapshots)
 """
 
+
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"), min_count=100, most_words=5, top=2000)
+
+
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS words FROM pieces),
+starts AS (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(words) >= m),
+counted AS (SELECT lang, m, words[i:i + m - 1] AS p, count(*) AS a FROM starts GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counted WHERE m = 1 GROUP BY lang),
+f AS (SELECT lang, m, p, array_to_string(p, ' ') AS phrase, a FROM counted WHERE a >= 100),
+cuts AS (SELECT lang, m, p, phrase, a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, x.a AS l, y.a AS r, n, CAST((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.p[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.p[k + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sizes AS (SELECT lang, p, m, a, unnest(range(2, m)) AS j FROM f WHERE m > 2),
+parts AS (SELECT lang, p, j, a, unnest(range(1, m - j + 2)) AS i FROM sizes),
+longer AS (SELECT lang, array_to_string(p[i:i + j - 1], ' ') AS phrase, max(a) AS longest FROM parts GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE longest IS NULL OR 100 * longest < 100 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=5, share=(80, 100), scale=256)
+
+
+OP12 = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+e AS (
+  SELECT doc_id, text, n, coalesce(lead(doc_id) OVER o, min(doc_id) OVER ()) AS next_id,
+    substr(text, 1, n - n // 4) || substr(coalesce(lead(text) OVER o, first_value(text) OVER o), 1, n // 4) AS edited
+  FROM d WINDOW o AS (ORDER BY doc_id)),
+lines AS (
+  SELECT doc_id, 1 AS kind, unnest(string_split(text, chr(10))) AS p FROM e
+  UNION ALL SELECT doc_id, 2, unnest(string_split(edited, chr(10))) FROM e),
+pieces AS (SELECT doc_id, kind, CAST('0x' || substr(md5(x), 1, 4) AS BIGINT) AS bits FROM (
+  SELECT doc_id, kind, unnest(regexp_extract_all(p, '[^ ]+(?: +[^ ]+){0,3}')) AS x FROM lines)),
+units AS (
+  SELECT doc_id, kind, k AS lane, CAST('0x' || substr(sha256(p), CAST(8 * k + 1 AS BIGINT), 8) AS BIGINT) AS value FROM lines, range(8) AS r(k)
+  UNION ALL SELECT doc_id, kind, 8 + bits % 128, CASE WHEN bits % 256 < 128 THEN 1 ELSE -1 END FROM pieces),
+sums AS (SELECT doc_id, kind, lane, CAST(sum(value) AS BIGINT) AS value FROM units GROUP BY ALL),
+dense AS (
+  SELECT a.doc_id, a.kind, k AS lane, coalesce(value, 0) AS value, CASE WHEN k < 8 THEN 4294967296 ELSE 65536 END AS m
+  FROM (SELECT DISTINCT doc_id, kind FROM lines) a CROSS JOIN range(136) AS r(k)
+  LEFT JOIN sums s ON s.doc_id = a.doc_id AND s.kind = a.kind AND s.lane = k),
+reduced AS (SELECT doc_id, kind, lane, ((value % m) + m) % m AS value FROM dense),
+prints AS (
+  SELECT doc_id, kind, string_agg(CASE WHEN lane < 8 THEN printf('%08x', value) ELSE printf('%04x', value) END, '' ORDER BY lane) AS fp,
+    list(CAST(CASE WHEN value >= 32768 THEN value - 65536 ELSE value END AS DOUBLE) ORDER BY lane) FILTER (WHERE lane >= 8) AS v
+  FROM reduced GROUP BY doc_id, kind),
+joined AS (
+  SELECT e.doc_id, n, edited, a.fp, b.fp AS edited_fp, c.fp AS next_fp, list_inner_product(a.v, b.v) AS ab, list_inner_product(a.v, c.v) AS ac,
+    list_inner_product(a.v, a.v) AS aa, list_inner_product(b.v, b.v) AS bb, list_inner_product(c.v, c.v) AS cc
+  FROM e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 1 JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 2
+  JOIN prints c ON c.doc_id = e.next_id AND c.kind = 1)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint, edited_fp AS edited_fingerprint,
+  CASE WHEN fp = edited_fp THEN 1.0::DOUBLE WHEN aa = 0 OR bb = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ab / sqrt(aa * bb))) END AS near_edited,
+  CASE WHEN fp = next_fp THEN 1.0::DOUBLE WHEN aa = 0 OR cc = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ac / sqrt(aa * cc))) END AS near_next
+FROM joined
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_embedding_dedup, op3_url_filter, op4_packing, op5_suffix_dedup, op6_decontamination,
-        op7_line_dedup, op8_minhash_dedup, op9_lm_score, op10_chat_format,
+        op7_line_dedup, op8_minhash_dedup, op9_lm_score, op10_chat_format, op11_phrases, op12_hard_negatives, op13_fingerprint,
     )
 }
 
@@ -192,4 +285,7 @@ ORACLE_SQL = {
     "op7_line_dedup": OP7,
     "op8_minhash_dedup": OP8,
     "op10_chat_format": OP10,
+    "op11_phrases": OP11,
+    "op12_hard_negatives": OP12,
+    "op13_fingerprint": OP13,
 }
