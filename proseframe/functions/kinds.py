@@ -81,21 +81,6 @@ def numerals_after_determiner(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?i)(?<![A-Za-z])((?:the|these|those|its|their|our|your|all) (?:{number}) (?!(?:{unit})(?![A-Za-z]))[a-z]+s)(?![A-Za-z])"), 1)
 
 
-def drop_words(text: Column, words: list[str]) -> Column:
-    """Filler words cut with the blank after them, whole words only."""
-    for w in words:
-        text = F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_]) ?", "")
-    return text
-
-
-def swap_phrases(text: Column, swaps: dict[str, str]) -> Column:
-    """Phrases replaced whole; a capital at the start is kept."""
-    for a, b in swaps.items():
-        text = F.regexp_replace(text, rf"(?<![A-Za-z0-9_]){a}(?![A-Za-z0-9_])", b)
-        text = F.regexp_replace(text, rf"(?<![A-Za-z0-9_]){a[0].upper() + a[1:]}(?![A-Za-z0-9_])", b[0].upper() + b[1:])
-    return text
-
-
 def json_entries(text: Column) -> Column:
     """A flat JSON object as a map; null where the text is none."""
     return F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"})

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import segment as S
 from ..functions import wordlists as L
-from ..plans.prefilter import matches
 
 
 def flat_assertion(text: Column) -> Column:
@@ -25,25 +24,11 @@ def phrase_hits(messages: DataFrame, phrases: list[str], key: str = "msg_id") ->
     return rows.select(key, F.explode(places).alias("h")).select(key, "h.phrase", "h.pos")
 
 
-def blame(messages: DataFrame, key: str = "msg_id") -> DataFrame:
-    return phrase_hits(messages, L.BLAME_PHRASES, key)
-
-
 def deferrals(messages: DataFrame, key: str = "msg_id") -> DataFrame:
     """Deferral phrases, each once."""
     return phrase_hits(messages, L.DEFERRALS, key)
 
 
-def pattern_hits(messages: DataFrame, patterns: dict[str, str], pardons: list[str], key: str = "msg_id") -> DataFrame:
-    """key, sent_no, sentence, pattern_id: the first pattern (in their order) that a sentence matches, unless a pardon matches it too."""
-    rows = messages.select(key, F.posexplode(S.message_sentences_of(S.asserted_text(F.col("text")))).alias("at", "sentence"))
-    first = F.coalesce(*(F.when(matches(F.col("sentence"), p), F.lit(k)) for k, p in patterns.items()))
-    rows = rows.withColumn("pattern_id", first).where("pattern_id is not null")
-    for p in pardons:
-        rows = rows.where(~F.col("sentence").rlike(p))
-    return rows.select(key, (F.col("at") + 1).alias("sent_no"), "sentence", "pattern_id")
-
-
 CUES = ["should", "shall", "want", "would", "do", "could", "may", "can", "which", "ok", "okay"]
 
 
@@ -54,9 +39,3 @@ def questions(messages: DataFrame, cues: list[str] | None = None, key: str = "ms
     at_end = F.col("line").rlike(r"\?[\s)\"'*_`]*$")
     opened = F.col("line").rlike(rf"(?i)(^|[.!?]\s+)([A-Za-z']+\s+)?(?:{cue})(?![A-Za-z])[^.!?]*\?\s")
     return rows.where(F.contains("line", F.lit("?"))).where(at_end | opened)
-
-
-def keeps_negation(before: Column, after: Column) -> Column:
-    """A cut loses no negation."""
-    pattern = F.lit(r"(?i)(?<![A-Za-z0-9_])(?:not|no|never|none|nothing|cannot|[a-z]+n't)(?![A-Za-z0-9_])")
-    return F.regexp_count(after, pattern) >= F.regexp_count(before, pattern)

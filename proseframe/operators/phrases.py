@@ -14,42 +14,9 @@ from ..functions import segment as S
 from ..functions import wordlists as L
 from ..plans.prefilter import matches
 from . import messages, references
+from .rewrites import SPANS, Rewrite, applied, cut, lookup, template
 from .rules import Case, Segments, _found, rule
 
-GUARDED, MATCH, INSTEAD, AFTER = "\u0001", "\u0002", "\u0003", "\u0004"
-#: What no rewrite reads: code spans, quotations, labels of links.
-SPANS = r"(`+[^`]+`+|\"[^\"\n]*\"|“[^”\n]*”|\[[^\]\n]*\](?=\())"
-
-
-def rewrite(text: Column, pattern: str, instead: str, chosen: Callable[[Column], Column] | None = None) -> Column:
-    """Every match of a pattern replaced, but none inside code spans, quotations and link labels, nor one that begins or ends at the hyphen of a compound.
-
-    A capital at the start of a match passes to what replaces it, or to what follows a cut. A match
-    does not reach across a guarded span. `instead` has groups as $1, $2; `chosen` makes the
-    replacement from the match where one text does not do.
-    """
-    shifted = re.sub(r"\$\{?(\d)\}?", lambda m: "$" + str(int(m[1]) + 1), instead)
-    marked = lambda piece: F.regexp_replace(piece, rf"(?<!\w-)({pattern})(?!-\w)", MATCH + "$1" + INSTEAD + shifted + AFTER)
-    upper = lambda s: F.concat(F.upper(F.substring(s, 1, 1)), s.substr(F.lit(2), F.length(s)))
-
-    def of_piece(piece: Column) -> Column:
-        def one(parts: Column, p: Column, i: Column) -> Column:
-            # odd parts hold a match and what replaces it, even ones what stands between
-            was = F.substring_index(p, INSTEAD, 1)
-            now = chosen(was) if chosen else F.substring_index(p, INSTEAD, -1)
-            capital = lambda s: s.rlike(r"^\P{L}*\p{Lu}")
-            before = F.get(parts, i - 1)
-            cut = F.lit(not chosen) & (i > 0) & before.endswith(INSTEAD) & capital(F.substring_index(before, INSTEAD, 1)) & ~F.coalesce(F.get(parts, i - 2).rlike(r"\S\s*$"), F.lit(False))
-            replaced = F.when(capital(was) & now.rlike(r"^\p{Ll}"), upper(now)).otherwise(now)
-            return F.when(i % 2 == 1, replaced).when(cut, upper(F.ltrim(p))).otherwise(p)
-
-        return F.array_join(S.let(F.split(marked(piece), f"[{MATCH}{AFTER}]", -1), lambda ps: F.transform(ps, lambda p, i: one(ps, p, i))), "")
-
-    pieces = lambda t: F.split(F.regexp_replace(t, SPANS, GUARDED + "$1" + GUARDED), GUARDED, -1)
-    mended = lambda t: F.array_join(F.transform(pieces(t), lambda p, i: F.when(i % 2 == 0, of_piece(p)).otherwise(p)), "")
-    return S.let(text, lambda t: F.when(matches(t, pattern), mended(t)).otherwise(t))
-
-
 def of_surface(rows: list[tuple], surface: str) -> list[tuple]:
     """Rows of a table (surface, ...) that a surface (document, comment, message) reads."""
     return [r for r in rows if r[0] in ("both", surface)]
@@ -60,28 +27,26 @@ def filler_pattern(surface: str) -> str:
     return rf"(?i)(?<![\w])(?:{'|'.join(map(re.escape, words))})(?!\w),?\s*".replace(r"\ ", r"\s+")
 
 
-def without_fillers(text: Column, surface: str = "document") -> Column:
-    """Words that a text can do without are cut; one that would leave a sentence without its end stays a word of it."""
-    return rewrite(text, filler_pattern(surface), "")
+def filler_rewrites(surface: str = "document") -> tuple[Rewrite, ...]:
+    return (cut(filler_pattern(surface)),)
 
 
-def with_short_phrases(text: Column, surface: str = "document") -> Column:
-    """Every long phrase by its short one, in one pass."""
-    short = F.create_map(*(F.lit(x) for _, a, b in of_surface(T.SWAPS, surface) for x in (a, b)))
-    return rewrite(text, swap_pattern(surface), "", lambda was: F.element_at(short, F.lower(F.regexp_replace(was, r"\s+", " "))))
+def swap_rewrites(surface: str = "document") -> tuple[Rewrite, ...]:
+    return (lookup({a: b for _, a, b in of_surface(T.SWAPS, surface)}),)
 
 
-def swap_pattern(surface: str) -> str:
-    phrases = sorted((a for _, a, _ in of_surface(T.SWAPS, surface)), key=len, reverse=True)
-    return rf"(?i)(?<!\w)(?:{'|'.join(map(re.escape, phrases))})(?!\w)".replace(r"\ ", r"\s+")
+def tell_rewrites(rule_id: str) -> tuple[Rewrite, ...]:
+    return tuple(template(p, instead, noun=True) for n, p, instead in T.TELLS if n == rule_id)
 
 
-def without_tells(text: Column, rule_id: str) -> Column:
-    """A text without the wording that one rule of TELLS finds."""
-    for instead in dict.fromkeys(i for n, _, i in T.TELLS if n == rule_id):
-        patterns = [p.removeprefix("(?i)") for n, p, i in T.TELLS if n == rule_id and i == instead]
-        text = rewrite(text, "(?i)" + "|".join(patterns), instead)
-    return text
+def without_fillers(text: Column, surface: str = "document") -> Column:
+    """Words that a text can do without are cut; one that would leave a sentence without its end stays a word of it."""
+    return applied(text, filler_rewrites(surface))
+
+
+def with_short_phrases(text: Column, surface: str = "document") -> Column:
+    """Every long phrase by its short one, in one pass."""
+    return applied(text, swap_rewrites(surface))
 
 
 def _unguarded(text: Column) -> Column:
@@ -94,15 +59,15 @@ def _of_blocks(s: Segments, pattern: str, what: str, fix: str) -> DataFrame:
     return _found(rows, F.col("start_line"), F.col("end_line"), F.lit(what), F.btrim("hit"), fix)
 
 
-@rule("english/filler", repair=without_fillers, place=40, cases=(
+@rule("english/filler", rewrites=filler_rewrites(), place=40, cases=(
     Case("inner", "It simply works.", want="It works."), Case("first", "Needless to say, it works.", want="It works."), Case("code", "It prints `simply` there.", False), Case("part", "It adjusts the rows.", False)))
 def filler(s: Segments) -> DataFrame:
     return _of_blocks(s, filler_pattern("document"), "a word that the sentence can do without", "Cut it.")
 
 
-@rule("english/phrase", repair=with_short_phrases, place=41, cases=(Case("first", "In order to read it, wait.", want="To read it, wait."), Case("label", "See [prior to](x.md) there.", False)))
+@rule("english/phrase", rewrites=swap_rewrites(), place=41, cases=(Case("first", "In order to read it, wait.", want="To read it, wait."), Case("label", "See [prior to](x.md) there.", False)))
 def phrase(s: Segments) -> DataFrame:
-    return _of_blocks(s, swap_pattern("document"), "a long form of a short phrase", "Write the short form.")
+    return _of_blocks(s, swap_rewrites()[0].pattern, "a long form of a short phrase", "Write the short form.")
 
 
 @rule("english/flagged", cases=(Case("somehow", "It somehow works twice."), Case("quoted", 'It prints "no longer" there.', False)))
@@ -114,7 +79,7 @@ def flagged(s: Segments) -> DataFrame:
 TELL_CASES = {
     "tombstones/date": (Case("since", "It runs since 2024-05-06 at night.", want="It runs at night."), Case("number", "It holds 2024 rows.", False)),
     "tombstones/change-reference": (Case("pull request", "It waits see PR 77 and goes on.", want="It waits and goes on."), Case("none", "It reads the issue list.", False)),
-    "tombstones/then-and-now-contrast": (Case("former", "It reads keys instead of the former rows.", want="It reads keys"), Case("plain", "It reads keys instead of rows.", False)),
+    "tombstones/then-and-now-contrast": (Case("former", "It reads keys instead of the former rows.", want="It reads keys."), Case("plain", "It reads keys instead of rows.", False)),
     "tombstones/position-reference": (Case("above", "As noted above, it waits.", want="It waits."), Case("plain", "It stands above.", False)),
     "tombstones/hedged-time": (Case("now", "For now it waits.", want="It waits."), Case("inner", "It currently waits.", want="It waits."), Case("plain", "It waits now.", False)),
     "tombstones/unstated-value": (Case("open", "The size is TBD here.", want="The size has no set value here."), Case("plain", "The size is set.", False)),
@@ -129,7 +94,7 @@ def _register_tells() -> None:
         # inner groups would be counted among those that are extracted
         pattern = "(?i)" + re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
         detect: Callable[[Segments], DataFrame] = functools.partial(_of_blocks, pattern=pattern, what="wording about a state that is past or open", fix="Cut it.")
-        rule(rule_id, repair=functools.partial(without_tells, rule_id=rule_id), place=20, cases=cases)(detect)
+        rule(rule_id, rewrites=tell_rewrites(rule_id), place=20, cases=cases)(detect)
 
 
 _register_tells()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import segment as S
 from ..functions import wordlists as L
 from ..plans.prefilter import matches
+from .rewrites import Rewrite, lookup, pass_of, template
 
 FINDING = ["doc_id", "line", "end_line", "rule_id", "category", "rule", "detail", "fix", "severity", "repairable"]
 
@@ -68,6 +69,7 @@ class Rule:
     repair: Callable[[Column], Column] | None = None
     place: int = 1000
     cases: tuple[Case, ...] = ()
+    rewrites: tuple[Rewrite, ...] = ()
 
     @property
     def category(self) -> str:
@@ -77,13 +79,17 @@ class Rule:
 REGISTRY: dict[str, Rule] = {}
 
 
-def rule(id: str, severity: str = "", repair: Callable[[Column], Column] | None = None, place: int = 1000, cases: tuple[Case, ...] = ()) -> Callable:
-    """Register a detector. An id without a category, a repeated id and a rule without cases are errors."""
+def rule(id: str, severity: str = "", repair: Callable[[Column], Column] | None = None, place: int = 1000, cases: tuple[Case, ...] = (), rewrites: tuple[Rewrite, ...] = ()) -> Callable:
+    """Register a detector. An id without a category, a repeated id and a rule without cases are errors.
+
+    A rule repairs by a function of the text, or by rewrites, which a run makes together with those of other rules.
+    """
 
     def register(detect: Callable[[Segments], DataFrame]) -> Callable:
         if "/" not in id or id in REGISTRY or not cases:
             raise ValueError(f"rule {id!r} needs a category, a new id and cases")
-        REGISTRY[id] = Rule(id, detect, severity, repair, place, cases)
+        own = pass_of(rewrites) if rewrites else repair
+        REGISTRY[id] = Rule(id, detect, severity, own, place, cases, rewrites)
         return detect
 
     return register
@@ -128,7 +134,7 @@ def run_rule(r: Rule, segments: Segments) -> DataFrame:
 def sentence_length(s: Segments) -> DataFrame:
     cap = s.limit("sentence_words", L.SENTENCE_WORDS)
     rows = s.sentences.where(F.col("n_words") > cap)
-    what = F.concat(F.lit(f"over the {cap}-word sentence cap at "), F.col("n_words").cast("string"), F.lit(" words"))
+    what = F.concat(F.col("n_words").cast("string"), F.lit(f" words in a sentence that may have {cap}"))
     return _found(rows, F.col("start_line"), F.col("end_line"), what, F.col("sentence"), "Split it into shorter sentences.")
 
 
@@ -152,7 +158,7 @@ def paragraph_length(s: Segments) -> DataFrame:
 @rule("wrap/hard-wrap", cases=(Case("wrapped", "one line\nand another"), Case("one", "one line", False)))
 def hard_wrap(s: Segments) -> DataFrame:
     rows = s.prose.where("end_line > start_line").select("doc_id", "start_line", "text", F.explode(F.sequence(F.col("start_line") + 1, F.col("end_line"))).alias("at"))
-    return _found(rows, F.col("at"), F.col("at"), F.lit("a paragraph is one line"), F.concat(F.lit("this line continues the paragraph on line "), F.col("start_line").cast("string")), "Join the lines.")
+    return _found(rows, F.col("at"), F.col("at"), F.lit("a line that goes on with its paragraph"), F.concat(F.lit("begun on line "), F.col("start_line").cast("string")), "Join the lines.")
 
 
 @rule("wrap/long-block", cases=(Case("long", "word " * 400), Case("short", "word", False)))
@@ -222,42 +228,36 @@ def semicolon(s: Segments) -> DataFrame:
     return _found(rows, F.col("start_line"), F.col("end_line"), F.lit("a semicolon joins two sentences"), F.col("text"), "Write two sentences.")
 
 
-def comma_not(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?i),\s+never(?![A-Za-z0-9_])", ", not")
+COMMA_NEVER = r"(?i),\s+never(?![A-Za-z0-9_])"
 
 
-@rule("english/comma-never", repair=comma_not, place=30, cases=(Case("one", "It reads rows, never files.", want="It reads rows, not files."), Case("word", "It reads rows, nevertheless it waits.", False)))
+@rule("english/comma-never", rewrites=(template(COMMA_NEVER, ", not"),), place=30, cases=(Case("one", "It reads rows, never files.", want="It reads rows, not files."), Case("word", "It reads rows, nevertheless it waits.", False)))
 def comma_never(s: Segments) -> DataFrame:
-    rows = s.prose.where(matches(F.col("masked"), r"(?i),\s+never(?![A-Za-z0-9_])"))
+    rows = s.prose.where(matches(F.col("masked"), COMMA_NEVER))
     return _found(rows, F.col("start_line"), F.col("end_line"), F.lit("a contrast by `, never`"), F.col("text"), "Write `, not`.")
 
 
-def expand_contractions(text: Column) -> Column:
-    """Contractions written out, irregular ones first; the case of their first letter is kept."""
-    low, high = BOUND
-    for short, full in L.IRREGULAR_CONTRACTIONS.items():
-        for a, b in ((short, full), (short.capitalize(), full[0].upper() + full[1:])):
-            text = F.regexp_replace(text, f"{low}{a}{high}", b)
-    for ending, full in L.CONTRACTION_ENDINGS.items():
-        text = F.regexp_replace(text, f"{low}([A-Za-z]+){ending}{high}", f"$1{full}")
-    return text
+def written_out(was: Column) -> Column:
+    """A contraction in full; a curly apostrophe is read as a straight one."""
+    straight = F.translate(was, "’", "'")
+    irregular = F.create_map(*(F.lit(x) for pair in L.IRREGULAR_CONTRACTIONS.items() for x in pair))
+    full = straight
+    for ending, words in L.CONTRACTION_ENDINGS.items():
+        full = F.regexp_replace(full, f"(?i){ending}$", words)
+    return F.coalesce(F.element_at(irregular, F.lower(straight)), full)
+
 
+CONTRACTIONS = "(?i){}(?:{}){}".format(BOUND[0], one_of([*L.IRREGULAR_CONTRACTIONS, *("[a-z]+" + e for e in L.CONTRACTION_ENDINGS)]), BOUND[1]).replace("'", "['’]")
 
-@rule("ste/contraction", repair=expand_contractions, place=30, cases=(Case("nt", "It doesn't run.", want="It does not run."), Case("irregular", "Can't stop.", want="Cannot stop."), Case("possessive", "The job's log.", False)))
+
+@rule("ste/contraction", rewrites=(Rewrite(CONTRACTIONS, written_out),), place=30, cases=(Case("nt", "It doesn't run.", want="It does not run."), Case("irregular", "Can't stop.", want="Cannot stop."), Case("possessive", "The job's log.", False)))
 def contraction(s: Segments) -> DataFrame:
     forms = one_of(["[a-z]+" + e for e in L.CONTRACTION_ENDINGS] + list(L.IRREGULAR_CONTRACTIONS))
     rows = s.tokens.where(F.contains("word", F.lit("'"))).where(F.col("lower").rlike(f"^(?:{forms})$"))
     return _found(rows, F.col("start_line"), F.col("end_line"), F.lit("a contraction"), F.col("word"), "Write it out.")
 
 
-def plain_modals(text: Column) -> Column:
-    low, high = BOUND
-    for word, instead in L.MODALS.items():
-        text = F.regexp_replace(F.regexp_replace(text, f"{low}{word}{high}", instead), f"{low}{word.capitalize()}{high}", instead.capitalize())
-    return text
-
-
-@rule("ste/modal", repair=plain_modals, place=30, cases=(Case("should", "It should run.", want="It must run."), Case("must", "It must run.", False)))
+@rule("ste/modal", rewrites=(lookup(L.MODALS),), place=30, cases=(Case("should", "It should run.", want="It must run."), Case("must", "It must run.", False)))
 def modal(s: Segments) -> DataFrame:
     rows = s.tokens.where(F.col("lower").isin(list(L.MODALS)))
     return _found(rows, F.col("start_line"), F.col("end_line"), F.lit("a modal that hedges"), F.col("word"), "Use must, can or will.")

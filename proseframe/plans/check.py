@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import functools
+import itertools
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import counts, phrases  # noqa: F401  they register their rules
+from ..functions.segment import let
+from ..functions.wordlists import REPAIR_ROUNDS
+from ..operators import counts, phrases, rewrites  # noqa: F401  the first two register their rules
 from ..operators.rules import FINDING, Rule, Segments, run_rule, select_rules
 
 
@@ -63,22 +67,30 @@ def top_findings(findings: DataFrame, most: int, ranks: dict[str, int] | None =
     return rows.withColumn("hidden", F.when((F.col("rn") == most) & (F.col("total") > most), F.col("total") - most).otherwise(0)).drop("total")
 
 
-def repair(docs: DataFrame, rules: list[str | Rule] | None = None, rounds: int = 4) -> DataFrame:
+def repair(docs: DataFrame, rules: list[str | Rule] | None = None, rounds: int = REPAIR_ROUNDS) -> DataFrame:
     """docs with the repaired text, `before` and `changed`. Rules go by id or category; one that is not registered is given itself.
 
-    In a round the repairs go in the order of their places. The rounds are steps of one plan: a text
-    that a round leaves alone stays as it is in the next, so four rounds reach the same result
-    without a job for each. Every repair is a projection of its own, since the optimizer takes very
-    long over one expression that nests them all.
+    In a round the repairs go in the order of their places; the rewrites that follow one another are
+    one pass over the text. The rounds are a fold inside the row: a text that a round leaves alone is
+    settled, and the plan holds one round, however many may run. There is no job, and no shuffle, for a round.
     """
     own = [r for r in rules or [] if isinstance(r, Rule)]
     names = None if rules is None else [r for r in rules if not isinstance(r, Rule)]
-    chosen = own + select_rules(names)
+    chosen = sorted((r for r in own + select_rules(names) if r.repair), key=lambda r: (r.place, r.id))
+    steps: list[Callable[[Column], Column]] = []
+    for of_rewrites, group in itertools.groupby(chosen, lambda r: bool(r.rewrites)):
+        if of_rewrites:
+            steps.append(rewrites.pass_of([x for r in group for x in r.rewrites]))
+        else:
+            steps.extend(r.repair for r in group)
+    if not steps:
+        return docs.withColumns({"before": F.col("text"), "changed": F.lit(False)})
+
+    def once(text: Column) -> Column:
+        return functools.reduce(lambda t, step: let(t, step), steps, text)
+
     rows = docs.withColumn("before", F.col("text"))
-    for _ in range(rounds):
-        for r in sorted((r for r in chosen if r.repair), key=lambda r: (r.place, r.id)):
-            # the text is read twice, which keeps projections apart; null stays null
-            rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), r.repair(F.col("text"))))
+    rows = rows.withColumn("text", F.when(F.col("before").isNotNull(), rewrites.settled(F.col("before"), once, rounds)))
     return rows.withColumn("changed", ~F.col("text").eqNullSafe(F.col("before")))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from proseframe.functions import kinds as K
 from proseframe.functions import segment as S
-from proseframe.operators import config_rules, dead_names, messages, near_lines, numbering, references, repair, rules, sessions, snapshots
+from proseframe.functions import wordlists as L
+from proseframe.operators import config_rules, dead_names, messages, near_lines, numbering, references, repair, rewrites, rules, sessions, snapshots
 from proseframe.sources import tables
 
 
@@ -207,14 +208,11 @@ def test_transcript_evidence(spark):
 
 def test_messages(spark):
     data = texts(spark, "This is PRE-existing, out of\nscope.", "```\nout of scope\n```", "> not my fault", "Shall I go?", None, "Which one do you want? Tell me.", "It runs.").withColumnRenamed("doc_id", "msg_id")
-    assert sorted((r.msg_id, r.phrase) for r in messages.blame(data).collect()) == [(0, "out of scope"), (0, "pre-existing")]
+    assert sorted((r.msg_id, r.phrase) for r in messages.phrase_hits(data, L.BLAME_PHRASES).collect()) == [(0, "out of scope"), (0, "pre-existing")]
     assert [r.msg_id for r in messages.deferrals(data).collect()] == [3]
     assert sorted(r.msg_id for r in messages.questions(data).collect()) == [3, 5]
-    punts = texts(spark, "I will do it later. I did it later and it is done.").withColumnRenamed("doc_id", "msg_id")
-    hits = messages.pattern_hits(punts, {"later": r"(?i)do it later|did it later"}, [r"(?i)it is done"]).collect()
-    assert [(r.sent_no, r.pattern_id) for r in hits] == [(1, "later")]
     pair = spark.createDataFrame([("It is not so.", "It is so."), ("It never is.", "It isn't.")], "a string, b string")
-    assert [r.x for r in pair.select(messages.keeps_negation(F.col("a"), F.col("b")).alias("x")).collect()] == [False, True]
+    assert [r.x for r in pair.select(rewrites.keeps_negation(F.col("a"), F.col("b")).alias("x")).collect()] == [False, True]
 
 
 def test_edits(spark):
@@ -289,8 +287,6 @@ def test_scalars(spark):
     assert one(spark, K.twelve_hour_text, "at 14:05, 00:30 and 9:00 but 1:02:03, 10:30 min or 3:15 pm") == "at 2:05 PM, 12:30 AM and 9:00 AM but 1:02:03, 10:30 min or 3:15 pm"
     assert one(spark, K.stated_counts, "It has 3 rules and two files in 30 seconds, v2 files, §4 parts") == ["3 rules", "two files"]
     assert one(spark, K.numerals_after_determiner, "the two files, the 30 seconds, these 4 rows") == ["the two files", "these 4 rows"]
-    assert one(spark, lambda c: K.drop_words(c, ["just", "very"]), "It just runs, adjust very little") == "It runs, adjust little"
-    assert one(spark, lambda c: K.swap_phrases(c, {"in order to": "to"}), "In order to go, in order to run") == "To go, to run"
     kinds = ["<?xml version='1'?>", "<html>", '{"a": 1}', "SELECT a FROM b", "def f(x):", "const a = 1", "#!/bin/sh\necho a", "a: 1\nb: 2", "# T\ntext", "plain words"]
     assert [one(spark, K.content_kind, t) for t in kinds] == ["xml", "html", "json", "sql", "python", "javascript", "shell", "yaml", "markdown", "text"]
     got = texts(spark, "").select(*(K.vague_count(F.lit(n)).alias(f"n{n}") for n in (1, 2, 5, 20, 21))).first()
