@@ -92,8 +92,14 @@ def fenced_mask(lines: Column, same_marker: bool = False) -> Column:
     if not same_marker:
 
         def toggled(ls: Column) -> Column:
+            def spread(at: Column) -> Column:
+                # after each fence line, as many lines as there are to the next one, inside if it opened
+                n = lambda p, k: F.coalesce(F.get(at, k + 1), F.size(ls)) - p - 1
+                parts = F.transform(at, lambda p, k: F.concat(F.array(F.lit(True)), F.array_repeat(k % 2 == 0, n(p, k))))
+                return F.concat(F.array_repeat(F.lit(False), F.coalesce(F.get(at, F.lit(0)), F.size(ls))), F.flatten(parts))
+
             fences = F.filter(F.transform(ls, lambda s, i: F.when(is_fence(s), i)), lambda i: i.isNotNull())
-            return let(fences, lambda at: F.transform(ls, lambda s, i: is_fence(s) | (F.size(F.filter(at, lambda p: p < i)) % 2 == 1)))
+            return let(fences, spread)
 
         return let(lines, toggled)
     marker = lambda s: F.regexp_extract(s, r"^\s*(```|~~~)", 1)
@@ -208,8 +214,8 @@ def sections(docs: DataFrame, level: int = 2, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
 
 
-def comment_runs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, start_line, end_line, prefix, n_lines, text of runs of line comments (//, #, --); blank lines end a run."""
+def comment_runs_of(text: Column) -> Column:
+    """array<struct<start_line, end_line, prefix, n_lines, text>> of runs of line comments (//, #, --); blank lines end a run."""
     mark = r"^\s*(//|#|--)"
 
     def of_lines(ls: Column) -> Column:
@@ -224,7 +230,12 @@ def comment_runs(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return F.zip_with(starts, ends, run)
 
-    return docs.select("doc_id", F.explode(let(lines_of(F.col(text)), of_lines)).alias("r")).select("doc_id", "r.*")
+    return F.when(text.rlike(r"(?m)^\s*(//|#|--)"), let(lines_of(text), of_lines))
+
+
+def comment_runs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and the columns of comment_runs_of, one row for each run."""
+    return docs.select("doc_id", F.explode(comment_runs_of(F.col(text))).alias("r")).select("doc_id", "r.*")
 
 
 def table_cells(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import kinds as K
 from ..functions import segment as S
-from .rules import Case, Segments, _found, rule
+from .rules import At, Case, hit, rule
 
 
-def _each(rows: DataFrame, hits: Column, what: str, fix: str) -> DataFrame:
-    found = rows.select("doc_id", "start_line", "end_line", F.explode(hits).alias("hit"))
-    return _found(found, F.col("start_line"), F.col("end_line"), F.lit(what), F.col("hit"), fix)
+def _each(b: At, hits: Column, what: str, fix: str) -> Column:
+    return F.transform(hits, lambda h: b.here(what, h, fix))
 
 
-@rule("counts/stated-count", cases=(Case("digits", "It has 3 rules."), Case("word", "It reads two files."), Case("unit", "It waits 30 seconds.", False), Case("code", "It prints `3 rules` there.", False)))
-def stated_count(s: Segments) -> DataFrame:
-    return _each(s.prose, K.stated_counts(F.col("masked")), "a count that goes stale", "Name the things, or leave the number out.")
+@rule("counts/stated-count", "block", cases=(Case("digits", "It has 3 rules."), Case("word", "It reads two files."), Case("unit", "It waits 30 seconds.", False), Case("code", "It prints `3 rules` there.", False)))
+def stated_count(b: At) -> Column:
+    return _each(b, K.stated_counts(b.masked), "a count that goes stale", "Name the things, or leave the number out.")
 
 
-@rule("counts/postdeterminer", "warning", cases=(Case("the", "It reads the two files."), Case("unit", "It waits the 30 seconds.", False), Case("bare", "It reads the files.", False)))
-def postdeterminer(s: Segments) -> DataFrame:
-    return _each(s.prose, K.numerals_after_determiner(F.col("masked")), "a number behind a determiner", "Leave the number out.")
+@rule("counts/postdeterminer", "block", "warning", cases=(Case("the", "It reads the two files."), Case("unit", "It waits the 30 seconds.", False), Case("bare", "It reads the files.", False)))
+def postdeterminer(b: At) -> Column:
+    return _each(b, K.numerals_after_determiner(b.masked), "a number behind a determiner", "Leave the number out.")
 
 
-@rule("comments/number", cases=(Case("comment", "x = 1\n// it holds 3 rows"), Case("no comment", "It holds 3 rows.", False), Case("unit", "// it waits 30 seconds", False)))
-def comment_number(s: Segments) -> DataFrame:
+@rule("comments/number", "document", cases=(Case("comment", "x = 1\n// it holds 3 rows"), Case("no comment", "It holds 3 rows.", False), Case("unit", "// it waits 30 seconds", False)))
+def comment_number(d: At) -> Column:
     """Counts in comments; the exemptions are those of stated counts."""
-    return _each(S.comment_runs(s.docs), K.stated_counts(F.col("text")), "a number in a comment", "Leave the number out, or name the constant.")
+    found = lambda r: F.transform(K.stated_counts(r["text"]), lambda h: hit(r["start_line"], r["end_line"], "a number in a comment", h, "Leave the number out, or name the constant."))
+    return F.flatten(F.transform(S.comment_runs_of(d.text), found))

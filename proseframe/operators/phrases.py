@@ -15,7 +15,7 @@ from ..functions import wordlists as L
 from ..plans.prefilter import matches
 from . import messages, references
 from .rewrites import SPANS, Rewrite, applied, cut, lookup, template
-from .rules import Case, Segments, _found, rule
+from .rules import At, Case, Segments, hit, only, rule
 
 def of_surface(rows: list[tuple], surface: str) -> list[tuple]:
     """Rows of a table (surface, ...) that a surface (document, comment, message) reads."""
@@ -53,27 +53,26 @@ def _unguarded(text: Column) -> Column:
     return F.regexp_replace(text, SPANS, " ")
 
 
-def _of_blocks(s: Segments, pattern: str, what: str, fix: str) -> DataFrame:
-    rows = s.blocks.where("kind = 'prose'").where(matches(F.col("text"), pattern)).withColumn("free", _unguarded(F.col("text")))
-    rows = rows.select("doc_id", "start_line", "end_line", F.explode(F.regexp_extract_all("free", F.lit(f"({pattern})"), 1)).alias("hit"))
-    return _found(rows, F.col("start_line"), F.col("end_line"), F.lit(what), F.btrim("hit"), fix)
+def _of_blocks(b: At, pattern: str, what: str, fix: str) -> Column:
+    each = F.regexp_extract_all(_unguarded(b.text), F.lit(f"({pattern})"), 1)
+    return F.when(matches(b.text, pattern), F.transform(each, lambda h: b.here(what, F.btrim(h), fix)))
 
 
-@rule("english/filler", rewrites=filler_rewrites(), place=40, cases=(
+@rule("english/filler", "block", rewrites=filler_rewrites(), place=40, cases=(
     Case("inner", "It simply works.", want="It works."), Case("first", "Needless to say, it works.", want="It works."), Case("code", "It prints `simply` there.", False), Case("part", "It adjusts the rows.", False)))
-def filler(s: Segments) -> DataFrame:
-    return _of_blocks(s, filler_pattern("document"), "a word that the sentence can do without", "Cut it.")
+def filler(b: At) -> Column:
+    return _of_blocks(b, filler_pattern("document"), "a word that the sentence can do without", "Cut it.")
 
 
-@rule("english/phrase", rewrites=swap_rewrites(), place=41, cases=(Case("first", "In order to read it, wait.", want="To read it, wait."), Case("label", "See [prior to](x.md) there.", False)))
-def phrase(s: Segments) -> DataFrame:
-    return _of_blocks(s, swap_rewrites()[0].pattern, "a long form of a short phrase", "Write the short form.")
+@rule("english/phrase", "block", rewrites=swap_rewrites(), place=41, cases=(Case("first", "In order to read it, wait.", want="To read it, wait."), Case("label", "See [prior to](x.md) there.", False)))
+def phrase(b: At) -> Column:
+    return _of_blocks(b, swap_rewrites()[0].pattern, "a long form of a short phrase", "Write the short form.")
 
 
-@rule("english/flagged", cases=(Case("somehow", "It somehow works twice."), Case("quoted", 'It prints "no longer" there.', False)))
-def flagged(s: Segments) -> DataFrame:
+@rule("english/flagged", "block", cases=(Case("somehow", "It somehow works twice."), Case("quoted", 'It prints "no longer" there.', False)))
+def flagged(b: At) -> Column:
     pattern = rf"(?i)(?<!\w)(?:{'|'.join(re.escape(p) for p in T.FLAGGED)})(?!\w)".replace(r"\ ", r"\s+")
-    return _of_blocks(s, pattern, "a phrase that hides what is the case", "Say what holds now.")
+    return _of_blocks(b, pattern, "a phrase that hides what is the case", "Say what holds now.")
 
 
 TELL_CASES = {
@@ -93,60 +92,57 @@ def _register_tells() -> None:
         pattern = "|".join(f"(?:{p.removeprefix('(?i)')})" for n, p, _ in T.TELLS if n == rule_id)
         # inner groups would be counted among those that are extracted
         pattern = "(?i)" + re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
-        detect: Callable[[Segments], DataFrame] = functools.partial(_of_blocks, pattern=pattern, what="wording about a state that is past or open", fix="Cut it.")
-        rule(rule_id, rewrites=tell_rewrites(rule_id), place=20, cases=cases)(detect)
+        find: Callable[[At], Column] = functools.partial(_of_blocks, pattern=pattern, what="wording about a state that is past or open", fix="Cut it.")
+        rule(rule_id, "block", rewrites=tell_rewrites(rule_id), place=20, cases=cases)(find)
 
 
 _register_tells()
 
 
-def _sentences_by_line(s: Segments) -> DataFrame:
-    """doc_id, line, at, sentence of what messages assert; a line ends a sentence."""
-    said = s.docs.select("doc_id", S.asserted_text(F.col("text")).alias("text"))
-    return S.lines(said).where("line != ''").select("doc_id", F.col("line_no").alias("at_line"), F.posexplode(S.message_sentences_of(F.col("line"))).alias("at", "sentence"))
+def punts_of(text: Column) -> Column:
+    """array<struct<line, sentence, kind>>: each distinct sentence of what a message asserts that puts work off, at its first line; a pardoned one is none."""
+    def judged(s: Column, at: Column) -> Column:
+        kind = F.coalesce(*(F.when(matches(s, p), F.lit(k)) for k, p in T.PUNTS))
+        pardoned = functools.reduce(lambda a, b: a | b, (s.rlike(p) for p in T.PARDONS))
+        return S.let(kind, lambda k: F.when(k.isNotNull() & ~pardoned, F.struct(at.alias("line"), s.alias("sentence"), k.alias("kind"))))
+
+    of_line = lambda x, i: F.array_compact(F.transform(S.message_sentences_of(x), lambda s: judged(s, i + 1)))
+    found = F.flatten(F.transform(S.lines_of(S.asserted_text(text)), of_line))
+    return S.let(found, lambda xs: F.filter(xs, lambda x, i: F.array_position(xs["sentence"], x["sentence"]) == i + 1))
 
 
 def punts(messages_: DataFrame) -> DataFrame:
-    """doc_id, at_line, sentence, kind of each distinct sentence of messages(doc_id, text) that puts work off; a pardoned one is none."""
-    rows = _sentences_by_line(Segments(messages_))
-    kind = F.coalesce(*(F.when(matches(F.col("sentence"), p), F.lit(k)) for k, p in T.PUNTS))
-    rows = rows.withColumn("kind", kind).where("kind is not null")
-    for p in T.PARDONS:
-        rows = rows.where(~F.col("sentence").rlike(p))
-    return rows.groupBy("doc_id", "sentence").agg(F.min("at_line").alias("at_line"), F.first("kind").alias("kind"))
+    """doc_id, at_line, sentence, kind of messages(doc_id, text)."""
+    return messages_.select("doc_id", F.explode(punts_of(F.col("text"))).alias("p")).select("doc_id", F.col("p.line").alias("at_line"), "p.sentence", "p.kind")
 
 
-@rule("laziness/punt", cases=(
+@rule("laziness/punt", "document", cases=(
     Case("scope", "The reader fails. That is out of scope."), Case("asks", "Shall I mend it?"), Case("pardoned", "It was out of scope, and I already fixed it.", False), Case("quoted", "> out of scope", False)))
-def punt(s: Segments) -> DataFrame:
-    return _found(punts(s.docs), F.col("at_line"), F.col("at_line"), F.concat(F.lit("a punt: "), F.col("kind")), F.col("sentence"), "Do the work.")
-
+def punt(d: At) -> Column:
+    return F.transform(punts_of(d.text), lambda p: hit(p["line"], p["line"], F.concat(F.lit("a punt: "), p["kind"]), p["sentence"], "Do the work."))
 
-def _phrases(s: Segments, phrases: list[str], what: str, fix: str) -> DataFrame:
-    rows = messages.phrase_hits(s.docs, phrases, "doc_id")
-    return _found(rows, F.lit(1), F.lit(1), F.lit(what), F.col("phrase"), fix)
 
+@rule("blame/deflection", "document", cases=(Case("fault", "This is not my fault."), Case("fenced", "```\nnot my fault\n```", False)))
+def deflection(d: At) -> Column:
+    found = messages.phrases_of(d.text, L.BLAME_PHRASES)
+    return F.transform(found, lambda h: hit(F.lit(1), F.lit(1), "work is deflected", h["phrase"], "Mend it, or say what hinders."))
 
-@rule("blame/deflection", cases=(Case("fault", "This is not my fault."), Case("fenced", "```\nnot my fault\n```", False)))
-def deflection(s: Segments) -> DataFrame:
-    return _phrases(s, L.BLAME_PHRASES, "work is deflected", "Mend it, or say what hinders.")
 
+@rule("ask/prose-decision", "document", cases=(Case("question", "Which of them should it be?"), Case("deferral", "That is up to you."), Case("plain", "It reads the rows.", False)))
+def prose_decision(d: At) -> Column:
+    made = lambda line, detail: hit(line, line, "a decision is handed to the reader", detail, "Decide, or ask in a form that takes an answer.")
+    asked = F.transform(messages.questions_of(d.text), lambda q: made(q["line_no"], q["line"]))
+    return F.concat(asked, F.transform(messages.phrases_of(d.text, L.DEFERRALS), lambda h: made(F.lit(1), h["phrase"])))
 
-@rule("ask/prose-decision", cases=(Case("question", "Which of them should it be?"), Case("deferral", "That is up to you."), Case("plain", "It reads the rows.", False)))
-def prose_decision(s: Segments) -> DataFrame:
-    asked = messages.questions(s.docs, key="doc_id").select("doc_id", F.col("line_no").alias("at_line"), F.col("line").alias("hit"))
-    put_off = messages.deferrals(s.docs, "doc_id").select("doc_id", F.lit(1).alias("at_line"), F.col("phrase").alias("hit"))
-    return _found(asked.unionByName(put_off), F.col("at_line"), F.col("at_line"), F.lit("a decision is handed to the reader"), F.col("hit"), "Decide, or ask in a form that takes an answer.")
 
+@rule("tombstones/comment-volume", "document", cases=(Case("fifteen", "// a\n" * 15 + "x = 1"), Case("blank between", "// a\n" * 8 + "\n" + "// b\n" * 7, True), Case("fourteen", "// a\n" * 14 + "x = 1", False)))
+def comment_volume(d: At) -> Column:
+    runs = long_comment_runs_of(d.text, d.limit("comment_lines", L.COMMENT_LINES))
+    return F.transform(runs, lambda r: hit(r["start_line"], r["end_line"], F.concat(F.lit("a comment of lines: "), r["n_lines"].cast("string")), "", "Shorten it.", r["n_lines"]))
 
-@rule("tombstones/comment-volume", cases=(Case("fifteen", "// a\n" * 15 + "x = 1"), Case("blank between", "// a\n" * 8 + "\n" + "// b\n" * 7, True), Case("fourteen", "// a\n" * 14 + "x = 1", False)))
-def comment_volume(s: Segments) -> DataFrame:
-    rows = long_comment_runs(s.docs, s.limit("comment_lines", L.COMMENT_LINES))
-    return _found(rows, F.col("start_line"), F.col("end_line"), F.concat(F.lit("a comment of lines: "), F.col("n_lines").cast("string")), F.lit(""), "Shorten it.")
 
-
-def long_comment_runs(docs: DataFrame, most: int) -> DataFrame:
-    """doc_id, start_line, end_line, n_lines of comments of over `most` lines; blank lines neither count nor end one."""
+def long_comment_runs_of(text: Column, most: int) -> Column:
+    """array<struct<start_line, end_line, n_lines>> of comments of over `most` lines; blank lines neither count nor end one."""
     mark = r"^\s*(//|#|--)"
 
     def step(state: Column, x: Column) -> Column:
@@ -161,17 +157,22 @@ def long_comment_runs(docs: DataFrame, most: int) -> DataFrame:
     begun = F.struct(F.array().cast("array<struct<start_line: int, end_line: int, n_lines: int>>").alias("runs"), F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit(0).alias("last"))
     kind = lambda x: F.when(x.rlike(mark), "c").when(x.rlike(r"^\s*$"), "b").otherwise("x")
     # an end mark closes the last run
-    kinds = F.transform(F.concat(S.lines_of(F.col("text")), F.array(F.lit("."))), lambda x, i: F.struct(kind(x).alias("kind"), (i + 1).alias("at")))
-    return docs.select("doc_id", F.explode(F.aggregate(kinds, begun, step, lambda st: st["runs"])).alias("r")).select("doc_id", "r.*")
+    kinds = F.transform(F.concat(S.lines_of(text), F.array(F.lit("."))), lambda x, i: F.struct(kind(x).alias("kind"), (i + 1).alias("at")))
+    return F.when(text.rlike(r"(?m)^\s*(//|#|--)"), F.aggregate(kinds, begun, step, lambda st: st["runs"]))
+
+
+def long_comment_runs(docs: DataFrame, most: int) -> DataFrame:
+    """doc_id, start_line, end_line, n_lines of comments of over `most` lines."""
+    return docs.select("doc_id", F.explode(long_comment_runs_of(F.col("text"), most)).alias("r")).select("doc_id", "r.*")
 
 
-@rule("pins/download-version", repair=lambda text: F.regexp_replace(text, r"(https?://[^\s<>\"')\]]*?)\?v=[^\s&#<>\"')\]]*(?=$|[\s<>\"')\]#])", "$1"), place=1000, cases=(
+@rule("pins/download-version", "document", repair=lambda text: F.regexp_replace(text, r"(https?://[^\s<>\"')\]]*?)\?v=[^\s&#<>\"')\]]*(?=$|[\s<>\"')\]#])", "$1"), place=1000, cases=(
     Case("pinned", "get https://x.org/tool?v=1.2 now", want="get https://x.org/tool now"), Case("other", "get https://x.org/tool?w=1.2 now", False)))
-def pinned_download(s: Segments) -> DataFrame:
-    urls = F.regexp_extract_all("line", F.lit(r"(https?://[^\s<>\"')\]]+)"), 1)
-    rows = S.lines(s.docs).where(F.contains("line", F.lit("?"))).select("doc_id", "line_no", F.explode(urls).alias("url"))
-    rows = rows.where(references.query_parameter(F.col("url"), "v").isNotNull())
-    return _found(rows, F.col("line_no"), F.col("line_no"), F.lit("a download that names its version"), F.col("url"), "Drop the version.")
+def pinned_download(d: At) -> Column:
+    urls = lambda x: F.regexp_extract_all(x, F.lit(r"(https?://[^\s<>\"')\]]+)"), 1)
+    pinned = lambda x: F.filter(urls(x), lambda u: references.query_parameter(u, "v").isNotNull())
+    found = lambda x, i: F.when(F.contains(x, F.lit("?")), F.transform(pinned(x), lambda u: hit(i + 1, i + 1, "a download that names its version", u, "Drop the version.")))
+    return F.when(F.contains(d.text, F.lit("?")), F.flatten(F.array_compact(F.transform(S.lines_of(d.text), found))))
 
 
 def unapproved_words(docs: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -143,7 +143,8 @@ def applied(text: Column, rewrites: Sequence[Rewrite]) -> Column:
         return F.array_join(F.transform(ps, lambda p, k: F.when(k % 2 == 0, of_piece(p, k == 0, k == F.size(ps) - 1)).otherwise(p)), "")
 
     mended = lambda t: S.let(F.split(F.regexp_replace(t, SPANS, GUARDED + "$1" + GUARDED), GUARDED, -1), of_pieces)
-    return S.let(text, lambda t: F.when(matches(t, whole), mended(t)).otherwise(t))
+    # texts that hold the marks themselves are left as they are
+    return S.let(text, lambda t: F.when(matches(t, whole) & ~t.rlike(f"[{GUARDED}{MATCH}]"), mended(t)).otherwise(t))
 
 
 def pass_of(rewrites: Sequence[Rewrite]) -> Callable[[Column], Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -14,7 +15,45 @@ from ..functions import wordlists as L
 from ..plans.prefilter import matches
 from .rewrites import Rewrite, lookup, pass_of, template
 
-FINDING = ["doc_id", "line", "end_line", "rule_id", "category", "rule", "detail", "fix", "severity", "repairable"]
+FINDING = ["doc_id", "line", "end_line", "rule_id", "category", "rule", "detail", "fix", "severity", "repairable", "measured"]
+HIT = "line: int, end_line: int, rule: string, detail: string, fix: string, measured: bigint"
+
+
+def hit(line: Column, end_line: Column, what: Column | str, detail: Column | str, fix: str, measured: Column | None = None) -> Column:
+    """One finding of a row rule; `measured` is the number that a limit was held against."""
+    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(
+        line.cast("int").alias("line"), end_line.cast("int").alias("end_line"), as_column(what).alias("rule"), quoted(as_column(detail)).alias("detail"),
+        F.lit(fix).alias("fix"), (F.lit(None) if measured is None else measured).cast("long").alias("measured"),
+    )
+
+
+def only(condition: Column, found: Column) -> Column:
+    """The finding if the condition holds, as array; null for none."""
+    return F.when(condition, F.array(found))
+
+
+@dataclass(frozen=True)
+class At:
+    """What a row rule reads: of a document its text; of a block of prose also what surrounds it; of a sentence both."""
+
+    text: Column
+    limits: dict
+    start: Column | None = None
+    end: Column | None = None
+    marker: Column | None = None
+    masked: Column | None = None
+    sentences: Column | None = None
+    sentence: Column | None = None
+    n_words: Column | None = None
+    words: Column | None = None
+
+    def limit(self, name: str, default: int) -> int:
+        return self.limits.get(name, default)
+
+    def here(self, what: Column | str, detail: Column | str, fix: str, measured: Column | None = None) -> Column:
+        """A finding on the lines of the block."""
+        return hit(self.start, self.end, what, detail, fix, measured)
 
 
 @dataclass
@@ -45,11 +84,6 @@ class Segments:
     def limit(self, name: str, default: int) -> int:
         return self.limits.get(name, default)
 
-    def persist(self) -> Segments:
-        self.blocks.persist()
-        self.sentences.persist()
-        return self
-
 
 @dataclass(frozen=True)
 class Case:
@@ -63,13 +97,17 @@ class Case:
 
 @dataclass(frozen=True)
 class Rule:
+    """A rule finds in a row (`find`, at a level: document, block or sentence), or by joins over all texts (`detect`)."""
+
     id: str
-    detect: Callable[[Segments], DataFrame]
+    detect: Callable[[Segments], DataFrame] | None = None
     severity: str = ""
     repair: Callable[[Column], Column] | None = None
     place: int = 1000
     cases: tuple[Case, ...] = ()
     rewrites: tuple[Rewrite, ...] = ()
+    level: str = ""
+    find: Callable[[At], Column] | None = None
 
     @property
     def category(self) -> str:
@@ -77,19 +115,37 @@ class Rule:
 
 
 REGISTRY: dict[str, Rule] = {}
+LEVELS = ("document", "block", "sentence")
 
 
-def rule(id: str, severity: str = "", repair: Callable[[Column], Column] | None = None, place: int = 1000, cases: tuple[Case, ...] = (), rewrites: tuple[Rewrite, ...] = ()) -> Callable:
-    """Register a detector. An id without a category, a repeated id and a rule without cases are errors.
+def _registered(r: Rule) -> None:
+    if "/" not in r.id or r.id in REGISTRY or not r.cases:
+        raise ValueError(f"rule {r.id!r} needs a category, a new id and cases")
+    REGISTRY[r.id] = r
 
-    A rule repairs by a function of the text, or by rewrites, which a run makes together with those of other rules.
+
+def rule(id: str, level: str, severity: str = "", repair: Callable[[Column], Column] | None = None, place: int = 1000, cases: tuple[Case, ...] = (), rewrites: tuple[Rewrite, ...] = ()) -> Callable:
+    """Register what finds in a row: At to an array of hits, null for none. All row rules of a run share one scan and one segmentation.
+
+    An id without a category, a repeated id, a rule without cases and an unknown level are errors. A rule
+    repairs by a function of the text, or by rewrites, which a run makes together with those of other rules.
     """
 
-    def register(detect: Callable[[Segments], DataFrame]) -> Callable:
-        if "/" not in id or id in REGISTRY or not cases:
-            raise ValueError(f"rule {id!r} needs a category, a new id and cases")
+    def register(find: Callable[[At], Column]) -> Callable:
+        if level not in LEVELS:
+            raise ValueError(f"rule {id!r} has no level of {LEVELS}")
         own = pass_of(rewrites) if rewrites else repair
-        REGISTRY[id] = Rule(id, detect, severity, own, place, cases, rewrites)
+        _registered(Rule(id, None, severity, own, place, cases, rewrites, level, find))
+        return find
+
+    return register
+
+
+def wide_rule(id: str, severity: str = "", cases: tuple[Case, ...] = ()) -> Callable:
+    """Register a detector that needs joins: Segments to a DataFrame of doc_id and the columns of a hit."""
+
+    def register(detect: Callable[[Segments], DataFrame]) -> Callable:
+        _registered(Rule(id, detect, severity, cases=cases))
         return detect
 
     return register
@@ -118,54 +174,84 @@ def one_of(words: list[str]) -> str:
 BOUND = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"  # an ASCII word boundary on each side
 
 
-def _found(rows: DataFrame, line: Column, end_line: Column, what: Column, detail: Column, fix: str) -> DataFrame:
-    return rows.select(
-        "doc_id", line.cast("int").alias("line"), end_line.cast("int").alias("end_line"), what.alias("rule"), quoted(detail).alias("detail"), F.lit(fix).alias("fix")
-    )
+def row_findings(docs: DataFrame, rules: list[Rule], limits: dict) -> DataFrame:
+    """Findings of all row rules in one pass over docs(doc_id, text).
+
+    A document is segmented once: it is exploded to its blocks and one row for what concerns it as a
+    whole; blocks are masked and cut into sentences there; each rule gives an array of hits, and these
+    are exploded together. Nothing is shuffled, and levels that no rule reads are not made.
+    """
+    none = F.array().cast(f"array<struct<at: int, hit: struct<{HIT}>>>")
+
+    def hits(level: str, at: At) -> list[Column]:
+        tagged = lambda k, found: F.transform(F.coalesce(found, F.array().cast(f"array<struct<{HIT}>>")), lambda h: F.struct(F.lit(k).alias("at"), h.alias("hit")))
+        return [tagged(k, r.find(at)) for k, r in enumerate(rules) if r.level == level]
+
+    levels = {r.level for r in rules}
+    whole = F.concat(none, *hits("document", At(F.col("text"), limits)))
+    rows = docs.where("text is not null").select("doc_id", "text", whole.alias("of_text"))
+    if levels - {"document"}:
+        rows = rows.select("doc_id", "of_text", S.blocks_of(F.col("text")).alias("blocks"))
+        prose = F.filter("blocks", lambda b: b["kind"] == "prose")
+        part = lambda b, found: F.struct(b.alias("b"), found.alias("of_text"))
+        parts = F.transform(prose, lambda b: part(b, none))
+        if "document" in levels:
+            parts = F.concat(F.array(part(F.get("blocks", F.lit(-1)), F.col("of_text"))), parts)
+        rows = rows.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.of_text", "p.b").withColumn("masked", S.mask_prose(F.col("b.text")))
+        counted = lambda s, w: F.struct(s.alias("sentence"), F.when(F.contains(s, F.lit("(")), S.word_count(s)).otherwise(F.size(w)).alias("n_words"), w.alias("words"))
+        sentences = F.transform(S.sentences_of(F.col("masked")), lambda s: S.let(S.words_of(s), lambda w: counted(s, w)))
+        rows = rows.withColumn("sentences", sentences)
+        block = At(F.col("b.text"), limits, F.col("b.start_line"), F.col("b.end_line"), F.col("b.marker"), F.col("masked"), F.col("sentences"))
+        of_blocks = F.concat(none, *hits("block", block))
+        of_sentence = lambda s: F.concat(none, *hits("sentence", dataclasses.replace(block, sentence=s["sentence"], n_words=s["n_words"], words=s["words"])))
+        of_sentences = F.coalesce(F.flatten(F.transform("sentences", of_sentence)), none) if "sentence" in levels else none
+        rows = rows.select("doc_id", F.concat("of_text", of_blocks, of_sentences).alias("of_text"))
+    found = rows.select("doc_id", F.explode("of_text").alias("f")).select("doc_id", "f.at", "f.hit.*")
+    of_rule = lambda values: F.get(F.array(*map(F.lit, values)), F.col("at"))
+    columns = {"rule_id": [r.id for r in rules], "category": [r.category for r in rules], "severity": [r.severity or "error" for r in rules], "repairable": [r.repair is not None for r in rules]}
+    return found.withColumns({k: of_rule(v) for k, v in columns.items()}).select(FINDING)
 
 
 def run_rule(r: Rule, segments: Segments) -> DataFrame:
     """The findings of one rule in the full schema."""
+    if r.find:
+        return row_findings(segments.docs, [r], segments.limits)
     rows = r.detect(segments).withColumns({"rule_id": F.lit(r.id), "category": F.lit(r.category), "severity": F.lit(r.severity or "error"), "repairable": F.lit(r.repair is not None)})
     return rows.select(FINDING)
 
 
-@rule("ste/sentence-length", cases=(Case("long", "One " + "word " * 30 + "ends."), Case("short", "It ends here.", False)))
-def sentence_length(s: Segments) -> DataFrame:
+@rule("ste/sentence-length", "sentence", cases=(Case("long", "One " + "word " * 30 + "ends."), Case("short", "It ends here.", False)))
+def sentence_length(s: At) -> Column:
     cap = s.limit("sentence_words", L.SENTENCE_WORDS)
-    rows = s.sentences.where(F.col("n_words") > cap)
-    what = F.concat(F.col("n_words").cast("string"), F.lit(f" words in a sentence that may have {cap}"))
-    return _found(rows, F.col("start_line"), F.col("end_line"), what, F.col("sentence"), "Split it into shorter sentences.")
+    what = F.concat(s.n_words.cast("string"), F.lit(f" words in a sentence that may have {cap}"))
+    return only(s.n_words > cap, s.here(what, s.sentence, "Split it into shorter sentences.", s.n_words))
 
 
-@rule("ste/instruction-length", "warning", cases=(Case("long", "Add " + "word " * 20 + "now."), Case("no verb", "Word " * 22 + "now.", False)))
-def instruction_length(s: Segments) -> DataFrame:
+@rule("ste/instruction-length", "sentence", "warning", cases=(Case("long", "Add " + "word " * 20 + "now."), Case("no verb", "Word " * 22 + "now.", False)))
+def instruction_length(s: At) -> Column:
     """Sentences of 21 to 25 words whose first word is a base verb of the list, in place of a tagger."""
     verbs = s.limits.get("instruction_verbs") or L.INSTRUCTION_VERBS
-    first = F.lower(F.get(S.words_of(F.col("sentence")), F.lit(0)))
-    rows = s.sentences.where(F.col("n_words").between(L.INSTRUCTION_WORDS + 1, L.SENTENCE_WORDS) & first.isin(verbs))
-    return _found(rows, F.col("start_line"), F.col("end_line"), F.lit("an instruction of over 20 words"), F.col("sentence"), "Split the instruction.")
+    long = s.n_words.between(L.INSTRUCTION_WORDS + 1, L.SENTENCE_WORDS)
+    return only(long & F.lower(F.get(s.words, F.lit(0))).isin(verbs), s.here("an instruction of over 20 words", s.sentence, "Split the instruction.", s.n_words))
 
 
-@rule("ste/paragraph-length", "warning", cases=(Case("seven", "A b. " * 7), Case("list", "- " + "A b. " * 7, False)))
-def paragraph_length(s: Segments) -> DataFrame:
-    cap = s.limit("paragraph_sentences", L.PARAGRAPH_SENTENCES)
-    n = F.size(S.sentences_of(F.col("masked")))
-    rows = s.prose.withColumn("n", n).where((F.col("n") > cap) & (F.col("marker") == ""))
-    return _found(rows, F.col("start_line"), F.col("end_line"), F.concat(F.lit(f"over the {cap}-sentence paragraph cap at "), F.col("n").cast("string")), F.col("text"), "Divide the paragraph.")
+@rule("ste/paragraph-length", "block", "warning", cases=(Case("seven", "A b. " * 7), Case("list", "- " + "A b. " * 7, False)))
+def paragraph_length(b: At) -> Column:
+    cap, n = b.limit("paragraph_sentences", L.PARAGRAPH_SENTENCES), F.size(b.sentences)
+    return only((n > cap) & (b.marker == ""), b.here(F.concat(n.cast("string"), F.lit(f" sentences in a paragraph that may have {cap}")), b.text, "Divide the paragraph.", n))
 
 
-@rule("wrap/hard-wrap", cases=(Case("wrapped", "one line\nand another"), Case("one", "one line", False)))
-def hard_wrap(s: Segments) -> DataFrame:
-    rows = s.prose.where("end_line > start_line").select("doc_id", "start_line", "text", F.explode(F.sequence(F.col("start_line") + 1, F.col("end_line"))).alias("at"))
-    return _found(rows, F.col("at"), F.col("at"), F.lit("a line that goes on with its paragraph"), F.concat(F.lit("begun on line "), F.col("start_line").cast("string")), "Join the lines.")
+@rule("wrap/hard-wrap", "block", cases=(Case("wrapped", "one line\nand another"), Case("one", "one line", False)))
+def hard_wrap(b: At) -> Column:
+    begun = F.concat(F.lit("begun on line "), b.start.cast("string"))
+    found = lambda at: hit(at, at, "a line that goes on with its paragraph", begun, "Join the lines.", b.start)
+    return F.when(b.end > b.start, F.transform(F.sequence(b.start + 1, b.end), found))
 
 
-@rule("wrap/long-block", cases=(Case("long", "word " * 400), Case("short", "word", False)))
-def long_block(s: Segments) -> DataFrame:
-    cap = s.limit("block_chars", L.BLOCK_CHARS)
-    rows = s.prose.where(F.length("text") > cap)
-    return _found(rows, F.col("start_line"), F.col("end_line"), F.concat(F.lit(f"over {cap} characters at "), F.length("text").cast("string")), F.col("text"), "Divide the block at a sentence end.")
+@rule("wrap/long-block", "block", cases=(Case("long", "word " * 400), Case("short", "word", False)))
+def long_block(b: At) -> Column:
+    cap, n = b.limit("block_chars", L.BLOCK_CHARS), F.length(b.text)
+    return only(n > cap, b.here(F.concat(n.cast("string"), F.lit(f" characters in a block that may have {cap}")), b.text, "Divide the block at a sentence end.", n))
 
 
 def spliced_commas(text: Column) -> Column:
@@ -215,26 +301,23 @@ def spliced_commas(text: Column) -> Column:
     return F.flatten(F.transform(F.filter(parts, lambda x: F.contains(x, F.lit(","))), of_sentence))
 
 
-@rule("english/comma-splice", cases=(Case("bare", "The cache holds rows, it drops them."), Case("list", "It holds rows, keys and files.", False), Case("dependent", "If the cache is cold, it waits.", False)))
-def comma_splice(s: Segments) -> DataFrame:
-    # a subject and a verb after a comma: without a comma no match
-    rows = s.prose.where(F.contains("text", F.lit(","))).select("doc_id", "start_line", "end_line", F.explode(spliced_commas(F.col("masked"))).alias("hit"))
-    return _found(rows, F.col("start_line"), F.col("end_line"), F.lit("two full clauses meet at a comma"), F.col("hit"), "End the sentence at the comma.")
+@rule("english/comma-splice", "block", cases=(Case("bare", "The cache holds rows, it drops them."), Case("list", "It holds rows, keys and files.", False), Case("dependent", "If the cache is cold, it waits.", False)))
+def comma_splice(b: At) -> Column:
+    found = lambda h: b.here("two full clauses meet at a comma", h, "End the sentence at the comma.")
+    return F.when(F.contains(b.text, F.lit(",")), F.transform(spliced_commas(b.masked), found))
 
 
-@rule("english/semicolon", cases=(Case("one", "It runs; it stops."), Case("code", "It writes `a;b` there.", False)))
-def semicolon(s: Segments) -> DataFrame:
-    rows = s.prose.where(F.contains("masked", F.lit(";")))
-    return _found(rows, F.col("start_line"), F.col("end_line"), F.lit("a semicolon joins two sentences"), F.col("text"), "Write two sentences.")
+@rule("english/semicolon", "block", cases=(Case("one", "It runs; it stops."), Case("code", "It writes `a;b` there.", False)))
+def semicolon(b: At) -> Column:
+    return only(F.contains(b.masked, F.lit(";")), b.here("a semicolon joins two sentences", b.text, "Write two sentences."))
 
 
 COMMA_NEVER = r"(?i),\s+never(?![A-Za-z0-9_])"
 
 
-@rule("english/comma-never", rewrites=(template(COMMA_NEVER, ", not"),), place=30, cases=(Case("one", "It reads rows, never files.", want="It reads rows, not files."), Case("word", "It reads rows, nevertheless it waits.", False)))
-def comma_never(s: Segments) -> DataFrame:
-    rows = s.prose.where(matches(F.col("masked"), COMMA_NEVER))
-    return _found(rows, F.col("start_line"), F.col("end_line"), F.lit("a contrast by `, never`"), F.col("text"), "Write `, not`.")
+@rule("english/comma-never", "block", rewrites=(template(COMMA_NEVER, ", not"),), place=30, cases=(Case("one", "It reads rows, never files.", want="It reads rows, not files."), Case("word", "It reads rows, nevertheless it waits.", False)))
+def comma_never(b: At) -> Column:
+    return only(matches(b.masked, COMMA_NEVER), b.here("a contrast by `, never`", b.text, "Write `, not`."))
 
 
 def written_out(was: Column) -> Column:
@@ -250,42 +333,43 @@ def written_out(was: Column) -> Column:
 CONTRACTIONS = "(?i){}(?:{}){}".format(BOUND[0], one_of([*L.IRREGULAR_CONTRACTIONS, *("[a-z]+" + e for e in L.CONTRACTION_ENDINGS)]), BOUND[1]).replace("'", "['’]")
 
 
-@rule("ste/contraction", rewrites=(Rewrite(CONTRACTIONS, written_out),), place=30, cases=(Case("nt", "It doesn't run.", want="It does not run."), Case("irregular", "Can't stop.", want="Cannot stop."), Case("possessive", "The job's log.", False)))
-def contraction(s: Segments) -> DataFrame:
+@rule("ste/contraction", "sentence", rewrites=(Rewrite(CONTRACTIONS, written_out),), place=30, cases=(Case("nt", "It doesn't run.", want="It does not run."), Case("irregular", "Can't stop.", want="Cannot stop."), Case("possessive", "The job's log.", False)))
+def contraction(s: At) -> Column:
     forms = one_of(["[a-z]+" + e for e in L.CONTRACTION_ENDINGS] + list(L.IRREGULAR_CONTRACTIONS))
-    rows = s.tokens.where(F.contains("word", F.lit("'"))).where(F.col("lower").rlike(f"^(?:{forms})$"))
-    return _found(rows, F.col("start_line"), F.col("end_line"), F.lit("a contraction"), F.col("word"), "Write it out.")
+    fits = lambda w: F.contains(w, F.lit("'")) & F.lower(w).rlike(f"^(?:{forms})$")
+    return F.when(F.contains(s.sentence, F.lit("'")), F.transform(F.filter(s.words, fits), lambda w: s.here("a contraction", w, "Write it out.")))
 
 
-@rule("ste/modal", rewrites=(lookup(L.MODALS),), place=30, cases=(Case("should", "It should run.", want="It must run."), Case("must", "It must run.", False)))
-def modal(s: Segments) -> DataFrame:
-    rows = s.tokens.where(F.col("lower").isin(list(L.MODALS)))
-    return _found(rows, F.col("start_line"), F.col("end_line"), F.lit("a modal that hedges"), F.col("word"), "Use must, can or will.")
+@rule("ste/modal", "sentence", rewrites=(lookup(L.MODALS),), place=30, cases=(Case("should", "It should run.", want="It must run."), Case("must", "It must run.", False)))
+def modal(s: At) -> Column:
+    return F.transform(F.filter(s.words, lambda w: F.lower(w).isin(list(L.MODALS))), lambda w: s.here("a modal that hedges", w, "Use must, can or will."))
 
 
-@rule("comments/tail", cases=(Case("the", "It reads the"), Case("stop", "It reads what it reads from.", False)))
-def comment_tail(s: Segments) -> DataFrame:
+@rule("comments/tail", "block", cases=(Case("the", "It reads the"), Case("stop", "It reads what it reads from.", False)))
+def comment_tail(b: At) -> Column:
     """A block whose last word, with no terminator after it, opens what never follows."""
-    last = F.regexp_extract("text", r"([A-Za-z']+)\s*$", 1)
-    rows = s.prose.where(F.lower(last).isin(L.class_words("dangling")))
-    return _found(rows, F.col("end_line"), F.col("end_line"), F.lit("the block stops on an opening word"), last, "Finish the sentence.")
+    last = F.regexp_extract(F.element_at(F.split(b.text, r"\s"), -1), r"([A-Za-z']+)$", 1)
+    return only(F.lower(last).isin(L.class_words("dangling")), hit(b.end, b.end, "the block stops on an opening word", last, "Finish the sentence."))
 
 
-@rule("repo/budget", cases=(Case("big", "x" * 40_001), Case("small", "x", False)))
-def file_budget(s: Segments) -> DataFrame:
-    cap = s.limit("file_chars", L.FILE_CHARS)
-    rows = s.docs.where(F.length("text") > cap)
-    return _found(rows, F.lit(1), F.lit(1), F.concat(F.lit(f"over the budget of {cap} characters at "), F.length("text").cast("string")), F.lit(""), "Split the file.")
+@rule("repo/budget", "document", cases=(Case("big", "x" * 40_001), Case("small", "x", False)))
+def file_budget(d: At) -> Column:
+    cap, n = d.limit("file_chars", L.FILE_CHARS), F.length(d.text)
+    return only(n > cap, hit(F.lit(1), F.lit(1), F.concat(n.cast("string"), F.lit(f" characters in a text that may have {cap}")), "", "Split the file.", n))
 
 
-@rule("wrap/wide-line", "warning", cases=(Case("wide", "ab " * 60), Case("token", "x" * 200, False), Case("table", "| " + "ab " * 60 + "|", False)))
-def wide_line(s: Segments) -> DataFrame:
+@rule("wrap/wide-line", "document", "warning", cases=(Case("wide", "ab " * 60), Case("token", "x" * 200, False), Case("table", "| " + "ab " * 60 + "|", False)))
+def wide_line(d: At) -> Column:
     """Lines over the column limit, but not in fences and tables, nor where no blank lets them break."""
-    cap = s.limit("line_columns", L.LINE_COLUMNS)
-    zipped = lambda ls: F.zip_with(ls, S.fenced_mask(ls), lambda x, f: F.struct(x.alias("line"), f.alias("fenced")))
-    rows = s.docs.select("doc_id", F.posexplode(S.let(S.lines_of(F.col("text")), zipped)).alias("at", "l")).select("doc_id", (F.col("at") + 1).alias("no"), "l.*")
-    rows = rows.where((F.length("line") > cap) & ~F.col("fenced") & ~F.col("line").rlike(r"^\s*\|") & F.btrim("line").rlike(r"\s"))
-    return _found(rows, F.col("no"), F.col("no"), F.lit(f"over {cap} columns"), F.col("line"), "Wrap it.")
+    cap = d.limit("line_columns", L.LINE_COLUMNS)
+    wide = lambda x: (F.length(x) > cap) & ~x.rlike(r"^\s*\|") & F.btrim(x).rlike(r"\s")
+
+    def of_lines(ls: Column) -> Column:
+        numbered = F.transform(F.zip_with(ls, S.fenced_mask(ls), lambda x, f: F.struct(x.alias("line"), f.alias("fenced"))), lambda x, i: F.struct((i + 1).alias("no"), x.alias("l")))
+        kept = F.filter(numbered, lambda x: wide(x["l"]["line"]) & ~x["l"]["fenced"])
+        return F.transform(kept, lambda x: hit(x["no"], x["no"], f"over {cap} columns", x["l"]["line"], "Wrap it.", F.length(x["l"]["line"])))
+
+    return S.let(S.lines_of(d.text), lambda ls: F.when(F.exists(ls, wide), of_lines(ls)))
 
 
 def closed_class_words() -> list[str]:
@@ -311,12 +395,10 @@ def open_runs(lower: Column, over: int = L.NOUN_RUN) -> Column:
     return S.let(lower, ends_of)
 
 
-@rule("ste/noun-cluster", "warning", cases=(Case("four", "The build cache key file is old."), Case("three", "The cache key file is old.", False)))
-def noun_cluster(s: Segments) -> DataFrame:
-    rows = s.sentences.select("doc_id", "start_line", "end_line", S.words_of(F.col("sentence")).alias("w"))
-    runs = rows.select("doc_id", "start_line", "end_line", "w", F.explode(open_runs(F.transform("w", F.lower))).alias("r"))
-    words = F.array_join(F.slice("w", F.col("r.start") + 1, F.col("r.n").cast("int")), " ")
-    return _found(runs, F.col("start_line"), F.col("end_line"), F.lit("over three nouns in a row"), words, "Break the cluster up.")
+@rule("ste/noun-cluster", "sentence", "warning", cases=(Case("four", "The build cache key file is old."), Case("three", "The cache key file is old.", False)))
+def noun_cluster(s: At) -> Column:
+    words = lambda r: F.array_join(F.slice(s.words, r["start"] + 1, r["n"].cast("int")), " ")
+    return F.transform(open_runs(F.transform(s.words, F.lower)), lambda r: s.here("over three nouns in a row", words(r), "Break the cluster up.", r["n"]))
 
 
 def verb_forms(words: Column) -> Column:
@@ -336,17 +418,16 @@ def verb_forms(words: Column) -> Column:
     return F.array_compact(S.let(F.transform(words, F.lower), lambda lower: F.transform(lower, lambda w, i: form(lower, w, i))))
 
 
-def _forms(s: Segments, kinds: list[str]) -> DataFrame:
-    rows = s.sentences.select("doc_id", "start_line", "end_line", F.explode(verb_forms(S.words_of(F.col("sentence")))).alias("v"))
-    return rows.where(F.col("v.kind").isin(kinds))
+def _forms(s: At, kinds: list[str], what: str, fix: str) -> Column:
+    return F.transform(F.filter(verb_forms(s.words), lambda v: v["kind"].isin(kinds)), lambda v: s.here(what, v["form"], fix))
 
 
-@rule("ste/passive", "warning", cases=(Case("was", "The file was written."), Case("active", "It wrote the file.", False)))
-def passive(s: Segments) -> DataFrame:
+@rule("ste/passive", "sentence", "warning", cases=(Case("was", "The file was written."), Case("active", "It wrote the file.", False)))
+def passive(s: At) -> Column:
     """Reports the form wherever it stands, not only where a rewrite exists."""
-    return _found(_forms(s, ["passive"]), F.col("start_line"), F.col("end_line"), F.lit("a passive clause"), F.col("v.form"), "Name who acts.")
+    return _forms(s, ["passive"], "a passive clause", "Name who acts.")
 
 
-@rule("ste/tense", "warning", cases=(Case("has", "It has taken it."), Case("is", "It is running."), Case("simple", "It runs.", False)))
-def tense(s: Segments) -> DataFrame:
-    return _found(_forms(s, ["perfect", "progressive"]), F.col("start_line"), F.col("end_line"), F.lit("a compound tense"), F.col("v.form"), "Use a simple tense.")
+@rule("ste/tense", "sentence", "warning", cases=(Case("has", "It has taken it."), Case("is", "It is running."), Case("simple", "It runs.", False)))
+def tense(s: At) -> Column:
+    return _forms(s, ["perfect", "progressive"], "a compound tense", "Use a simple tense.")

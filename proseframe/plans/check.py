@@ -13,15 +13,20 @@ from pyspark.sql import Window as W
 from ..functions.segment import let
 from ..functions.wordlists import REPAIR_ROUNDS
 from ..operators import counts, phrases, rewrites  # noqa: F401  the first two register their rules
-from ..operators.rules import FINDING, Rule, Segments, run_rule, select_rules
+from ..operators.rules import FINDING, Rule, Segments, row_findings, run_rule, select_rules
 
 
 def check(docs: DataFrame, rules: list[str] | None = None, limits: dict | None = None, owned: DataFrame | None = None) -> DataFrame:
-    """Findings of docs(doc_id, text). Rules that are not selected are not planned; owned(doc_id, line_no) restricts the findings."""
+    """Findings of docs(doc_id, text). Rules that are not selected are not planned; owned(doc_id, line_no) restricts the findings.
+
+    Rules that read one text share one scan, whatever their number; each rule that joins texts adds its own.
+    """
     if owned is not None:  # whole documents without an owned line are never segmented
         docs = docs.join(owned.select("doc_id").distinct(), "doc_id", "left_semi")
-    segments = Segments(docs, limits or {})
-    found = functools.reduce(DataFrame.unionByName, (run_rule(r, segments) for r in select_rules(rules)))
+    segments, chosen = Segments(docs, limits or {}), select_rules(rules)
+    in_rows = [r for r in chosen if r.find]
+    parts = [row_findings(docs, in_rows, segments.limits)] if in_rows else []
+    found = functools.reduce(DataFrame.unionByName, parts + [run_rule(r, segments) for r in chosen if not r.find])
     return found if owned is None else owned_findings(found, owned)
 
 

@@ -324,7 +324,7 @@ def e1_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_PROSE} SELECT doc_id, start_line AS line, len({sql_sentences('masked')}) AS n FROM prose WHERE NOT listed AND len({sql_sentences('masked')}) > 6")
 def e3_long_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plan.check(docs_of(spark, sf_dir), ["ste/paragraph-length"])
-    return rows.select("doc_id", "line", F.regexp_extract("rule", r"at (\d+)$", 1).cast("long").alias("n"))
+    return rows.select("doc_id", "line", F.col("measured").alias("n"))
 
 
 @query("SELECT user_id, date_trunc('day', ts) AS day, string_agg(event_type, chr(10) ORDER BY event_type) AS sig, count(*) AS n_calls FROM events GROUP BY 1, 2")
@@ -459,7 +459,7 @@ def g11_top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_PROSE} SELECT doc_id, unnest(range(start_line + 1, end_line + 1)) AS line, start_line FROM prose WHERE end_line > start_line")
 def g13_hard_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plan.check(docs_of(spark, sf_dir), ["wrap/hard-wrap"])
-    return rows.select("doc_id", "line", F.regexp_extract("detail", r"line (\d+)$", 1).cast("long").alias("start_line"))
+    return rows.select("doc_id", "line", F.col("measured").alias("start_line"))
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT doc_id, unnest({sql_sentences('text')}) AS s, unnest(range(len({sql_sentences('text')}))) AS n FROM documents),
@@ -543,7 +543,7 @@ def h5_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_SENTENCES} SELECT doc_id, start_line AS line, n_words, {quoted_sql('sentence')} AS detail FROM s WHERE n_words > 25")
 def k5_long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plan.check(docs_of(spark, sf_dir), ["ste/sentence-length"])
-    return rows.select("doc_id", "line", F.regexp_extract("rule", r"at (\d+) words$", 1).cast("long").alias("n_words"), "detail")
+    return rows.select("doc_id", "line", F.col("measured").alias("n_words"), "detail")
 
 
 SPLICE_SQL = r"regexp_matches(masked, '(?i),\s+(?:(?:" + "|".join(L.class_words("splice-conjunction")) + r")\s+)(?:" + "|".join(L.class_words("clause-subject")) + r")\s+(?:[A-Za-z0-9_]+\s+){0,2}?(?:not\s+)?(?:" + "|".join(L.class_words("finite-verb")) + r")\b')"
@@ -575,7 +575,7 @@ def k17_joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_PROSE} SELECT doc_id, start_line AS line, length(text) AS n_chars FROM prose WHERE length(text) > 1500")
 def k18_long_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plan.check(docs_of(spark, sf_dir), ["wrap/long-block"])
-    return rows.select("doc_id", "line", F.regexp_extract("rule", r"at (\d+)$", 1).cast("long").alias("n_chars"))
+    return rows.select("doc_id", "line", F.col("measured").alias("n_chars"))
 
 
 @query(f"WITH {WRAP_SQL} SELECT doc_id, line FROM w WHERE rule_id = 'wrap/wide-line'")
@@ -586,7 +586,7 @@ def k19_wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, length(text) AS n_chars FROM documents WHERE length(text) > 1500")
 def k20_over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plan.check(docs_of(spark, sf_dir), ["repo/budget"], {"file_chars": 1500})
-    return rows.select("doc_id", F.regexp_extract("rule", r"at (\d+)$", 1).cast("long").alias("n_chars"))
+    return rows.select("doc_id", F.col("measured").alias("n_chars"))
 
 
 @query("SELECT event_id, strftime(ts + INTERVAL 2 HOUR, '%b %-d %-I:%M %p') AS shown FROM events")
@@ -646,7 +646,7 @@ def a8_changed_rows_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("new != text").select("doc_id", F.md5(F.col("new").cast("binary")).alias("digest"))
 
 
-@query(f"WITH {SQL_SENTENCES} SELECT doc_id, start_line AS line, end_line, 'ste/sentence-length' AS rule_id, 'ste' AS category, 'over the 25-word sentence cap at ' || CAST(n_words AS VARCHAR) || ' words' AS rule, {quoted_sql('sentence')} AS detail, 'Split it into shorter sentences.' AS fix, 'error' AS severity, false AS repairable FROM s WHERE n_words > 25")
+@query(f"WITH {SQL_SENTENCES} SELECT doc_id, start_line AS line, end_line, 'ste/sentence-length' AS rule_id, 'ste' AS category, CAST(n_words AS VARCHAR) || ' words in a sentence that may have 25' AS rule, {quoted_sql('sentence')} AS detail, 'Split it into shorter sentences.' AS fix, 'error' AS severity, false AS repairable, n_words AS measured FROM s WHERE n_words > 25")
 def a7_wire_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.check(docs_of(spark, sf_dir), ["ste/sentence-length"]).select(plan.WIRE)
 
@@ -664,16 +664,31 @@ def r2_spliced_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.splice(docs, admitted).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-ROUND_SQL = "replace(replace({}, '  ', ' '), chr(10), '  ')"
+# words of the driver's texts, what stands for them so that rules have something to repair, and what the rules make of that
+REPAIRED_WORDS = [("of", "could", "can"), ("and", "don't", "do not"), ("the", "make use of", "use"), ("und", "in order to", "to"), ("de", "prior to", "before"), ("la", "it's", "it is")]
 
 
-@query(f"WITH r AS (SELECT doc_id, text, {ROUND_SQL.format(ROUND_SQL.format(ROUND_SQL.format(ROUND_SQL.format('text'))))} AS now FROM documents) SELECT doc_id, md5(now) AS digest, now <> text AS changed FROM r")
+def _sql_replaced(text: str, at: int, to: int) -> str:
+    for row in REPAIRED_WORDS:
+        text = f"replace({text}, ' {row[at].replace(chr(39), chr(39) * 2)} ', ' {row[to].replace(chr(39), chr(39) * 2)} ')"
+    return text
+
+
+MARKED_SQL = _sql_replaced("translate(text, '`\"“”[' || chr(1) || chr(2), '')", 0, 1)
+
+
+def _marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents without quotation marks, where wording that rules repair stands for common words."""
+    text = F.translate(F.col("text"), '`"“”[\u0001\u0002', "")
+    for word, instead, _ in REPAIRED_WORDS:
+        text = F.replace(text, F.lit(f" {word} "), F.lit(f" {instead} "))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query(f"WITH r AS (SELECT doc_id, {MARKED_SQL} AS text FROM documents), n AS (SELECT doc_id, text, {_sql_replaced('text', 1, 2)} AS now FROM r) SELECT doc_id, md5(now) AS digest, now <> text AS changed FROM n")
 def r1_repaired_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two repairs by their places in four rounds: double blanks become one, then line feeds two, so each needs what the other leaves."""
-    no_cases = lambda s: s.docs.limit(0)
-    blanks = rules.Rule("own/blanks", no_cases, repair=lambda t: F.replace(t, F.lit("  "), F.lit(" ")), place=10)
-    feeds = rules.Rule("own/line-feeds", no_cases, repair=lambda t: F.replace(t, F.lit("\n"), F.lit("  ")), place=20)
-    return plan.repair(docs_of(spark, sf_dir), [feeds, blanks]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "changed")
+    """All registered repairs, in up to four rounds, over whole documents that hold what modal, contraction and phrase rules repair."""
+    return plan.repair(_marked_texts(spark, sf_dir)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "changed")
 
 
 @query(r"""WITH ln AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM conversations),

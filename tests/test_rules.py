@@ -48,7 +48,7 @@ def test_selection_and_registration():
         rules.select_rules(["wrap", "nothing/here"])
     for bad in ("nocategory", "ste/modal", "new/rule"):
         with pytest.raises(ValueError):
-            rules.rule(bad)(lambda s: None)
+            rules.rule(bad, "block")(lambda s: None)
 
 
 def test_gate_summary_and_top(spark):
