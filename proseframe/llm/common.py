@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import re
 import uuid
 
 import pyarrow
@@ -23,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a local session may leave spark.checkpoint.dir unset; it gets one below /tmp."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -53,6 +54,11 @@ def discard(*tables: DataFrame) -> None:
         file_system.delete_dir(path)
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """Every column of df, whatever is in its name."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -16,14 +16,14 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def drop_common_lines(documents: DataFrame, min_documents: int = 10, min_chars: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+def drop_common_lines(documents: DataFrame, min_documents: int = 10, min_chars: int = 1, carry: tuple[Column, ...] = ()) -> DataFrame:
     """Drop lines whose key (see line_key) is found in at least min_documents documents.
 
     Texts are split at \\n; a null or empty text is one empty line. Keys shorter than min_chars code
     points are never dropped. A document is one distinct (doc_id, text); a line repeated inside it
     counts once, and rows repeated as a whole count once but are all returned. Keys are compared by
-    128 bits of hash. Columns other than doc_id and text are ignored, but for those named in
-    `carry`, which come back in one struct `carried`. An empty table gives an empty result.
+    128 bits of hash. Columns other than doc_id and text are ignored, but for those in `carry`,
+    which come back in one struct `carried`. An empty table gives an empty result.
 
     Lines are exploded as hashes only and counted with map-side partial sums. Documents are counted
     for lines that are frequent at all, first by (line, document), then by line, so that no task

@@ -23,7 +23,6 @@ BANDS = 224  # tokens that stand for listed words of like frequency; the words b
 LISTED = 1 << 18  # words that every task knows
 PAD = TOKENS  # what stands beyond the ends of a text
 REACH = 2  # words on each side
-FEW_SHARDS = 32
 
 
 @dataclass
@@ -201,14 +200,13 @@ def list_words(counts: DataFrame, listed: int) -> Vocabulary:
 def train(documents: DataFrame, vocabulary: np.ndarray, token_of: np.ndarray, totals: np.ndarray, width: int, one_in: int, shard_documents: int, rounds: int) -> WindowNetwork:
     """Train on every one_in-th document by hash: the shards of a round start from the same weights, which are then averaged.
 
-    The number of shards follows the documents. Each round takes other shards, so all rounds
-    together are one pass over the documents; where that would leave a round fewer than
-    FEW_SHARDS, every round takes all of them. Averages are taken in two steps, so no task holds
-    more weights than about the root of the number of shards.
+    The number of shards follows the documents, with one for each round at least. Each round takes
+    other shards, so all rounds together are one pass over the documents, at every size. Rows are dealt
+    one by one, so copies of a text are in many shards. Averages are taken in two steps, so no task
+    holds more weights than about the root of the number of shards.
     """
-    sample = documents.select(F.xxhash64("doc_id", "text").alias("key"), "text").where(F.col("text").isNotNull() & (F.pmod("key", F.lit(one_in)) == 0))
-    shards = max(1, -(-sample.count() // shard_documents))
-    parts = rounds if shards >= FEW_SHARDS * rounds else 1
+    sample = documents.select(F.xxhash64("doc_id", "text").alias("key"), F.monotonically_increasing_id().alias("row"), "text").where(F.col("text").isNotNull() & (F.pmod("key", F.lit(one_in)) == 0))
+    shards = max(rounds, -(-sample.count() // shard_documents))
     across = max(1, round(shards**0.5))
     network = WindowNetwork.started(width).at_frequencies(totals)
     for turn in range(rounds):
@@ -236,7 +234,7 @@ def train(documents: DataFrame, vocabulary: np.ndarray, token_of: np.ndarray, to
             return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "seen": [share.sum()], "weights": [weights.astype("<f4").tobytes()]})
 
         kind = "shard long, seen double, weights binary"
-        dealt = sample.withColumn("shard", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards))).where(F.col("shard") % parts == turn % parts)
+        dealt = sample.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).where(F.col("shard") % rounds == turn)
         trained = dealt.groupBy("shard").applyInPandas(one_shard, kind)
         for key in (F.pmod("shard", F.lit(across)), F.lit(0)):
             trained = trained.groupBy(key.alias("part")).applyInPandas(averaged, kind)
@@ -288,7 +286,8 @@ def pseudo_likelihood(
     words are known to every task, those of all others are joined from the counts; see list_words.
     The network is trained on every document (one in one_in, for other values), see train. Null and
     empty texts and those without words have no tokens and a likelihood of 0. Repeated rows are scored each,
-    null ids too; other columns are ignored; empty tables give nothing.
+    null ids too; other columns are ignored; empty tables give nothing. doc_id is an
+    integer, or text that is one; other text is an error.
 
     Returns doc_id, n_tokens, log_likelihood, mean_log_likelihood (null without tokens).
     """

@@ -199,7 +199,8 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     Words are runs outside [\\x20\\x09-\\x0D] with A-Z lower-cased. A text of fewer words than
     shingle_words has its whole sequence as one shingle; a text without words, and a null text or
     doc_id, is linked with nothing. Rows with one doc_id count as one document. Every row is
-    returned; other columns are ignored; empty tables give an empty result.
+    returned; other columns are ignored; empty tables give an empty result. doc_id is an
+    integer, or text that is one; other text is an error.
 
     Equal sets are one node, so copies cost nothing. Nodes meet in buckets of 32 bands of 4 minima
     (a pair at 0.8 is missed by all bands with probability 5e-8). Odd sketches of 256 minima estimate

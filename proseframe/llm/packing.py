@@ -151,7 +151,8 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id
     capacity ids one piece is cut, the rest is a shorter one. Pieces are dealt to random groups of
     about group_pieces, so that no group grows with the input whatever ids repeat, and each group
     is packed by first-fit decreasing. sequence_id is group * 2**32 + bin. Repeated rows and null
-    doc_ids are packed like any other; an empty table gives no piece. Other columns are ignored.
+    doc_ids are packed like any other; an empty table gives no piece. Other columns are ignored. doc_id is an
+    integer, or text that is one; other text is an error.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """

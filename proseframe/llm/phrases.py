@@ -78,7 +78,7 @@ class Trie:
         room = n_words + n_langs + 2
         self.base = np.zeros(2 * room, np.int32)
         self.check = np.full(2 * room, -1, np.int32)
-        self.check[:2] = 0  # no parent, and not free
+        self.check[:2] = 0, np.iinfo(np.int32).max  # no state's children, and not free
         self._low = 2
         order = np.lexsort(sequences.T[::-1])
         rows = sequences[order]

@@ -61,14 +61,14 @@ def choose_anchors(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, leng
     """(first, last, anchor): runs of starts of `length`-byte strings inside a row that choose one anchor, in order.
 
     The anchor is the place of the least hash among the seed-byte strings inside; the leftmost of equals.
+    Hashes are compared by as many bits whatever else is in the slice, so equal strings choose alike anywhere.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none
-    bits = max(1, int(n).bit_length())
     at = np.arange(n - seed + 1)
-    low = np.uint64((1 << bits) - 1)
+    low = np.uint64((1 << 32) - 1)  # a text has fewer bytes than 2**31
     value = (rolling.of(0, at, at + seed) & ~low) | at.astype(np.uint64)
     width = length - seed + 1  # a sliding minimum, from minima up to and from the borders of chunks of this width
     chunks = np.concatenate([value, np.full(-len(value) % width, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
