@@ -1,6 +1,7 @@
 """A training-corpus pipeline: each stage takes what its predecessor kept of the documents.
 
 Every stage takes documents with any further columns, whatever their names, and returns them all.
+doc_id is an integer, or text that is one; packing ends with an error at any other.
 Null and empty texts are scored, split and compared like texts without words and stay, unless a
 duplicate stands for them; empty tables give empty results. Repeated rows, and null doc_ids, are
 rows like any others.
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseframe.llm.common import discard, row_key, table, written
+from proseframe.llm.common import all_columns, discard, row_key, table, written
 from proseframe.llm.decontaminate import find_contamination
 from proseframe.llm.line_dedup import drop_common_lines
 from proseframe.llm.minhash import near_duplicates
@@ -30,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without the lines that ten or more documents share; n_chars follows the text."""
-    kept = drop_common_lines(docs, min_documents=10, min_chars=1, carry=tuple(docs.columns))
-    columns = {c: F.col(f"carried.`{c}`") for c in docs.columns} | {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    kept = drop_common_lines(docs, min_documents=10, min_chars=1, carry=tuple(all_columns(docs)))
+    columns = {c: F.col("carried").getField(c) for c in docs.columns} | {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return kept.select(*(columns[c].alias(c) for c in docs.columns))
 
 
@@ -50,14 +51,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     order = F.struct(F.col("id").isNull().alias("last"), "id", F.col("doc_id").alias("row"))
     first = found.join(ids, "doc_id").groupBy("component_id").agg(F.min(order).alias("first"))
     kept = written(first.select(F.col("first.row").alias(row)), "kept-rows")
-    return numbered.join(kept, row, "left_semi").select(docs.columns)
+    return numbered.join(kept, row, "left_semi").select(*all_columns(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten-word window of a benchmark item stay as they are."""
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"), window_words=10).where(F.col("n_hit") > 0)
     bad = written(found.select(row_key(F.col("doc_id"), F.col("text")).alias("bad")).distinct(), "contaminated")
-    return docs.join(bad, row_key(docs["doc_id"], docs["text"]) == bad["bad"], "left_anti").select(docs.columns)
+    return docs.join(bad, row_key(docs["doc_id"], docs["text"]) == bad["bad"], "left_anti").select(*all_columns(docs))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
