@@ -452,10 +452,9 @@ def test_lm_gives_every_word_its_own_probability(spark, listed):
             assert x - g[0][1] == pytest.approx(np.log(n / g[0][0]), abs=1e-4)
 
 
-@pytest.mark.parametrize("few_shards, shard_documents", [(lm_score.FEW_SHARDS, 500), (1, 60)])
-def test_lm_learns_from_every_document_by_default(spark, monkeypatch, few_shards, shard_documents):
-    """Beats word frequencies with its defaults, at a size where one document in 40 is next to none, and where each round has other shards."""
-    monkeypatch.setattr(lm_score, "FEW_SHARDS", few_shards)
+@pytest.mark.parametrize("shard_documents", [500, 60])
+def test_lm_learns_from_every_document_by_default(spark, shard_documents):
+    """Beats word frequencies with its defaults, at a size where one document in 40 is next to none."""
     rng = random.Random(10)
     pairs = [("red", "fox"), ("blue", "whale"), ("big", "house")]
     rows = [(i, " ".join(f"{a} {b}" for a, b in (rng.choice(pairs) for _ in range(100)))) for i in range(180)]
@@ -464,3 +463,42 @@ def test_lm_learns_from_every_document_by_default(spark, monkeypatch, few_shards
     counts = Counter(w for _, t in rows for w in t.split())
     unigram = sum(n * np.log(n / counts.total()) for n in counts.values()) / counts.total()
     assert mean > unigram + 0.1
+
+
+def test_lm_gradient_by_finite_differences():
+    rng = np.random.default_rng(12)
+    net = lm_score.WindowNetwork.started(6)
+    net.to_token[:], net.to_class[:] = rng.normal(0, 0.3, net.to_token.shape), rng.normal(0, 0.3, net.to_class.shape)
+    target = rng.integers(0, lm_score.TOKENS, 40)
+    context = rng.integers(0, lm_score.TOKENS + 1, (40, 2 * lm_score.REACH))
+    context[:, 1] = context[:, 0]  # a token that stands twice in a window
+
+    def loss(flat: np.ndarray) -> float:
+        x = lm_score.WindowNetwork(*net.filled(flat).__dict__.values())
+        for name, values in zip(x.__dict__, _parts(net, flat), strict=True):
+            setattr(x, name, values)
+        h = np.hstack([np.tanh(sum(x.embed[context[:, k]] * x.place[k] for k in range(4)) + x.bias), np.ones((40, 1))])
+        total = 0.0
+        for i, t in enumerate(target):
+            for logits, at in ((h[i] @ x.to_class, t // lm_score.CLASSES), (h[i] @ x.to_token[t // lm_score.CLASSES], t % lm_score.CLASSES)):
+                total -= logits[at] - np.log(np.exp(logits).sum())
+        return total / 40
+
+    before = net.flat().astype(np.float64)
+    net.train_step(context, target, 0.5)
+    gradient = (before - net.flat()) / 0.5
+    sizes = np.cumsum([0] + [x.size for x in net.__dict__.values()])
+    places = np.concatenate([a + rng.choice(b - a, min(12, b - a), replace=False) for a, b in zip(sizes[:-1], sizes[1:], strict=True)])
+    places = np.concatenate([places, np.argsort(-np.abs(gradient))[:30]])
+    for at in places:
+        up, down = before.copy(), before.copy()
+        up[at] += 1e-4
+        down[at] -= 1e-4
+        assert gradient[at] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=2e-5, rel=1e-3)
+
+
+def _parts(net, flat):
+    at = 0
+    for x in net.__dict__.values():
+        yield flat[at : at + x.size].reshape(x.shape)
+        at += x.size
