@@ -12,21 +12,28 @@ from pyspark.sql import Window as W
 
 from ..functions.segment import let
 from ..functions.wordlists import REPAIR_ROUNDS
-from ..operators import counts, phrases, rewrites  # noqa: F401  the first two register their rules
+from ..operators import counts, phrases, rewrites, rule_tables  # noqa: F401  counts and phrases register their rules
 from ..operators.rules import FINDING, Rule, Segments, row_findings, run_rule, select_rules
 
 
-def check(docs: DataFrame, rules: list[str] | None = None, limits: dict | None = None, owned: DataFrame | None = None) -> DataFrame:
+def check(docs: DataFrame, rules: list[str] | None = None, limits: dict | None = None, owned: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
     """Findings of docs(doc_id, text). Rules that are not selected are not planned; owned(doc_id, line_no) restricts the findings.
 
-    Rules that read one text share one scan, whatever their number; each rule that joins texts adds its own.
+    Rules that read one text share one scan, whatever their number; each rule that joins texts adds
+    its own. `table` has rules of the caller, see rule_tables.load_rules; without names they run beside all others,
+    and with names only those of them that are named.
     """
     if owned is not None:  # whole documents without an owned line are never segmented
         docs = docs.join(owned.select("doc_id").distinct(), "doc_id", "left_semi")
-    segments, chosen = Segments(docs, limits or {}), select_rules(rules)
+    segments = Segments(docs, limits or {})
+    if table is not None and rules is not None:
+        own = {x for r in table.select("rule_id").distinct().collect() for x in (r["rule_id"], r["rule_id"].split("/")[0])}
+        table = table.where(F.col("rule_id").isin(rules) | F.substring_index("rule_id", "/", 1).isin(rules))
+        rules = [r for r in rules if r not in own]
+    chosen = select_rules(rules)
     in_rows = [r for r in chosen if r.find]
     parts = [row_findings(docs, in_rows, segments.limits)] if in_rows else []
-    found = functools.reduce(DataFrame.unionByName, parts + [run_rule(r, segments) for r in chosen if not r.find])
+    found = functools.reduce(DataFrame.unionByName, parts + [run_rule(r, segments) for r in chosen if not r.find] + ([] if table is None else [rule_tables.table_findings(segments, table)]))
     return found if owned is None else owned_findings(found, owned)
 
 

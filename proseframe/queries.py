@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from .functions import kinds as K
 from .functions import segment as S
 from .functions import wordlists as L
-from .operators import dead_names, near_lines, numbering, references, repair, rules, sessions, snapshots
+from .operators import dead_names, near_lines, numbering, references, repair, rule_tables, rules, sessions, snapshots
+from .operators.word_match import WordClass, class_matches
 from .plans import check as plan
 from .sources.tables import file_kind, table
 
@@ -301,16 +302,10 @@ DETERMINER, PREPOSITION = L.class_words("determiner") + L.class_words("article")
 x AS (SELECT doc_id, pos, w, lead(w) OVER p AS w1, lead(w, 2) OVER p AS w2 FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, pos, w || ' ' || w1 || ' ' || w2 AS phrase FROM x WHERE w IN {in_sql(DETERMINER)} AND w1 NOT IN {in_sql(rules.closed_class_words())} AND w2 IN {in_sql(PREPOSITION)}""")
 def d19_class_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A determiner, an open word and a preposition in a row."""
-    lower = F.transform(S.words_of(F.col("text")), F.lower)
-    rows = docs_of(spark, sf_dir).select("doc_id", lower.alias("w"))
-
-    def match(all_words: Column, w: Column, i: Column) -> Column:
-        a, b = F.get(all_words, i + 1), F.get(all_words, i + 2)
-        fits = w.isin(DETERMINER) & ~a.isin(rules.closed_class_words()) & b.isin(PREPOSITION)
-        return F.when(fits, F.struct(i.alias("pos"), F.concat_ws(" ", w, a, b).alias("phrase")))
-
-    return rows.select("doc_id", F.explode(F.array_compact(S.let(F.col("w"), lambda ws: F.transform(ws, lambda w, i: match(ws, w, i))))).alias("m")).select("doc_id", "m.pos", "m.phrase")
+    """A determiner, an open word and a preposition in a row, in the match language."""
+    lexicon = {"determiner": WordClass(tuple(DETERMINER)), "preposition": WordClass(tuple(PREPOSITION)), "closed": WordClass(tuple(rules.closed_class_words())), "open": WordClass(open=True)}
+    found = class_matches(docs_of(spark, sf_dir), lexicon, {"phrase": "{determiner} {open} {preposition}"}, "text")
+    return found.select("doc_id", F.col("start").alias("pos"), F.lower("phrase").alias("phrase"))
 
 
 # --- aggregations ----------------------------------------------------------------------------------
@@ -724,6 +719,23 @@ def r5_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.agg(F.bool_and(~wrapped).alias("clean"), F.bool_and(again).alias("fixed_point"), F.count(F.lit(1)).alias("n_docs"))
 
 
+SQL_PHRASE_TOKENS = r"regexp_extract_all(regexp_replace(text, '`+[^`]+`+|\"[^\"\n]*\"|“[^”\n]*”', ' ' || chr(1) || ' ', 'g'), '[\p{L}\p{N}_''’-]+|[^\s\p{L}\p{N}_''’-]')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, [x FOR x IN {SQL_PHRASE_TOKENS} IF x <> chr(1)] AS shown, {SQL_PHRASE_TOKENS} AS tokens FROM documents),
+p AS (SELECT DISTINCT array_to_string(shown[1:3], ' ') AS phrase, [lower(x) FOR x IN shown[1:3]] AS want FROM t WHERE len(shown) >= 3),
+at AS (SELECT doc_id, [lower(x) FOR x IN tokens] AS low, unnest(range(1, len(tokens) + 1)) AS i FROM t)
+SELECT phrase, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM at JOIN p ON low[i:i + 2] = want GROUP BY phrase""")
+def u3_table_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule table made of the first three tokens of every document, held against all documents by the inverted index."""
+    docs = docs_of(spark, sf_dir)
+    shown = F.filter(rule_tables.tokens_of(F.col("text")), lambda t: t != "\u0001")
+    phrases = docs.select(shown.alias("t")).where(F.size("t") >= 3).select(F.array_join(F.slice("t", 1, 3), " ").alias("match")).distinct()
+    phrases = phrases.select(F.col("match").alias("phrase_id"), "match", F.lit(False).alias("case_sensitive"))
+    found = rule_tables.phrase_matches(docs, phrases)
+    return found.groupBy(F.col("phrase_id").alias("phrase")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
 def findings_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the sentence, block and line rules by source."""
     rows = table(spark, sf_dir, "documents")
