@@ -61,26 +61,6 @@ def twelve_hour_text(text: Column) -> Column:
     return F.array_join(F.transform(parts, one), "")
 
 
-def vague_count(n: Column) -> Column:
-    """A count as a word that does not go stale."""
-    return F.when(n <= 1, "one").when(n == 2, "both").when(n <= 5, "a few").when(n <= 20, "several").otherwise("many")
-
-
-def stated_counts(text: Column) -> Column:
-    """Digits or number words before a plural word; not versions, units, sections, codes or parts of a number."""
-    number = r"[0-9]+|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve"
-    exempt = r"seconds|minutes|hours|days|weeks|months|years|bits|bytes|lines|columns|characters|words|percent|times|levels|versions|pixels|degrees"
-    pattern = rf"(?i)(?<![A-Za-z0-9_.§#v-])((?:{number}) (?!(?:{exempt})(?![A-Za-z]))[a-z]+s)(?![A-Za-z0-9_])"
-    return F.regexp_extract_all(text, F.lit(pattern), 1)
-
-
-def numerals_after_determiner(text: Column) -> Column:
-    """Determiner, number and plural word, where the word is no unit."""
-    number = r"[0-9]+|two|three|four|five|six|seven|eight|nine|ten"
-    unit = r"seconds|minutes|hours|days|weeks|months|years|bits|bytes|lines|columns|characters|words|percent|times"
-    return F.regexp_extract_all(text, F.lit(rf"(?i)(?<![A-Za-z])((?:the|these|those|its|their|our|your|all) (?:{number}) (?!(?:{unit})(?![A-Za-z]))[a-z]+s)(?![A-Za-z])"), 1)
-
-
 def json_entries(text: Column) -> Column:
     """A flat JSON object as a map; null where the text is none."""
     return F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"})

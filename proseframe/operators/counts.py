@@ -5,27 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import kinds as K
+from ..functions import numbers as N
 from ..functions import segment as S
+from ..functions.wordlists import class_words
+from .rewrites import Rewrite
 from .rules import At, Case, hit, rule
 
 
-def _each(b: At, hits: Column, what: str, fix: str) -> Column:
-    return F.transform(hits, lambda h: b.here(what, h, fix))
+@rule("counts/stated-count", "block", cases=(
+    Case("digits", "It has 3 rules."), Case("word", "It reads two files."), Case("measure", "It waits 30 seconds."), Case("thousands", "It reads 1,000 rows."),
+    Case("code", "It prints `3 rules` there.", False), Case("status", "It answers 404 responses.", False), Case("label", "See version 2 files.", False)))
+def stated_count(b: At) -> Column:
+    found = N.number_phrases(b.masked, "gate")
+    return F.transform(found, lambda h: b.here("a count that goes stale", h["text"], "Name the things, or leave the number out.", h["value"]))
 
 
-@rule("counts/stated-count", "block", cases=(Case("digits", "It has 3 rules."), Case("word", "It reads two files."), Case("unit", "It waits 30 seconds.", False), Case("code", "It prints `3 rules` there.", False)))
-def stated_count(b: At) -> Column:
-    return _each(b, K.stated_counts(b.masked), "a count that goes stale", "Name the things, or leave the number out.")
+@rule("counts/inventory-count", "block", place=20, rewrites=(Rewrite(N.RESTATED, N.restated, behind=N.RESTATED_BEHIND),), cases=(
+    Case("tally", "It ships three hooks.", want="It ships hooks."), Case("measure", "The read has about 20 seconds.", want="The read has several seconds."),
+    Case("ceiling", "It has at most 5 rows.", want="It has a bounded number of rows."), Case("ceiling behind", "It takes 25 words or fewer.", want="It takes a bounded number of words."),
+    Case("floor", "It needs at least 2 keys.", want="It needs a couple of keys."), Case("above", "It needs more than 5 keys.", want="It needs several keys."),
+    Case("possessive", "This repo's 15 plugins ride along.", want="This repo's plugins ride along."), Case("no frame", "Cut it into three parts.", False)))
+def inventory_count(b: At) -> Column:
+    found = N.number_phrases(b.masked, "prose")
+    return F.transform(found, lambda h: b.here("a count of what is here", h["text"], "Leave the number out, or say a vague one.", h["value"]))
 
 
 @rule("counts/postdeterminer", "block", "warning", cases=(Case("the", "It reads the two files."), Case("unit", "It waits the 30 seconds.", False), Case("bare", "It reads the files.", False)))
 def postdeterminer(b: At) -> Column:
-    return _each(b, K.numerals_after_determiner(b.masked), "a number behind a determiner", "Leave the number out.")
+    """A number behind a determiner; measures need theirs."""
+    behind = lambda h: F.lower(F.regexp_extract(F.substring(b.masked, F.lit(1), h["start"]), r"([A-Za-z]+)\s+$", 1)).isin("the", *class_words("determiner"))
+    found = F.filter(N.number_phrases(b.masked, "gate"), lambda h: behind(h) & ~h["noun"].isin(N.MEASURES))
+    return F.transform(found, lambda h: b.here("a number behind a determiner", h["text"], "Leave the number out.", h["value"]))
 
 
-@rule("comments/number", "document", cases=(Case("comment", "x = 1\n// it holds 3 rows"), Case("no comment", "It holds 3 rows.", False), Case("unit", "// it waits 30 seconds", False)))
+@rule("comments/number", "document", cases=(
+    Case("comment", "x = 1\n// it holds 3 rows"), Case("no comment", "It holds 3 rows.", False), Case("measure", "// it waits 30 seconds"), Case("status", "// it exits 121 there", False)))
 def comment_number(d: At) -> Column:
-    """Counts in comments; the exemptions are those of stated counts."""
-    found = lambda r: F.transform(K.stated_counts(r["text"]), lambda h: hit(r["start_line"], r["end_line"], "a number in a comment", h, "Leave the number out, or name the constant."))
+    """Numbers in comments, but for those that name a thing, a value or a place."""
+    found = lambda r: F.transform(N.number_phrases(r["text"], "comment"), lambda h: hit(r["start_line"], r["end_line"], "a number in a comment", h["text"], "Leave the number out, or name the constant.", h["value"]))
     return F.flatten(F.transform(S.comment_runs_of(d.text), found))

@@ -14,7 +14,7 @@ from ..functions import segment as S
 from ..functions import wordlists as L
 from ..plans.prefilter import matches
 from . import messages, references
-from .rewrites import SPANS, Rewrite, applied, cut, lookup, template
+from .rewrites import OPEN, SHUT, SPANS, Rewrite, applied, cut, lookup, template
 from .rules import At, Case, Segments, hit, only, rule
 
 def of_surface(rows: list[tuple], surface: str) -> list[tuple]:
@@ -24,7 +24,7 @@ def of_surface(rows: list[tuple], surface: str) -> list[tuple]:
 
 def filler_pattern(surface: str) -> str:
     words = sorted((w for _, w in of_surface(T.FILLERS, surface)), key=len, reverse=True)
-    return rf"(?i)(?<![\w])(?:{'|'.join(map(re.escape, words))})(?!\w),?\s*".replace(r"\ ", r"\s+")
+    return rf"(?i){OPEN}(?:{'|'.join(map(re.escape, words))}){SHUT},?\s*".replace(r"\ ", r"\s+")
 
 
 def filler_rewrites(surface: str = "document") -> tuple[Rewrite, ...]:

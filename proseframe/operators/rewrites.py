@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -18,22 +19,33 @@ GUARDED, MATCH = "\u0001", "\u0002"
 SPANS = r"(`+[^`]+`+|\"[^\"\n]*\"|“[^”\n]*”|\[[^\]\n]*\](?=\())"
 #: A sentence ends at these, unless they stand inside a name or number.
 SENTENCE_END = r"[.!?](?!\w)"
+#: The edges of a word, accented ones too.
+OPEN, SHUT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 NEGATION = r"(?i)(?<![A-Za-z0-9_])(?<!whether or )(?:not|no|never|none|nothing|cannot|[a-z]+n['’]t)(?![A-Za-z0-9_])"
 
 
 @dataclass(frozen=True)
 class Rewrite:
-    """What replaces each match of a pattern; `noun` says that a cut takes the object of what stands before it."""
+    """What replaces each match of a pattern; `noun` says that a cut takes the object of what stands before it.
+
+    `behind` is what has to stand before the pattern, as a look-behind.
+    """
 
     pattern: str
     instead: Callable[[Column], Column]
     noun: bool = False
+    behind: str = ""
 
     @property
     def plain(self) -> str:
         """The pattern as part of an alternation: its own flag, and no group that counts."""
         inner = re.sub(r"(?<!\\)\((?!\?)", "(?:", self.pattern)
-        return f"(?i:{inner[4:]})" if inner.startswith("(?i)") else f"(?:{inner})"
+        return f"(?i:{self.behind}{inner[4:]})" if inner.startswith("(?i)") else f"(?:{self.behind}{inner})"
+
+    @property
+    def alone(self) -> str:
+        """What a match is by itself, without what stands before it."""
+        return dataclasses.replace(self, behind="").plain
 
 
 def cut(pattern: str, noun: bool = False) -> Rewrite:
@@ -48,7 +60,7 @@ def template(pattern: str, instead: str, noun: bool = False) -> Rewrite:
 def lookup(table: dict[str, str]) -> Rewrite:
     """Whole phrases by a table in lower case; any white space stands for a blank."""
     phrases = sorted(table, key=len, reverse=True)
-    pattern = rf"(?i)(?<!\w)(?:{'|'.join(map(re.escape, phrases))})(?!\w)".replace(r"\ ", r"\s+")
+    pattern = rf"(?i){OPEN}(?:{'|'.join(map(re.escape, phrases))}){SHUT}".replace(r"\ ", r"\s+")
     entries = lambda: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
     return Rewrite(pattern, lambda was: F.element_at(entries(), F.lower(F.regexp_replace(was, r"\s+", " "))))
 
@@ -89,7 +101,7 @@ def _leaves_a_sentence(rewrite_is_noun: Column, lead: Column, was: Column, rest:
 def _decided(rewrites: Sequence[Rewrite], parts: Column, was: Column, i: Column, first: Column, last: Column) -> Column:
     """What a match becomes: struct(text, begins), begins if it was a cut at the start of a sentence."""
     before, after = F.get(parts, i - 1), F.get(parts, i + 1)
-    which = F.coalesce(*(F.when(was.rlike(rf"^{r.plain}\z"), F.lit(k)) for k, r in enumerate(rewrites)))
+    which = F.coalesce(*(F.when(was.rlike(rf"^{r.alone}\z"), F.lit(k)) for k, r in enumerate(rewrites)))
 
     def of(k: Column) -> Column:
         now = F.coalesce(*(F.when(k == n, r.instead(was)) for n, r in enumerate(rewrites)), was)
@@ -135,7 +147,8 @@ def applied(text: Column, rewrites: Sequence[Rewrite]) -> Column:
 
         def joined(ds: Column) -> Column:
             after_cut = lambda i: F.coalesce(F.get(ds, i - 1)["begins"], F.lit(False))
-            return F.array_join(F.transform(ds, lambda d, i: F.when(after_cut(i), _upper_first(F.ltrim(d["text"]))).otherwise(d["text"])), "")
+            begins = lambda i: after_cut(i) | (after_cut(i - 1) & ~F.coalesce(F.get(ds, i - 1)["text"].rlike(r"\S"), F.lit(False)))
+            return F.array_join(F.transform(ds, lambda d, i: F.when(begins(i), _upper_first(F.ltrim(d["text"]))).otherwise(d["text"])), "")
 
         return S.let(parts, lambda ps: F.when(F.size(ps) > 1, S.let(decided(ps), joined)).otherwise(F.get(ps, F.lit(0))))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import segment as S
 from ..functions import wordlists as L
 from ..plans.prefilter import matches
-from .rewrites import Rewrite, lookup, pass_of, template
+from .rewrites import OPEN, SHUT, Rewrite, lookup, pass_of, template
 
 FINDING = ["doc_id", "line", "end_line", "rule_id", "category", "rule", "detail", "fix", "severity", "repairable", "measured"]
 HIT = "line: int, end_line: int, rule: string, detail: string, fix: string, measured: bigint"
@@ -330,7 +330,7 @@ def written_out(was: Column) -> Column:
     return F.coalesce(F.element_at(irregular, F.lower(straight)), full)
 
 
-CONTRACTIONS = "(?i){}(?:{}){}".format(BOUND[0], one_of([*L.IRREGULAR_CONTRACTIONS, *("[a-z]+" + e for e in L.CONTRACTION_ENDINGS)]), BOUND[1]).replace("'", "['’]")
+CONTRACTIONS = "(?i){}(?:{}){}".format(OPEN, one_of([*L.IRREGULAR_CONTRACTIONS, *("[a-z]+" + e for e in L.CONTRACTION_ENDINGS)]), SHUT).replace("'", "['’]")
 
 
 @rule("ste/contraction", "sentence", rewrites=(Rewrite(CONTRACTIONS, written_out),), place=30, cases=(Case("nt", "It doesn't run.", want="It does not run."), Case("irregular", "Can't stop.", want="Cannot stop."), Case("possessive", "The job's log.", False)))

@@ -17,7 +17,8 @@ def needed_literals(pattern: str, shortest: int = 2, most: int = 64) -> list[str
     Python can parse are read; for others, as for letters beyond ASCII under (?i), the answer is None.
     """
     try:
-        tree = _parser.parse(pattern)
+        # classes that Python does not know hold no literal, so any class will do for them
+        tree = _parser.parse(re.sub(r"\\[pP]\{\w+\}", r"\\w", pattern))
     except re.error:
         return None
 

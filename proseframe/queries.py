@@ -724,8 +724,8 @@ SQL_PHRASE_TOKENS = r"regexp_extract_all(regexp_replace(text, '`+[^`]+`+|\"[^\"\
 
 @query(f"""WITH t AS (SELECT doc_id, [x FOR x IN {SQL_PHRASE_TOKENS} IF x <> chr(1)] AS shown, {SQL_PHRASE_TOKENS} AS tokens FROM documents),
 p AS (SELECT DISTINCT array_to_string(shown[1:3], ' ') AS phrase, [lower(x) FOR x IN shown[1:3]] AS want FROM t WHERE len(shown) >= 3),
-at AS (SELECT doc_id, [lower(x) FOR x IN tokens] AS low, unnest(range(1, len(tokens) + 1)) AS i FROM t)
-SELECT phrase, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM at JOIN p ON low[i:i + 2] = want GROUP BY phrase""")
+placed AS (SELECT doc_id, [lower(x) FOR x IN tokens] AS low, unnest(range(1, len(tokens) + 1)) AS i FROM t)
+SELECT phrase, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM placed JOIN p ON low[i:i + 2] = want GROUP BY phrase""")
 def u3_table_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule table made of the first three tokens of every document, held against all documents by the inverted index."""
     docs = docs_of(spark, sf_dir)

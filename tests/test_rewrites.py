@@ -26,7 +26,7 @@ TEXTS = {
     "It is very. It is very slow.": "It is very. It is slow.",
     "Really `x` waits, and it really `y`s.": "`x` waits, and it `y`s.",
     "A simply-typed term, un-simply put.": "A simply-typed term, un-simply put.",
-    "É simply is. éshouldn't it.": "É is. éshould not it.",
+    "É simply is. éshouldn't it.": "É is. éshouldn't it.",
     "": "",
 }
 
