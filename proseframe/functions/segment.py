@@ -248,7 +248,16 @@ def table_cells(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def canonical_json(text: Column) -> Column:
-    """A flat JSON object with its keys in order; of a repeated key the last value counts. Null where the text is none."""
+    """A JSON text in one form: the keys of every object in order, at any depth, and no white space.
+
+    The variant type keeps fields by name, so writing one orders them. Of a repeated key of the
+    outermost object the last value counts; null where the text is no JSON, or repeats a key further down.
+    """
+    whole = F.try_parse_json(text)
+    key = lambda k: F.regexp_replace(F.to_json(F.create_map(k, F.lit(0))), r"^\{|0\}$", "")
     placed = F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value")))
     last = lambda es: F.filter(es, lambda e, i: ~F.coalesce(F.get(es, i + 1)["key"] == e["key"], F.lit(False)))
-    return let(let(F.array_sort(placed), last), lambda es: F.to_json(F.map_from_arrays(es["key"], es["value"])))
+    # a value that is no JSON by itself was a string
+    value = lambda v: F.coalesce(F.to_json(F.try_parse_json(v)), F.regexp_extract(F.to_json(F.create_map(F.lit("v"), v)), r'(?s)^\{"v":(.*)\}$', 1))
+    repeated = let(let(F.array_sort(placed), last), lambda es: F.concat(F.lit("{"), F.array_join(F.transform(es, lambda e: F.concat(key(e["key"]), value(e["value"]))), ","), F.lit("}")))
+    return F.when(whole.isNotNull(), F.to_json(whole)).otherwise(F.when(text.rlike(r"^\s*\{"), repeated))

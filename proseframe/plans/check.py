@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.segment import let
 from ..functions.wordlists import REPAIR_ROUNDS
-from ..operators import counts, phrases, rewrites, rule_tables  # noqa: F401  counts and phrases register their rules
+from ..operators import counts, inventory, phrases, rewrites, rule_tables  # noqa: F401  some only register their rules
 from ..operators.rules import FINDING, Rule, Segments, row_findings, run_rule, select_rules
 
 

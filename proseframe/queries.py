@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from .functions import kinds as K
 from .functions import segment as S
 from .functions import wordlists as L
-from .operators import dead_names, near_lines, numbering, references, repair, rule_tables, rules, sessions, snapshots
+from .operators import dead_names, inventory, near_lines, numbering, references, repair, rule_tables, rules, sessions, snapshots
 from .operators.word_match import WordClass, class_matches
 from .plans import check as plan
 from .sources.tables import file_kind, table
@@ -151,11 +151,12 @@ def b10_identifier_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("n_distinct"))
 
 
-@query("""WITH k AS (SELECT event_id, unnest(json_keys(props)) AS k, props FROM events),
-p AS (SELECT event_id, k, json_extract_string(props, '$."' || k || '"') AS v FROM k)
-SELECT event_id, '{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}' AS canonical FROM p GROUP BY event_id""")
+@query("""WITH k AS (SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events)
+SELECT event_id, '{"a":[{"k":' || k || '},1],"z":{"b":{"k":' || k || '},"y":null}}' AS canonical FROM k""")
 def b14_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", S.canonical_json(F.col("props")).alias("canonical"))
+    """Properties inside objects and arrays, whose keys stand in no order."""
+    nested = F.concat(F.lit('{ "z": {"y": null, "b":'), F.col("props"), F.lit('}, "a": ['), F.col("props"), F.lit(", 1.0]}"))
+    return table(spark, sf_dir, "events").select("event_id", S.canonical_json(nested).alias("canonical"))
 
 
 # --- filters, joins --------------------------------------------------------------------------------
@@ -421,14 +422,19 @@ def g8_widened_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.widen_to_blocks(head, snapshots.changed_lines(base, head))
 
 
-@query(f"""WITH {SQL_LINES}, k AS (SELECT doc_id, line_no, lower(trim(line)) AS key FROM l), p AS (SELECT *, CASE WHEN key = lag(key) OVER w THEN 0 ELSE 1 END AS n FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM p) SELECT doc_id, min(line_no) AS line_no, count(*) AS n FROM g GROUP BY doc_id, i HAVING count(*) > 1""")
+G9_MEMBER = "[A-Za-zÀ-ÿ]{3,}"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, unnest({sql_sentences('text')}) AS s, unnest(range(len({sql_sentences('text')}))) AS pos FROM documents),
+t AS (SELECT doc_id, pos, [regexp_replace(x, '^[(\[\"''*_]+|[.,;:!?)\]\"''*_]+$', '', 'g') FOR x IN regexp_extract_all(s, '`[^`]+`[.,;:!?]*|[^\s\x0B]+')] AS w FROM s),
+k AS (SELECT doc_id, pos, CASE WHEN len([x FOR x IN w IF regexp_full_match(x, '{G9_MEMBER}')]) > 0 THEN array_to_string([CASE WHEN regexp_full_match(x, '{G9_MEMBER}') THEN '□' ELSE lower(x) END FOR x IN w], ' ') END AS key FROM t),
+n AS (SELECT *, CASE WHEN key IS NOT DISTINCT FROM lag(key) OVER (PARTITION BY doc_id ORDER BY pos) AND pos > 0 THEN 0 ELSE 1 END AS new FROM k),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM n)
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS n, any_value(key) AS key FROM i WHERE key IS NOT NULL GROUP BY doc_id, run HAVING count(*) > 1""")
 def g9_runs_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that follow one another with the same lower-cased text."""
-    place = W.partitionBy("doc_id").orderBy("line_no")
-    rows = S.lines(docs_of(spark, sf_dir)).withColumn("key", F.lower(F.trim("line")))
-    rows = rows.withColumn("new", F.when(F.col("key") == F.lag("key").over(place), 0).otherwise(1)).withColumn("i", F.sum("new").over(place))
-    return rows.groupBy("doc_id", "i").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("i")
+    """Sentences that follow one another with one frame, where any word of three letters or more counts as a member."""
+    keys = F.transform(S.sentences_of(F.col("text")), lambda s: inventory.frame_key(s, G9_MEMBER))
+    return docs_of(spark, sf_dir).select("doc_id", F.explode(inventory.equal_runs(keys, least=2)).alias("r")).select("doc_id", "r.*")
 
 
 SQL_SLUG = r"array_to_string([w FOR w IN string_split_regex(lower(title), '[^\p{L}\p{N}]+') IF w <> ''][1:3], '-')"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..functions.wordlists import EXECUTABLE_HEADS
@@ -64,6 +65,44 @@ def transcript(spark: SparkSession, path: str, session: str | None = None) -> Da
     return rows if session is None else rows.where(F.col("sessionId") == session)
 
 
+def transcript_blocks(records: DataFrame) -> DataFrame:
+    """The blocks of records in their order: session, ts, record_no, role, at, kind, text, name, call_id, input, answers, is_error.
+
+    The content of a message is a text, which is one block of kind text, or an array of blocks. A call
+    has a name, an id and its input in canonical form; a result names the call it answers. Blocks of
+    other kinds, and fields of other types, have nulls; a record without content has no block.
+    """
+    content = F.col("message.content")
+    parsed = F.try_parse_json(content)
+    is_array = F.coalesce(F.schema_of_variant(parsed).startswith("ARRAY"), F.lit(False))
+    rows = records.select(
+        F.col("sessionId").alias("session"), F.to_timestamp("timestamp").alias("ts"), F.monotonically_increasing_id().alias("record_no"),
+        F.col("message.role").alias("role"), content.alias("content"), F.when(is_array, parsed.cast("array<variant>")).alias("blocks"),
+    ).where("content is not null")
+    # a text is the one block of its record
+    rows = rows.select("*", F.posexplode_outer("blocks").alias("at", "block"))
+    own = lambda path, kind="string": F.try_variant_get("block", path, kind)
+    return rows.select(
+        "session", "ts", "record_no", "role", F.coalesce("at", F.lit(0)).alias("at"), F.when(F.col("blocks").isNull(), "text").otherwise(own("$.type")).alias("kind"),
+        F.when(F.col("blocks").isNull(), F.col("content")).otherwise(own("$.text")).alias("text"), own("$.name").alias("name"), own("$.id").alias("call_id"),
+        F.to_json(own("$.input", "variant")).alias("input"), own("$.tool_use_id").alias("answers"), F.coalesce(own("$.is_error", "boolean"), F.lit(False)).alias("is_error"),
+    ).where("kind is not null")
+
+
+def transcript_turns(blocks: DataFrame) -> DataFrame:
+    """session, turn_no, sig, n_calls, started_at, ended_at of the turns that call anything: a user's text opens a turn, an answer to a call does not.
+
+    The signature of a turn is its calls, name and canonical input, in order of their text.
+    """
+    place = W.partitionBy("session").orderBy("ts", "record_no", "at")
+    opens = (F.col("role") == "user") & (F.col("kind") == "text")
+    rows = blocks.withColumn("turn_no", F.sum(F.when(opens, 1).otherwise(0)).over(place))
+    calls = rows.where("kind = 'tool_use'").withColumn("call", F.concat_ws(" ", "name", "input"))
+    spans = rows.groupBy("session", "turn_no").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"))
+    sums = calls.groupBy("session", "turn_no").agg(F.concat_ws("\n", F.array_sort(F.collect_list("call"))).alias("sig"), F.count(F.lit(1)).alias("n_calls"))
+    return sums.join(spans, ["session", "turn_no"]).select("session", "turn_no", "sig", "n_calls", "started_at", "ended_at")
+
+
 def rule_rows(rows: DataFrame, surface: str) -> DataFrame:
     """Rows of a rule table rule_rows(match, surface, case_sensitive, ...) that apply to a surface; without one they apply to all."""
     return rows.where(F.col("surface").isNull() | (F.col("surface") == surface))

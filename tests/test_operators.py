@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -77,7 +78,9 @@ def test_sections_and_comments(spark):
 
 def test_canonical_json(spark):
     assert one(spark, S.canonical_json, '{"b":"1","a":"x"}') == '{"a":"x","b":"1"}'
-    assert one(spark, S.canonical_json, '{"a":"1","b":"3","a":"2"}') == '{"a":"2","b":"3"}'
+    assert one(spark, S.canonical_json, '{"a":"x","b":"y z","a":"w"}') == '{"a":"w","b":"y z"}'
+    assert one(spark, S.canonical_json, '{"b":{"y":1,"x":[{"d":1.50,"c":null}]},"a":"é"}') == '{"a":"é","b":{"x":[{"c":null,"d":1.5}],"y":1}}'
+    assert one(spark, S.canonical_json, '[{"b":1, "a":2}]') == '[{"a":2,"b":1}]' and one(spark, S.canonical_json, '{"a":1,"b":{"z":1},"a":2}') == '{"a":2,"b":{"z":1}}'
     assert one(spark, S.canonical_json, "{}") == "{}" and one(spark, S.canonical_json, "no object") is None and one(spark, S.canonical_json, None) is None
 
 
@@ -307,3 +310,23 @@ def test_sources(spark, tmp_path):
     rows = spark.createDataFrame([("a", "utilise", "use", "prose", False, "Utilise it", "use it"), ("b", "x", "y", None, True, "z", "y")], "rule_id string, match string, replace string, surface string, case_sensitive boolean, test_in string, test_out string")
     assert tables.rule_rows(rows, "comment").count() == 1
     assert [r.rule_id for r in tables.failing_rule_rows(rows).collect()] == ["b"]
+
+
+def test_transcript_blocks_to_streaks(spark, tmp_path):
+    def record(minute, role, content, session="s", side=False):
+        return json.dumps({"type": role, "timestamp": f"2024-05-01T10:{minute:02}:00Z", "sessionId": session, "isSidechain": side, "message": {"role": role, "content": content}})
+
+    rows = []
+    for k in range(4):
+        rows += [record(2 * k, "user", "go on"), record(2 * k, "assistant", [{"type": "text", "text": "I look."}, {"type": "tool_use", "name": "Read", "id": f"c{k}", "input": {"b": [1, {"z": 1, "a": 2}], "a": "x"} if k % 2 else {"a": "x", "b": [1, {"a": 2, "z": 1}]}}])]
+        rows += [record(2 * k + 1, "user", [{"type": "tool_result", "tool_use_id": f"c{k}", "is_error": k == 2, "content": "ok"}])]
+    rows += ["no json {", record(20, "user", None), record(21, "assistant", [{"type": "tool_use", "name": "Other", "id": "z", "input": {}}], side=True), record(22, "assistant", [7, {"type": 3}])]
+    (tmp_path / "t.jsonl").write_text("\n".join(rows))
+    blocks = tables.transcript_blocks(tables.transcript(spark, f"{tmp_path}/t.jsonl"))
+    got = [(r.kind, r.name, r.call_id, r.answers, r.is_error) for r in blocks.orderBy("record_no", "at").collect()]
+    assert got[:4] == [("text", None, None, None, False), ("text", None, None, None, False), ("tool_use", "Read", "c0", None, False), ("tool_result", None, None, "c0", False)]
+    assert len(got) == 17 and sum(r[4] for r in got) == 1
+    turns = tables.transcript_turns(blocks)
+    assert {r.sig for r in turns.collect()} == {'Read {"a":"x","b":[1,{"a":2,"z":1}]}'} and turns.count() == 4
+    runs = sessions.trailing_streaks(turns, 300)
+    assert [r.n for r in runs.collect()] == [4]
