@@ -43,6 +43,15 @@ def content_kind(text: Column) -> Column:
     )
 
 
+#: A license notice: a copyright line or a license tag.
+LICENSE = r"(?i)\bcopyright\b|\(c\)\s*(?:19|20)[0-9]{2}|SPDX-License-Identifier"
+
+
+def is_license_notice(text: Column, pattern: str = LICENSE) -> Column:
+    """A text that states a license; no rule measures it."""
+    return text.rlike(pattern)
+
+
 def twelve_hour(ts: Column, zone: str) -> Column:
     """A UTC time as a 12-hour clock of a zone."""
     return F.date_format(F.from_utc_timestamp(ts, zone), "MMM d h:mm a")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import kinds as K
 from ..functions import numbers as N
 from ..functions import segment as S
-from ..functions.wordlists import class_words
+from ..functions.wordlists import COMMENT_CHARS, class_words
 from .rewrites import Rewrite
 from .rules import At, Case, hit, rule
 
@@ -43,4 +44,25 @@ def postdeterminer(b: At) -> Column:
 def comment_number(d: At) -> Column:
     """Numbers in comments, but for those that name a thing, a value or a place."""
     found = lambda r: F.transform(N.number_phrases(r["text"], "comment"), lambda h: hit(r["start_line"], r["end_line"], "a number in a comment", h["text"], "Leave the number out, or name the constant.", h["value"]))
-    return F.flatten(F.transform(S.comment_runs_of(d.text), found))
+    return F.flatten(F.transform(F.filter(S.comment_runs_of(d.text), lambda r: ~K.is_license_notice(r["text"])), found))
+
+
+@rule("comments/length", "document", cases=(
+    Case("heavy", "// " + "it says a lot about one line " * 6 + "\nx = 1"), Case("balanced", "// " + "word " * 20 + "\n" + "value = compute(a, b, c)\n" * 8, False),
+    Case("short", "// a note\nx = 1", False), Case("license", "// Copyright 2020 " + "holders of the rights " * 8 + "\nx = 1", False)))
+def comment_length(d: At) -> Column:
+    """A comment of COMMENT_CHARS characters or more that weighs more than the code below it, up to a blank line; white space weighs nothing."""
+    size = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
+    least = d.limit("comment_chars", COMMENT_CHARS)
+
+    def of(ls: Column) -> Column:
+        def judged(r: Column) -> Column:
+            rest = F.slice(ls, r["end_line"] + 1, F.size(ls))
+            ends = F.array_position(F.transform(rest, lambda x: x.rlike(r"^\s*$") | x.rlike(r"^\s*(//|#|--)")), F.lit(True))
+            code = F.array_join(F.slice(rest, F.lit(1), F.when(ends > 0, ends.cast("int") - 1).otherwise(F.size(rest))), "")
+            weighs = (size(r["text"]) >= least) & (size(r["text"]) > size(code)) & ~K.is_license_notice(r["text"])
+            return F.when(weighs, hit(r["start_line"], r["end_line"], "a comment that weighs more than its code", r["text"], "Shorten it.", size(r["text"])))
+
+        return F.array_compact(F.transform(S.comment_runs_of(d.text), judged))
+
+    return F.when(d.text.rlike(r"(?m)^\s*(//|#|--)"), S.let(S.lines_of(d.text), of))

@@ -31,9 +31,9 @@ def dead_names(docs: DataFrame, candidate: Column | None = None, most_names: int
     rows = docs.select("doc_id", F.explode(found).alias("word")).where(candidate)
     per_text = rows.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = per_text.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_names")).where(F.col("n_names") <= most_names)
-    once = per_text.where("n = 1").join(counts.select("doc_id"), "doc_id", "left_semi")
-    # whether another document holds the word: the documents of each candidate word, over all texts
-    return once.join(document_frequency(docs, candidate).where("n_docs = 1"), "word", "left_semi").select("doc_id", F.col("word").alias("name"))
+    # one pass: a word of one document has that document's id as its least
+    once = per_text.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).where("n_docs = 1 and n = 1")
+    return once.join(counts.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("word").alias("name"))
 
 
 def without_file_names(names: DataFrame, paths: DataFrame) -> DataFrame:

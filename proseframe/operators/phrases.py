@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kinds as K
 from ..functions import phrase_tables as T
 from ..functions import segment as S
 from ..functions import wordlists as L
@@ -142,7 +143,7 @@ def comment_volume(d: At) -> Column:
 
 
 def long_comment_runs_of(text: Column, most: int) -> Column:
-    """array<struct<start_line, end_line, n_lines>> of comments of over `most` lines; blank lines neither count nor end one."""
+    """array<struct<start_line, end_line, n_lines>> of comments of over `most` lines; blank lines neither count nor end one, and a license notice is none."""
     mark = r"^\s*(//|#|--)"
 
     def step(state: Column, x: Column) -> Column:
@@ -155,7 +156,7 @@ def long_comment_runs_of(text: Column, most: int) -> Column:
         )
 
     begun = F.struct(F.array().cast("array<struct<start_line: int, end_line: int, n_lines: int>>").alias("runs"), F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit(0).alias("last"))
-    kind = lambda x: F.when(x.rlike(mark), "c").when(x.rlike(r"^\s*$"), "b").otherwise("x")
+    kind = lambda x: F.when(K.is_license_notice(x), "x").when(x.rlike(mark), "c").when(x.rlike(r"^\s*$"), "b").otherwise("x")
     # an end mark closes the last run
     kinds = F.transform(F.concat(S.lines_of(text), F.array(F.lit("."))), lambda x, i: F.struct(kind(x).alias("kind"), (i + 1).alias("at")))
     return F.when(text.rlike(r"(?m)^\s*(//|#|--)"), F.aggregate(kinds, begun, step, lambda st: st["runs"]))

@@ -90,10 +90,40 @@ def headings(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", F.regexp_extract("line", r"^#+ +(\d+(?:\.\d+)*)", 1).alias("number"), title.alias("title"), anchor(title).alias("anchor"))
 
 
+#: A citation: a document's name in front, or none for the text's own sections, and a number.
+CITATION = r"(?:(?<![\w./-])([\w./-]*\w\.(?:md|txt|rst|adoc)),? )?(?:§ ?|[Ss]ections? )(\d+(?:\.\d+)*)"
+
+
+def named_documents(names: DataFrame, docs: DataFrame) -> DataFrame:
+    """names(name) with target, the doc_id of the one document of docs(doc_id, path) whose path ends in that name, part by part.
+
+    Each path stands under all its ends, so a name is one equi-join, with nothing to compare; a name that
+    several paths end in, unless one is that path itself, names none.
+    """
+    parts = F.split(F.regexp_replace("path", r"^\./", ""), "/")
+    ends = docs.where("path is not null").select("doc_id", parts.alias("p")).select("doc_id", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("k"))
+    ends = ends.select("doc_id", F.array_join(F.slice("p", F.col("k"), F.size("p")), "/").alias("name"), (F.col("k") == 1).alias("whole"))
+    best = ends.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("one"), F.sum(F.col("whole").cast("int")).alias("n_whole"), F.min(F.when(F.col("whole"), F.col("doc_id"))).alias("itself"))
+    target = F.when(F.col("n_whole") == 1, F.col("itself")).when(F.col("n") == 1, F.col("one"))
+    found = best.select("name", target.alias("target")).where("target is not null")
+    return names.withColumn("name", F.regexp_replace("name", r"^(?:\.{1,2}/)+", "")).join(found, "name", "left")
+
+
 def section_citations(docs: DataFrame) -> DataFrame:
-    """doc_id, number, anchor: each section number that a text cites, with the heading it names; null where there is none."""
-    cites = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?:§ ?|[Ss]ection )(\d+(?:\.\d+)*)"), 1)).alias("number"))
-    return cites.join(headings(docs).select("doc_id", "number", "anchor"), ["doc_id", "number"], "left")
+    """doc_id, name, number, target, anchor: each section number that a text cites, of itself or of the document that it names.
+
+    docs has doc_id, text and, where documents are named, path. target is the cited document, null
+    where no one document has that name; anchor its heading of that number, the first if there are
+    several, null where there is none.
+    """
+    cited = F.regexp_extract_all("text", F.lit(f"({CITATION})"), 1)
+    rows = docs.select("doc_id", F.explode(cited).alias("c")).select("doc_id", F.regexp_extract("c", CITATION, 1).alias("name"), F.regexp_extract("c", CITATION, 2).alias("number"))
+    own = rows.where("name = ''").withColumn("target", F.col("doc_id"))
+    others = rows.where("name != ''")
+    others = named_documents(others, docs) if "path" in docs.columns else others.withColumn("target", F.lit(None).cast("long"))
+    first = headings(docs).groupBy("doc_id", "number").agg(F.min_by("anchor", "line_no").alias("anchor"))
+    found = own.unionByName(others).join(first.withColumnRenamed("doc_id", "target"), ["target", "number"], "left")
+    return found.select("doc_id", "name", "number", "target", "anchor")
 
 
 # Conclusions of a check that did not pass, and of one that is still to come.

@@ -108,6 +108,7 @@ class Rule:
     rewrites: tuple[Rewrite, ...] = ()
     level: str = ""
     find: Callable[[At], Column] | None = None
+    kinds: tuple[str, ...] = ()
 
     @property
     def category(self) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.segment import let
-from ..functions.wordlists import REPAIR_ROUNDS
-from ..operators import counts, inventory, phrases, rewrites, rule_tables  # noqa: F401  some only register their rules
+from ..functions.wordlists import NEAR_FRACTION, REPAIR_ROUNDS
+from ..operators import corpus_rules, counts, inventory, phrases, rewrites, rule_tables  # noqa: F401  some only register their rules
 from ..operators.rules import FINDING, Rule, Segments, row_findings, run_rule, select_rules
 
 
@@ -56,6 +57,24 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.rollup("category", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
+def rules_without_findings(findings: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """rule_id of the selected rules that a run found nothing for; over the cases of the rules there is none."""
+    chosen = findings.sparkSession.createDataFrame([(r.id,) for r in select_rules(rules)], "rule_id string")
+    return chosen.exceptAll(findings.select("rule_id").distinct())
+
+
+def distinct_hits(findings: DataFrame) -> DataFrame:
+    """One finding for each rule and detail of a document, the one on the first line."""
+    first = W.partitionBy("doc_id", "rule_id", "detail").orderBy("line", "end_line")
+    return findings.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def worst_first(docs: DataFrame, cap: int, most: int, near: float = NEAR_FRACTION) -> DataFrame:
+    """doc_id, n_chars of the `most` largest of docs that are over a budget of characters or near it."""
+    sized = docs.select("doc_id", F.length("text").alias("n_chars"))
+    return sized.where(F.col("n_chars") >= math.ceil(cap * near)).orderBy(F.desc("n_chars"), "doc_id").limit(most)
+
+
 def report(findings: DataFrame) -> DataFrame:
     """A total order for people to read."""
     return findings.orderBy("doc_id", "line", "rule_id", "detail", "end_line")
@@ -79,9 +98,11 @@ def top_findings(findings: DataFrame, most: int, ranks: dict[str, int] | None =
     return rows.withColumn("hidden", F.when((F.col("rn") == most) & (F.col("total") > most), F.col("total") - most).otherwise(0)).drop("total")
 
 
-def repair(docs: DataFrame, rules: list[str | Rule] | None = None, rounds: int = REPAIR_ROUNDS) -> DataFrame:
+def repair(docs: DataFrame, rules: list[str | Rule] | None = None, rounds: int = REPAIR_ROUNDS, kind: Column | None = None) -> DataFrame:
     """docs with the repaired text, `before` and `changed`. Rules go by id or category; one that is not registered is given itself.
 
+    `kind` is a column over docs, as tables.file_kind makes it; a rule that names kinds repairs only those.
+
     In a round the repairs go in the order of their places; the rewrites that follow one another are
     one pass over the text. The rounds are a fold inside the row: a text that a round leaves alone is
     settled, and the plan holds one round, however many may run. There is no job, and no shuffle, for a round.
@@ -90,11 +111,12 @@ def repair(docs: DataFrame, rules: list[str | Rule] | None = None, rounds: int =
     names = None if rules is None else [r for r in rules if not isinstance(r, Rule)]
     chosen = sorted((r for r in own + select_rules(names) if r.repair), key=lambda r: (r.place, r.id))
     steps: list[Callable[[Column], Column]] = []
-    for of_rewrites, group in itertools.groupby(chosen, lambda r: bool(r.rewrites)):
+    where = lambda kinds, step: step if not kinds or kind is None else lambda t: F.when(kind.isin(*kinds), step(t)).otherwise(t)
+    for (of_rewrites, kinds), group in itertools.groupby(chosen, lambda r: (bool(r.rewrites), r.kinds)):
         if of_rewrites:
-            steps.append(rewrites.pass_of([x for r in group for x in r.rewrites]))
+            steps.append(where(kinds, rewrites.pass_of([x for r in group for x in r.rewrites])))
         else:
-            steps.extend(r.repair for r in group)
+            steps.extend(where(kinds, r.repair) for r in group)
     if not steps:
         return docs.withColumns({"before": F.col("text"), "changed": F.lit(False)})
 

@@ -191,7 +191,7 @@ def c6_sha_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_BLOCKS} SELECT doc_id, block_no FROM blocks WHERE regexp_matches(text, '(?i)licen[sc]e')")
 def c7_license_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.blocks(docs_of(spark, sf_dir)).where(F.col("text").rlike("(?i)licen[sc]e")).select("doc_id", "block_no")
+    return S.blocks(docs_of(spark, sf_dir)).where(K.is_license_notice(F.col("text"), "(?i)licen[sc]e")).select("doc_id", "block_no")
 
 
 SQL_TRIMMED = f"{SQL_LINES}, tl AS (SELECT doc_id, line_no, trim(line, {BLANKS} || chr(11) || chr(12)) AS line FROM l WHERE trim(line, {BLANKS} || chr(11) || chr(12)) <> '')"
@@ -506,8 +506,7 @@ def g18_verb_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, length(text) AS n_chars FROM documents WHERE length(text) >= ceil(1500 * 0.975) ORDER BY n_chars DESC, doc_id LIMIT 20")
 def h1_worst_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty largest documents near or over a budget of 1500 characters."""
-    rows = docs_of(spark, sf_dir).select("doc_id", F.length("text").alias("n_chars"))
-    return rows.where(F.col("n_chars") >= F.ceil(F.lit(1500) * L.NEAR_FRACTION)).orderBy(F.desc("n_chars"), "doc_id").limit(20)
+    return plan.worst_first(docs_of(spark, sf_dir), cap=1500, most=20)
 
 
 @query(f"WITH {RUN_SQL} SELECT doc_id, line, rule_id FROM w")
@@ -538,6 +537,13 @@ def h5_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").exceptAll(plan.check(docs, RUN_RULES).select("doc_id").distinct())
 
 
+@query(f"WITH {RUN_SQL}, chosen AS (SELECT unnest(['ste/paragraph-length', 'ste/sentence-length', 'wrap/hard-wrap', 'wrap/long-block', 'wrap/wide-line', 'repo/budget', 'english/semicolon']) AS rule_id) SELECT rule_id FROM chosen EXCEPT ALL SELECT DISTINCT rule_id FROM (SELECT rule_id FROM w UNION ALL SELECT 'repo/budget' FROM documents WHERE length(text) > 40000 UNION ALL SELECT 'english/semicolon' FROM documents WHERE contains(text, ';'))")
+def h5_rules_without_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the selected rules those that find nothing in any document."""
+    chosen = [*RUN_RULES, "repo/budget", "english/semicolon"]
+    return plan.rules_without_findings(plan.check(docs_of(spark, sf_dir), chosen), chosen)
+
+
 # --- scalar rules ----------------------------------------------------------------------------------
 
 

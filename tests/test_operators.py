@@ -249,6 +249,10 @@ def test_references(spark):
     assert references.resolved_references(references.references(docs), known).where("url = 'u'").count() == 1
     cites = references.section_citations(texts(spark, "# 1 Start here\nsee § 1 and section 9.2")).orderBy("number").collect()
     assert [(r.number, r.anchor) for r in cites] == [("1", "1-start-here"), ("9.2", None)]
+    paths = [(1, "docs/a.md", "# 2 Two\n# 2 Two again\nsee b.md § 4"), (2, "./docs/sub/b.md", "# 4 Four\nsee ../a.md, section 2, c.md section 1, e.md § 1 and sub/none.md § 2"), (3, "x/c.md", "# 1 One"), (4, "y/c.md", "# 1 Uno"), (5, "e.md", "# 1 E"), (6, "z/e.md", None)]
+    cites = references.section_citations(spark.createDataFrame(paths, "doc_id long, path string, text string"))
+    assert {(r.doc_id, r.name, r.target, r.anchor) for r in cites.collect()} == {(1, "b.md", 2, "4-four"), (2, "a.md", 1, "2-two"), (2, "c.md", None, None), (2, "e.md", 5, "1-e"), (2, "sub/none.md", None, None)}
+    assert cites.count() == 5
     assert one(spark, references.slug, "The Great, Big Plan") == "the-great-big"
     assert one(spark, lambda c: references.without_query_parameter(c, "v"), "http://x/a?v=1&b=2#t") == "http://x/a?b=2#t"
     assert one(spark, lambda c: references.without_query_parameter(c, "v"), "http://x/a?v=1") == "http://x/a"

@@ -19,7 +19,8 @@ def texts(spark, rows):
 def test_each_rule_fires_on_its_cases_alone(spark):
     cases = [(r.id, c) for r in rules.select_rules() for c in r.cases]
     docs = texts(spark, [(i, c.text) for i, (_, c) in enumerate(cases)])
-    found = {(r.doc_id, r.rule_id) for r in plan.check(docs).collect()}
+    listed = spark.createDataFrame([("utilise", ["use"])], "word string, approved array<string>")
+    found = {(r.doc_id, r.rule_id) for r in plan.check(docs, limits={"dictionary": listed}).collect()}
     for i, (rule_id, case) in enumerate(cases):
         assert ((i, rule_id) in found) == case.fires, (rule_id, case.name)
     assert {rule for _, rule in found} == set(rules.REGISTRY)  # each rule occurs in some case
@@ -61,6 +62,26 @@ def test_gate_summary_and_top(spark):
     assert [(r.doc_id, r.rn, r.hidden) for r in top] == [(1, 1, 0), (1, 2, 1), (2, 1, 0)]
 
 
+def test_helpers_over_findings(spark):
+    docs = texts(spark, [(1, "It should, it should.\n\nIt should."), (2, "x" * 30), (3, "x" * 20)])
+    found = plan.check(docs, ["ste/modal"])
+    assert [(r.doc_id, r.line) for r in plan.distinct_hits(found).collect()] == [(1, 1)] and found.count() == 3
+    assert {r.rule_id for r in plan.rules_without_findings(found, ["ste/modal", "wrap/hard-wrap"]).collect()} == {"wrap/hard-wrap"}
+    assert [tuple(r) for r in plan.worst_first(docs, 30, 2).collect()] == [(1, 33), (2, 30)]
+
+
+def test_repairs_of_some_kinds(spark):
+    docs = texts(spark, [(1, "a"), (2, "a")]).withColumn("kind", F.when(F.col("doc_id") == 1, "source").otherwise("document"))
+    own = rules.Rule("own/b", repair=lambda t: F.replace(t, F.lit("a"), F.lit("b")), kinds=("source",))
+    assert {r.doc_id: r.text for r in plan.repair(docs, [own], kind=F.col("kind")).collect()} == {1: "b", 2: "a"}
+
+
+def test_one_scan_for_all_row_rules(spark):
+    docs = texts(spark, [(1, "a")])
+    names = [r.id for r in rules.select_rules() if r.find]
+    assert len(names) > 35 and plan.check(docs, names)._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 1
+
+
 def test_owned_findings(spark):
     docs = texts(spark, [(1, "a\nb\nc"), (2, "a\nb")])
     owned = spark.createDataFrame([(1, 3)], "doc_id long, line_no int")
