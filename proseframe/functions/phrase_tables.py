@@ -136,3 +136,22 @@ FLAGGED = [
     'somehow',
     'no longer',
 ]
+
+# Phrases that are reported in comments and not rewritten, one each.
+VAGUE_COMMENTS = [
+    'as mentioned above',
+    'as mentioned below',
+    'see above',
+    'see below',
+    'for now',
+    'currently',
+    'used to',
+    'no longer',
+    'will be',
+    'tbd',
+    'obviously wrong',
+    'hack',
+    'for some reason',
+    'magic number',
+    'do not ask',
+]

@@ -121,7 +121,7 @@ def asserted_text(text: Column) -> Column:
 
 # Lines that are never prose.
 VERBATIM = r"^\s*$|^ {0,3}#{1,6}(\s|$)|^\s*\||^\s*>|^\s*(```|~~~)|^( {4}|\t)|^\s*([-*_]\s*){3,}$|^\s*<[!/A-Za-z]|^[^\p{L}]*$"
-DIRECTIVE = r"^\s*\{\{.*\}\}\s*$|^\s*\{%.*%\}\s*$"
+DIRECTIVE = r"^\s*\{\{.*\}\}\s*$|^\s*\{%.*%\}\s*$|^\s*@[^\s@]+\s*$"
 TRAILER = r"^[A-Z][A-Za-z-]*: \S"
 
 
@@ -136,7 +136,7 @@ def blocks_of(text: Column) -> Column:
 
     Lines are classed by a grammar of single lines: blank lines, headings, table rows, quotes,
     fences and what they hold, indented code, rules, tags, directives, front matter and lines
-    without a letter are verbatim, one block each. Other lines that follow one another are one
+    without a letter are verbatim, one block each, and so is a lone import of a path by `@`. Other lines that follow one another are one
     prose block; a list marker starts a new one. A prose block of trailer lines alone is verbatim.
     """
     def prose_of(ls: Column) -> Column:

@@ -55,7 +55,7 @@ def class_words(name: str) -> list[str]:
 MODALS = {"should": "must", "shall": "must", "could": "can", "might": "can", "would": "will"}
 # Contractions by their endings, and those that follow no ending.
 CONTRACTION_ENDINGS = {"n't": " not", "'re": " are", "'ve": " have", "'ll": " will"}
-IRREGULAR_CONTRACTIONS = {"can't": "cannot", "won't": "will not", "shan't": "must not", "it's": "it is", "that's": "that is", "i'm": "I am", "let's": "let us"}
+IRREGULAR_CONTRACTIONS = {"can't": "cannot", "won't": "will not", "shan't": "must not", "it's": "it is", "that's": "that is", "i'm": "I am", "let's": "let us", "wouldn't": "would not", "shouldn't": "must not", "couldn't": "cannot", "mightn't": "cannot"}
 # Deflections.
 BLAME_PHRASES = [
     "pre-existing", "preexisting", "not my fault", "not my problem", "not mine to fix", "not my responsibility", "worth your attention",

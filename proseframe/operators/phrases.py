@@ -76,6 +76,15 @@ def flagged(b: At) -> Column:
     return _of_blocks(b, pattern, "a phrase that hides what is the case", "Say what holds now.")
 
 
+@rule("comments/vague", "document", cases=(Case("now", "x = 1\n// for now it waits"), Case("hack", "# a hack\nx"), Case("prose", "It waits for now.", False), Case("part", "// a hacker\nx", False)))
+def vague_comment(d: At) -> Column:
+    """Wording of comments about a state that is past or open; license notices are none."""
+    pattern = rf"(?i){OPEN}(?:{'|'.join(re.escape(p) for p in T.VAGUE_COMMENTS)}){SHUT}".replace(r"\ ", r"\s+")
+    free = F.filter(S.comment_runs_of(d.text), lambda r: ~K.is_license_notice(r["text"]))
+    found = lambda r: F.transform(F.regexp_extract_all(_unguarded(r["text"]), F.lit(f"({pattern})"), 1), lambda h: hit(r["start_line"], r["end_line"], "a comment that hides what is the case", h, "Say what holds now."))
+    return F.flatten(F.transform(free, found))
+
+
 TELL_CASES = {
     "tombstones/date": (Case("since", "It runs since 2024-05-06 at night.", want="It runs at night."), Case("number", "It holds 2024 rows.", False)),
     "tombstones/change-reference": (Case("pull request", "It waits see PR 77 and goes on.", want="It waits and goes on."), Case("none", "It reads the issue list.", False)),

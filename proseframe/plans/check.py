@@ -15,6 +15,7 @@ from ..functions.segment import let
 from ..functions.wordlists import NEAR_FRACTION, REPAIR_ROUNDS
 from ..operators import corpus_rules, counts, inventory, phrases, rewrites, rule_tables  # noqa: F401  some only register their rules
 from ..operators.rules import FINDING, Rule, Segments, row_findings, run_rule, select_rules
+from ..operators.snapshots import regressions
 
 
 def check(docs: DataFrame, rules: list[str] | None = None, limits: dict | None = None, owned: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
@@ -57,6 +58,15 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.rollup("category", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
+def regression_gate(base: DataFrame, head: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """doc_id, rule_id, n_base, n_head where head, after its repairs, has more findings of a rule than base has as it stands.
+
+    The same rules judge both, so what a repair clears is no regression, and what a repair brings in is one.
+    """
+    repaired = repair(head, rules).select("doc_id", "text")
+    return regressions(check(base, rules), check(repaired, rules))
+
+
 def rules_without_findings(findings: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """rule_id of the selected rules that a run found nothing for; over the cases of the rules there is none."""
     chosen = findings.sparkSession.createDataFrame([(r.id,) for r in select_rules(rules)], "rule_id string")

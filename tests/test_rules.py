@@ -70,6 +70,13 @@ def test_helpers_over_findings(spark):
     assert [tuple(r) for r in plan.worst_first(docs, 30, 2).collect()] == [(1, 33), (2, 30)]
 
 
+def test_regression_gate(spark):
+    base = texts(spark, [(1, "It runs."), (2, "It should; it runs."), (3, "It runs.")])
+    head = texts(spark, [(1, "It should run."), (2, "It runs."), (3, "It runs; it stops.")])
+    got = [tuple(r) for r in plan.regression_gate(base, head, ["ste/modal", "english/semicolon"]).collect()]
+    assert got == [(3, "english/semicolon", 0, 1)]  # what the repair of document 1 clears is none
+
+
 def test_repairs_of_some_kinds(spark):
     docs = texts(spark, [(1, "a"), (2, "a")]).withColumn("kind", F.when(F.col("doc_id") == 1, "source").otherwise("document"))
     own = rules.Rule("own/b", repair=lambda t: F.replace(t, F.lit("a"), F.lit("b")), kinds=("source",))
