@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.wordlists import STREAK_GAP_SECONDS, STREAK_TURNS
+from ..operators.rules import select_rules
 from ..plans import check as plan
 
 #: Keyed state of what sends nothing for this long is dropped.
@@ -25,8 +26,8 @@ def with_state_store(spark: SparkSession) -> SparkSession:
 
 
 def judge_stream(messages: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """Findings of each arriving messages(doc_id, text); the rules are those of a batch and keep no state."""
-    return plan.check(messages, rules)
+    """Findings of each arriving messages(doc_id, text); the rules are those of a batch that read one text, and keep no state."""
+    return plan.check(messages, rules or [r.id for r in select_rules() if r.find])
 
 
 class StreakProcessor(StatefulProcessor):
