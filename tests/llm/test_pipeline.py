@@ -86,6 +86,6 @@ def test_run(spark, folder):
 def test_columns_with_any_name_stay(spark):
     rows = [(i, f"shared line\nown {i}", f"x{i}", i) for i in range(12)] + [(90, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, `c``d` long")
-    kept = corpus_pipeline.drop_lines(spark, docs, None)
+    kept = P.drop_lines(spark, docs, None)
     assert kept.columns == docs.columns and kept.count() == 13
     assert [tuple(r) for r in kept.where("doc_id = 3").collect()] == [(3, "own 3", "x3", 3)]
