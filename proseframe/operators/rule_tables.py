@@ -30,26 +30,24 @@ def tokens_of(text: Column) -> Column:
 def phrase_matches(texts: DataFrame, phrases: DataFrame, text: str = "text", own: str | None = None) -> DataFrame:
     """The columns of texts but `text`, with phrase_id, pos (from 0, in tokens) and found of each phrase of phrases(phrase_id, match, case_sensitive) in them.
 
-    An inverted index: a phrase is filed under its longest token, the texts' tokens are joined to
-    that, and the tokens around are compared with the rest of the phrase. So ten thousand phrases are
-    one join, and only tokens that some phrase is filed under go on from there. Phrases without a token,
-    and null texts, match nothing. `own` names a column of texts that has to equal phrase_id.
+    An inverted index: a phrase is filed under all its tokens in lower case, and the runs of tokens of the
+    texts that are as long as some phrase are joined to that. So ten thousand phrases are one join, and a
+    pair of it is a match, however many phrases have a token in common. Phrases without a token, and null
+    texts, match nothing. `own` names a column of texts that has to equal phrase_id.
     """
-    ordered = lambda ts: F.array_sort(F.transform(ts, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), F.lower(t).alias("t"))))
     filed = phrases.select("phrase_id", F.coalesce("case_sensitive", F.lit(False)).alias("exact"), tokens_of(F.col("match")).alias("want")).where(F.size("want") > 0)
-    filed = filed.withColumn("first", F.get(ordered(F.col("want")), F.lit(0))).select("phrase_id", "exact", "want", F.col("first.i").alias("offset"), F.col("first.t").alias("token"))
-    longest = filed.agg(F.max(F.size("want"))).first()[0] or 1
+    sizes = sorted(r["n"] for r in filed.select(F.size("want").alias("n")).distinct().collect())
+    filed = filed.select("phrase_id", "exact", F.array_join("want", " ").alias("want")).withColumn("_key", F.lower("want"))  # no token holds a blank
     keep = [c for c in texts.columns if c != text]
-    edge = F.array_repeat(F.lit(""), longest)
-    rows = texts.select(*keep, tokens_of(F.col(text)).alias("_tokens")).where(F.size("_tokens") > 0)
-    padded = F.concat(edge, F.col("_tokens"), edge)
-    rows = rows.select(*keep, padded.alias("_padded"), F.posexplode("_tokens").alias("_at", "_token"))
-    rows = rows.select(*keep, "_at", F.lower("_token").alias("token"), F.slice("_padded", F.col("_at") + 1, F.lit(2 * longest + 1)).alias("_around"))
-    joined = rows.join(filed, "token") if own is None else rows.join(filed, (rows["token"] == filed["token"]) & (rows[own] == filed["phrase_id"])).drop(filed["token"])
-    said = F.slice("_around", F.lit(longest + 1) - F.col("offset"), F.size("want"))
-    folded = lambda ts: F.transform(ts, F.lower)
-    fits = F.when(F.col("exact"), said == F.col("want")).otherwise(folded(said) == folded(F.col("want")))
-    return joined.where(fits).select(*keep, "phrase_id", (F.col("_at") - F.col("offset")).alias("pos"), F.array_join(said, " ").alias("found"))
+    rows = texts.select(*keep, tokens_of(F.col(text)).alias("_tokens"))
+    rows = rows.select(*keep, "_tokens", F.explode(F.array(*map(F.lit, sizes or [1]))).alias("_n")).where(F.size("_tokens") >= F.col("_n"))
+    # tokens are got one by one: a slice would copy the whole array for every run
+    run = lambda i: F.coalesce(*(F.when(F.col("_n") == n, F.concat_ws(" ", *(F.get("_tokens", i + k) for k in range(n)))) for n in sizes or [1]))
+    rows = rows.select(*keep, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_tokens") - F.col("_n")), run)).alias("pos", "found"))
+    rows = rows.withColumn("_key", F.lower("found"))
+    on = rows["_key"] == filed["_key"]
+    fits = ~F.col("exact") | (F.col("found") == F.col("want"))
+    return rows.join(filed, on if own is None else on & (rows[own] == filed["phrase_id"])).where(fits).select(*keep, "phrase_id", "pos", "found")
 
 
 def _replaced(text: Column, kind: Column, match: Column, instead: Column) -> Column:

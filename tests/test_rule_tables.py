@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from proseframe.operators import rule_tables as T
 from proseframe.plans import check as plan
@@ -73,3 +75,13 @@ def test_ten_thousand_phrases_are_one_join(spark):
     hits = T.phrase_matches(docs, phrases)
     assert sorted(r.phrase_id for r in hits.collect()) == [77, 9999]
     assert len(re.findall(r"\+- (?:BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin)", hits._jdf.queryExecution().sparkPlan().toString())) == 1
+
+
+def test_phrases_with_a_token_in_common_join_no_pairs_that_do_not_match(spark):
+    """2,000 phrases share their longest token with 200,000 places of the texts: 400 million pairs by that token alone."""
+    phrases = spark.range(2000).select(F.concat(F.lit("p"), F.col("id")).alias("phrase_id"), F.concat(F.lit("x"), F.col("id"), F.lit(" Everywhere")).alias("match"), F.lit(False).alias("case_sensitive"))
+    texts = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("everywhere a "), 5000), F.lit("X7 everywhere")).alias("text"))
+    began = time.monotonic()
+    found = T.phrase_matches(texts, phrases).collect()
+    assert time.monotonic() - began < 40
+    assert {(r["phrase_id"], r["pos"], r["found"]) for r in found} == {("p7", 10_000, "X7 everywhere")} and len(found) == 40
