@@ -38,9 +38,13 @@ class Rewrite:
 
     @property
     def plain(self) -> str:
-        """The pattern as part of an alternation: its own flag, and no group that counts."""
+        """The pattern as part of an alternation: its own flag, and no group that counts.
+
+        A look-behind of many words costs at every place of a text, so it comes after a look at the pattern itself.
+        """
         inner = re.sub(r"(?<!\\)\((?!\?)", "(?:", self.pattern)
-        return f"(?i:{self.behind}{inner[4:]})" if inner.startswith("(?i)") else f"(?:{self.behind}{inner})"
+        flag, inner = ("?i:", inner[4:]) if inner.startswith("(?i)") else ("?:", inner)
+        return f"({flag}(?={inner}){self.behind}{inner})" if self.behind else f"({flag}{inner})"
 
     @property
     def alone(self) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +65,12 @@ def test_rounds_end_in_a_plan_of_one_round(spark):
     assert {r.doc_id: r.text for r in plan.repair(docs, [feeds], rounds=3).collect()} == {1: "axxx", 2: None}
     size = lambda n: len(plan.repair(docs, rounds=n)._jdf.queryExecution().optimizedPlan().toString())
     assert size(40) < 1.01 * size(1)
+
+
+def test_a_look_behind_costs_only_where_its_pattern_stands(spark):
+    """The words in front of a counted noun are looked for where a number stands, not at every place of a long text."""
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("plain lines of prose without a figure go on and on here.\n"), 20_000), F.lit("It has exactly twelve rules.")).alias("text"))
+    began = time.monotonic()
+    row = plan.repair(docs, ["counts/inventory-count"]).select(F.length("before").alias("n"), F.length("text").alias("now")).first()
+    assert time.monotonic() - began < 15
+    assert row["n"] > row["now"]
