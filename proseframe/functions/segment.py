@@ -25,6 +25,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def exploded(rows: DataFrame, keep: list[str | Column], values: Column, name: str) -> DataFrame:
+    """keep, name: a row for each value of an array.
+
+    The outer form, as Spark puts a filter on the array before an inner one and computes it twice for that.
+    No array here holds nulls.
+    """
+    return rows.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
+def pos_exploded(rows: DataFrame, keep: list[str | Column], values: Column, at: str, name: str) -> DataFrame:
+    """keep, at (from zero), name: a row for each value of an array, computed once as in `exploded`."""
+    return rows.select(*keep, F.posexplode_outer(values).alias(at, name)).where(F.col(at).isNotNull())
+
+
 def lines_of(text: Column) -> Column:
     """All lines of a text in order; a trailing line feed yields a last empty line."""
     return F.split(text, "\n", -1)
@@ -73,13 +87,13 @@ def identifier_words_of(text: Column) -> Column:
 
 def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, sent_no (from one), sentence, n_words."""
-    rows = docs.select("doc_id", F.posexplode(sentences_of(F.col(text))).alias("at", "sentence"))
+    rows = pos_exploded(docs, ["doc_id"], sentences_of(F.col(text)), "at", "sentence")
     return rows.select("doc_id", (F.col("at") + 1).alias("sent_no"), "sentence", word_count(F.col("sentence")).alias("n_words"))
 
 
 def words(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, pos (from zero), word of whole texts."""
-    return docs.select("doc_id", F.posexplode(words_of(F.col(text))).alias("pos", "word"))
+    return pos_exploded(docs, ["doc_id"], words_of(F.col(text)), "pos", "word")
 
 
 def fenced_mask(lines: Column, same_marker: bool = False) -> Column:
@@ -169,7 +183,7 @@ def blocks_of(text: Column) -> Column:
 
 def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and the columns of blocks_of, one row for each block."""
-    return docs.select("doc_id", F.explode(blocks_of(F.col(text))).alias("b")).select("doc_id", "b.*")
+    return exploded(docs, ["doc_id"], blocks_of(F.col(text)), "b").select("doc_id", "b.*")
 
 
 # What counts as no words of a prose text, and the placeholder that stands for it.

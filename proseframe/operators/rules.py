@@ -73,12 +73,12 @@ class Segments:
 
     @functools.cached_property
     def sentences(self) -> DataFrame:
-        rows = self.prose.select("doc_id", "block_no", "start_line", "end_line", "marker", F.posexplode(S.sentences_of(F.col("masked"))).alias("at", "sentence"))
+        rows = S.pos_exploded(self.prose, ["doc_id", "block_no", "start_line", "end_line", "marker"], S.sentences_of(F.col("masked")), "at", "sentence")
         return rows.withColumn("n_words", S.word_count(F.col("sentence")))
 
     @functools.cached_property
     def tokens(self) -> DataFrame:
-        rows = self.sentences.select("doc_id", "block_no", "start_line", "end_line", F.col("at").alias("sent_no"), F.posexplode(S.words_of(F.col("sentence"))).alias("pos", "word"))
+        rows = S.pos_exploded(self.sentences, ["doc_id", "block_no", "start_line", "end_line", F.col("at").alias("sent_no")], S.words_of(F.col("sentence")), "pos", "word")
         return rows.withColumn("lower", F.lower("word"))
 
     def limit(self, name: str, default: int) -> int:
@@ -198,7 +198,7 @@ def row_findings(docs: DataFrame, rules: list[Rule], limits: dict) -> DataFrame:
         parts = F.transform(prose, lambda b: part(b, none))
         if "document" in levels:
             parts = F.concat(F.array(part(F.get("blocks", F.lit(-1)), F.col("of_text"))), parts)
-        rows = rows.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.of_text", "p.b").withColumn("masked", S.mask_prose(F.col("b.text")))
+        rows = S.exploded(rows, ["doc_id"], parts, "p").select("doc_id", "p.of_text", "p.b").withColumn("masked", S.mask_prose(F.col("b.text")))
         counted = lambda s, w: F.struct(s.alias("sentence"), F.when(F.contains(s, F.lit("(")), S.word_count(s)).otherwise(F.size(w)).alias("n_words"), w.alias("words"))
         sentences = F.transform(S.sentences_of(F.col("masked")), lambda s: S.let(S.words_of(s), lambda w: counted(s, w)))
         rows = rows.withColumn("sentences", sentences)
@@ -207,7 +207,7 @@ def row_findings(docs: DataFrame, rules: list[Rule], limits: dict) -> DataFrame:
         of_sentence = lambda s: F.concat(none, *hits("sentence", dataclasses.replace(block, sentence=s["sentence"], n_words=s["n_words"], words=s["words"])))
         of_sentences = F.coalesce(F.flatten(F.transform("sentences", of_sentence)), none) if "sentence" in levels else none
         rows = rows.select("doc_id", F.concat("of_text", of_blocks, of_sentences).alias("of_text"))
-    found = rows.select("doc_id", F.explode("of_text").alias("f")).select("doc_id", "f.at", "f.hit.*")
+    found = S.exploded(rows, ["doc_id"], F.col("of_text"), "f").select("doc_id", "f.at", "f.hit.*")
     of_rule = lambda values: F.get(F.array(*map(F.lit, values)), F.col("at"))
     columns = {"rule_id": [r.id for r in rules], "category": [r.category for r in rules], "severity": [r.severity or "error" for r in rules], "repairable": [r.repair is not None for r in rules]}
     return found.withColumns({k: of_rule(v) for k, v in columns.items()}).select(FINDING)

@@ -119,3 +119,12 @@ def test_prefilter_changes_no_answer(spark):
     for p in PATTERNS:
         rows = docs.select(matches(F.col("text"), p).alias("a"), F.col("text").rlike(p).alias("b")).collect()
         assert all(r.a == r.b for r in rows)
+
+
+def test_a_segmentation_is_computed_once(spark):
+    """No filter that Spark infers for an explode holds the arrays of blocks and hits a second time."""
+    docs = spark.createDataFrame([(1, "One line.\n\nAnother line."), (2, ""), (3, None)], "doc_id long, text string")
+    for rows in (plan.check(docs, ["ste/paragraph-length", "ste/sentence-length", "wrap"]), rules.Segments(docs).tokens):
+        optimized = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter (size(" not in optimized and "Filter ((size(" not in optimized
+    assert sorted((r.doc_id, r.block_no) for r in rules.Segments(docs).sentences.collect()) == [(1, 1), (1, 3)]
