@@ -473,7 +473,7 @@ SELECT doc_id, part, max(c) AS n_chars FROM d GROUP BY doc_id, part""")
 def g15_divided_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts divided at sentence ends into parts of at most 1000 characters and 120 words, where sentences allow it."""
     parts = repair.divided(F.col("text"), 1000, 120)
-    rows = docs_of(spark, sf_dir).select("doc_id", F.posexplode(parts).alias("at", "part"))
+    rows = S.pos_exploded(docs_of(spark, sf_dir), ["doc_id"], parts, "at", "part")
     return rows.select("doc_id", (F.col("at") + 1).alias("part"), F.length("part").alias("n_chars"))
 
 
