@@ -154,7 +154,9 @@ def blocks_of(text: Column) -> Column:
     prose block; a list marker starts a new one. A prose block of trailer lines alone is verbatim.
     """
     def prose_of(ls: Column) -> Column:
-        is_prose = lambda x, i, front: ~(x["line"].rlike(VERBATIM) | x["line"].rlike(DIRECTIVE) | x["fenced"] | (i < front))
+        # one `^` before all branches: without it each of them is tried at every place of a line
+        never = f"^(?:{VERBATIM}|{DIRECTIVE})"
+        is_prose = lambda x, i, front: ~(x["fenced"] | (i < front) | x["line"].rlike(never))
         zipped = F.zip_with(ls, fenced_mask(ls), lambda s, f: F.struct(s.alias("line"), f.alias("fenced")))
         return let(front_matter_end(ls), lambda front: F.transform(zipped, lambda x, i: is_prose(x, i, front)))
 
@@ -203,7 +205,7 @@ def mask_prose(text: Column) -> Column:
     for pattern, instead in PLACEHOLDERS:
         masked = F.regexp_replace(masked, pattern, instead)
     # each pattern holds one of these characters, and most texts hold none
-    return F.when(F.length(F.translate(text, "`]&\"“", "")) < F.length(text), masked).otherwise(text)
+    return F.when(text.rlike("[`\\]&\"“]"), masked).otherwise(text)
 
 
 def sections(docs: DataFrame, level: int = 2, text: str = "text") -> DataFrame:

@@ -163,9 +163,14 @@ def select_rules(names: list[str] | None = None) -> list[Rule]:
 
 
 def quoted(text: Column, most: int = L.QUOTE_CHARS) -> Column:
-    """A quotation of a text on one line, cut after `most` characters."""
-    flat = F.btrim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("..."))).otherwise(flat)
+    """A quotation of a text on one line, cut after `most` characters.
+
+    Of a long text only the first characters are read, unless so many of them are white space that those do not fill it.
+    """
+    flat = lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "))
+    cut = lambda x: F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("..."))).otherwise(x)
+    read = 4 * most
+    return S.let(flat(F.substring(text, 1, read)), lambda x: F.when((F.length(x) > most) | (F.length(text) <= read), cut(x)).otherwise(S.let(flat(text), cut)))
 
 
 def one_of(words: list[str]) -> str:
@@ -199,12 +204,13 @@ def row_findings(docs: DataFrame, rules: list[Rule], limits: dict) -> DataFrame:
         if "document" in levels:
             parts = F.concat(F.array(part(F.get("blocks", F.lit(-1)), F.col("of_text"))), parts)
         rows = S.exploded(rows, ["doc_id"], parts, "p").select("doc_id", "p.of_text", "p.b").withColumn("masked", S.mask_prose(F.col("b.text")))
-        counted = lambda s, w: F.struct(s.alias("sentence"), F.when(F.contains(s, F.lit("(")), S.word_count(s)).otherwise(F.size(w)).alias("n_words"), w.alias("words"))
-        sentences = F.transform(S.sentences_of(F.col("masked")), lambda s: S.let(S.words_of(s), lambda w: counted(s, w)))
-        rows = rows.withColumn("sentences", sentences)
+        rows = rows.withColumn("sentences", S.sentences_of(F.col("masked")))
         block = At(F.col("b.text"), limits, F.col("b.start_line"), F.col("b.end_line"), F.col("b.marker"), F.col("masked"), F.col("sentences"))
         of_blocks = F.concat(none, *hits("block", block))
-        of_sentence = lambda s: F.concat(none, *hits("sentence", dataclasses.replace(block, sentence=s["sentence"], n_words=s["n_words"], words=s["words"])))
+        counted = lambda s, w: F.struct(w.alias("words"), F.when(F.contains(s, F.lit("(")), S.word_count(s)).otherwise(F.size(w)).alias("n_words"))
+        # words live only as long as the rules read their sentence
+        found_in = lambda s, c: F.concat(none, *hits("sentence", dataclasses.replace(block, sentence=s, n_words=c["n_words"], words=c["words"])))
+        of_sentence = lambda s: S.let(S.let(S.words_of(s), lambda w: counted(s, w)), lambda c: found_in(s, c))
         of_sentences = F.coalesce(F.flatten(F.transform("sentences", of_sentence)), none) if "sentence" in levels else none
         rows = rows.select("doc_id", F.concat("of_text", of_blocks, of_sentences).alias("of_text"))
     found = S.exploded(rows, ["doc_id"], F.col("of_text"), "f").select("doc_id", "f.at", "f.hit.*")

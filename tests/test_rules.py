@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from proseframe.functions import segment as S
 from proseframe.operators import rules
 from proseframe.plans import check as plan
 from proseframe.plans.prefilter import matches, needed_literals
@@ -128,3 +129,17 @@ def test_a_segmentation_is_computed_once(spark):
         optimized = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "Filter (size(" not in optimized and "Filter ((size(" not in optimized
     assert sorted((r.doc_id, r.block_no) for r in rules.Segments(docs).sentences.collect()) == [(1, 1), (1, 3)]
+
+
+def test_a_run_reads_texts_no_more_than_its_rules_need(spark):
+    """Patterns for lines are tried at their start only, words are not kept with the sentences, and masking does not translate whole texts."""
+    optimized = plan.check(spark.createDataFrame([(1, "x")], "doc_id long, text string"), ["ste/paragraph-length", "ste/sentence-length", "wrap"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in optimized and f"^(?:{S.VERBATIM}|{S.DIRECTIVE})" in optimized
+    assert not any("regexp_extract_all" in x.split(" AS sentences")[0].split("masked")[-1] for x in optimized.splitlines() if " AS sentences" in x)
+
+
+def test_quotations_are_those_of_whole_texts(spark):
+    texts = ["", " a  b ", "x" * 60, "x" * 61, "ab " * 100, " " * 500 + "one two", "a" + " \t\n" * 100 + "b" * 70, "\U0001f600 " * 90, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", rules.quoted(F.col("t")).alias("q")).collect()
+    flat = {r.t: re.sub(r"\s+", " ", r.t).strip(" ") for r in rows if r.t is not None}
+    assert all(r.q == (None if r.t is None else flat[r.t][:60] + "..." * (len(flat[r.t]) > 60)) for r in rows)
