@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,6 +42,29 @@ def line_multisets(docs: DataFrame, *columns: str) -> DataFrame:
     return rows.select("doc_id", *columns, F.array_sort(S.let(F.col("h"), numbered)).alias("keys"))
 
 
+# Fixed value: classes of at most so many lines are matched by the sets of lines that they have to share.
+SHORT = 4
+
+
+def _short_pairs(classes: DataFrame, share: float, block: list[str]) -> DataFrame:
+    """doc_a, doc_b: for each class of at most SHORT lines the first class that is as short and holds the same set of as many lines as the two sizes ask for.
+
+    Such classes often consist of common lines alone, so that pairs of them by one line would grow
+    with the square of the table. Each class lists its sets for each size of the other, 24 at most.
+    """
+    sets = []
+    for n, m in itertools.product(range(1, SHORT + 1), repeat=2):
+        needed = math.ceil(share * (n + m) / 2 - 1e-9)
+        if needed <= min(n, m):
+            of_size = [F.struct(F.lit(m).alias("other"), F.array(*(F.get("keys", F.lit(i)) for i in places)).alias("lines")) for places in itertools.combinations(range(n), needed)]
+            sets.append(F.when(F.col("n") == n, F.array(*of_size)))
+    empty = F.array().cast("array<struct<other: int, lines: array<bigint>>>")
+    held = classes.where(F.col("n") <= SHORT).select("doc_id", "n", *block, F.explode(F.concat(*(F.coalesce(x, empty) for x in sets))).alias("s"))
+    held = held.select("doc_id", *block, F.col("n").alias("own"), "s.other", "s.lines")
+    firsts = held.groupBy(*block, "lines", F.col("own").alias("other"), F.col("other").alias("own")).agg(F.min("doc_id").alias("doc_a"))
+    return held.join(firsts, [*block, "lines", "own", "other"]).where("doc_a < doc_id").select("doc_a", F.col("doc_id").alias("doc_b"))
+
+
 def near_duplicates(docs: DataFrame, share: float = NEAR_DUPLICATE_SHARE, block: list[str] | None = None) -> DataFrame:
     """doc_a, doc_b, share: each document with the first earlier one whose Dice share of lines reaches the threshold.
 
@@ -45,7 +72,8 @@ def near_duplicates(docs: DataFrame, share: float = NEAR_DUPLICATE_SHARE, block:
     all its copies, so they have the same first earlier document as it has, or else it itself. A pair
     at the threshold t has sizes within t / (2 - t) of each other and shares a key among the first
     n - ceil(n t / (2 - t)) + 1 of each document, when keys are sorted by how many classes hold them.
-    Only these prefixes are joined; the pairs found are then counted in full. `block` names columns
+    Only these prefixes are joined, and the sizes of both bound the places of the key further; where
+    both are short, see _short_pairs. The pairs found are then counted in full. `block` names columns
     that both documents must share, as a file name; a null there matches nothing.
     """
     block = block or []
@@ -61,11 +89,13 @@ def near_duplicates(docs: DataFrame, share: float = NEAR_DUPLICATE_SHARE, block:
     # keys of one class stand before all shared ones, so they use up places of the prefix
     of_class = W.partitionBy("doc_id")
     counted = shared.withColumn("rank", F.row_number().over(of_class.orderBy("df", "key"))).withColumn("n_shared", F.count(F.lit(1)).over(of_class))
-    firsts = counted.where(F.col("rank") + F.col("n") - F.col("n_shared") <= prefix)
-    a = firsts.select(F.col("doc_id").alias("doc_a"), F.col("n").alias("n_a"), "key", *block)
-    b = firsts.select(F.col("doc_id").alias("doc_b"), F.col("n").alias("n_b"), "key", *block)
-    sized = (F.least("n_a", "n_b") >= F.ceil(F.greatest("n_a", "n_b") * ratio - 1e-9)) & (F.col("doc_a") < F.col("doc_b"))
-    pairs = a.join(b, ["key", *block]).where(sized).select("doc_a", "doc_b").distinct()
+    firsts = counted.withColumn("place", F.col("rank") + F.col("n") - F.col("n_shared")).where(F.col("place") <= prefix)
+    side = lambda rows, x: rows.select(F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"), "key", *block)
+    # the first key that both hold has all others that they share behind it
+    needed = F.ceil((F.col("n_x") + F.col("n_y")) * (share / 2) - 1e-9)
+    fits = functools.reduce(lambda p, x: p & (F.col(f"place_{x}") <= F.col(f"n_{x}") - needed + 1), "xy", (F.col("doc_x") < F.col("doc_y")) | (F.col("n_x") <= SHORT))
+    long_pairs = side(firsts, "x").join(side(firsts.where(F.col("n") > SHORT), "y"), ["key", *block]).where(fits)
+    pairs = long_pairs.select(F.least("doc_x", "doc_y").alias("doc_a"), F.greatest("doc_x", "doc_y").alias("doc_b")).union(_short_pairs(classes, share, block)).distinct()
     sets = lambda name: classes.select(F.col("doc_id").alias(f"doc_{name}"), F.col("keys").alias(f"keys_{name}"))
     common = F.size(F.array_intersect("keys_a", "keys_b"))
     full = pairs.join(sets("a"), "doc_a").join(sets("b"), "doc_b").withColumn("share", 2.0 * common / (F.size("keys_a") + F.size("keys_b")))

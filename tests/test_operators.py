@@ -91,6 +91,16 @@ def dice(a, b):
     return 2 * common / (len(x) + len(y)) if x and y else 0
 
 
+def test_short_documents_of_common_lines_give_no_pair_for_each_two(spark, monkeypatch):
+    """300 documents share two of three lines, so 44,850 pairs are alike; each document names only few of them."""
+    found, short = [], near_lines._short_pairs
+    monkeypatch.setattr(near_lines, "_short_pairs", lambda *args: found.append(short(*args)) or found[-1])
+    docs = spark.createDataFrame([(i, f"one\ntwo\nown {i}") for i in range(300)] + [(900, "two"), (901, "one\ntwo\nown 7\nown 8")], "doc_id long, text string")
+    got = {r.doc_b: r.doc_a for r in near_lines.near_duplicates(docs, 0.6).collect()}
+    assert got == {i: 0 for i in range(1, 300)} | {901: 7}
+    assert found[0].count() <= 24 * 302
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     rng = random.Random(2)
     rows = []
