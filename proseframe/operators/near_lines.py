@@ -108,7 +108,8 @@ def near_duplicates(docs: DataFrame, share: float = NEAR_DUPLICATE_SHARE, block:
 
 def copied_portions(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_a, doc_b, start, end: runs of lines of doc_b whose copies doc_a holds too. Blank lines end a run."""
-    rows = trimmed_lines(docs)
+    named = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id"))
+    rows = trimmed_lines(docs.join(named, "doc_id", "left_semi"))  # only lines of these documents are sorted
     per = W.partitionBy("doc_id", "line").orderBy("line_no")
     numbered = rows.withColumn("occ", F.row_number().over(per))
     have = numbered.groupBy("doc_id", "line").agg(F.max("occ").alias("have"))

@@ -101,6 +101,13 @@ def test_short_documents_of_common_lines_give_no_pair_for_each_two(spark, monkey
     assert found[0].count() <= 24 * 302
 
 
+def test_only_lines_of_paired_documents_are_sorted_for_portions(spark):
+    docs = spark.createDataFrame([(0, "a\nb"), (1, "a\nb\nc"), (2, "a")], "doc_id long, text string")
+    rows = near_lines.copied_portions(docs, spark.createDataFrame([(0, 1)], "doc_a long, doc_b long"))
+    assert [tuple(r) for r in rows.select("doc_a", "doc_b", "start", "end").collect()] == [(0, 1, 1, 2)]
+    assert "LeftSemi" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     rng = random.Random(2)
     rows = []
