@@ -113,6 +113,8 @@ EXEMPTIONS: dict[str, Callable[[Place], Column]] = {
 BOUNDS = _phrases([*HEDGES.split(), *APPROXIMATIONS, *RATES, *CEILINGS, *FLOORS, *FLOORS_ABOVE])
 _GAP = r"[a-z][a-z-]*\s+"
 _PROSE = rf"(?:{THOUSANDS}|[0-9]{{1,4}}|{_either([*UNITS.split(), *TEENS.split(), *TENS.split(), 'dozen'])})"
+#: What stands in every text with a number in prose, given in lower case.
+ANY_NUMBER = rf"(?<!\w)(?:[0-9]|(?:{_either([*UNITS.split(), *TEENS.split(), *TENS.split(), 'dozen'])})(?!\w))"
 _QUANTITY = rf"{OPEN}({_PROSE}){SHUT}\s+(?:{_GAP}){{0,3}}?[a-z][a-z-]{{2,}}s\b"
 #: Where a count says what is there: behind a verb of having, behind a possessive, or in front of a pointer.
 FRAMES = (

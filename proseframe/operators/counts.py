@@ -21,7 +21,7 @@ def stated_count(b: At) -> Column:
     return F.transform(found, lambda h: b.here("a count that goes stale", h["text"], "Name the things, or leave the number out.", h["value"]))
 
 
-@rule("counts/inventory-count", "block", place=20, rewrites=(Rewrite(N.RESTATED, N.restated, behind=N.RESTATED_BEHIND),), cases=(
+@rule("counts/inventory-count", "block", place=20, rewrites=(Rewrite(N.RESTATED, N.restated, behind=N.RESTATED_BEHIND, near=r"(?<=\s)", holds=N.ANY_NUMBER),), cases=(
     Case("tally", "It ships three hooks.", want="It ships hooks."), Case("measure", "The read has about 20 seconds.", want="The read has several seconds."),
     Case("ceiling", "It has at most 5 rows.", want="It has a bounded number of rows."), Case("ceiling behind", "It takes 25 words or fewer.", want="It takes a bounded number of words."),
     Case("floor", "It needs at least 2 keys.", want="It needs a couple of keys."), Case("above", "It needs more than 5 keys.", want="It needs several keys."),

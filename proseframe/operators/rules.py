@@ -340,7 +340,7 @@ def written_out(was: Column) -> Column:
 CONTRACTIONS = "(?i){}(?:{}){}".format(OPEN, one_of([*L.IRREGULAR_CONTRACTIONS, *("[a-z]+" + e for e in L.CONTRACTION_ENDINGS)]), SHUT).replace("'", "['’]")
 
 
-@rule("ste/contraction", "sentence", rewrites=(Rewrite(CONTRACTIONS, written_out),), place=30, cases=(Case("nt", "It doesn't run.", want="It does not run."), Case("irregular", "Can't stop.", want="Cannot stop."), Case("possessive", "The job's log.", False)))
+@rule("ste/contraction", "sentence", rewrites=(Rewrite(CONTRACTIONS, written_out, holds="['’]"),), place=30, cases=(Case("nt", "It doesn't run.", want="It does not run."), Case("irregular", "Can't stop.", want="Cannot stop."), Case("possessive", "The job's log.", False)))
 def contraction(s: At) -> Column:
     forms = one_of(["[a-z]+" + e for e in L.CONTRACTION_ENDINGS] + list(L.IRREGULAR_CONTRACTIONS))
     fits = lambda w: F.contains(w, F.lit("'")) & F.lower(w).rlike(f"^(?:{forms})$")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Sequence
 from re import _constants as C
 from re import _parser
 
@@ -49,8 +51,9 @@ def matches(text: Column, pattern: str) -> Column:
     literals = needed_literals(pattern)
     if not literals:
         return text.rlike(pattern)
-    folded = F.lower(text)
-    held = F.lit(False)
-    for x in literals:
-        held = held | F.contains(folded, F.lit(x))
-    return held & text.rlike(pattern)
+    return holds_any(F.lower(text), literals) & text.rlike(pattern)
+
+
+def holds_any(folded: Column, literals: Sequence[str]) -> Column:
+    """Whether a text in lower case holds one of the strings."""
+    return functools.reduce(lambda a, b: a | b, [F.contains(folded, F.lit(x)) for x in literals])

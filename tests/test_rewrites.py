@@ -74,3 +74,25 @@ def test_a_look_behind_costs_only_where_its_pattern_stands(spark):
     row = plan.repair(docs, ["counts/inventory-count"]).select(F.length("before").alias("n"), F.length("text").alias("now")).first()
     assert time.monotonic() - began < 15
     assert row["n"] > row["now"]
+
+
+#: matches with nothing but blanks between them, more of them than there are rounds
+CHAINS = {
+    "They could make use of could make use of could make use of don't go.": "They can use can use can use do not go.",
+    "could could could could could could": "can can can can can can",
+    "Simply, really, could should it run. It holds.": "Can must it run. It holds.",
+}
+
+
+def test_a_chain_of_matches_needs_no_more_rounds_than_one_match(spark):
+    docs = spark.createDataFrame([*enumerate(CHAINS)], "doc_id long, text string")
+    got = {r.before: r.text for r in plan.repair(docs, rounds=1).collect()}
+    assert got == CHAINS
+
+
+def test_what_a_rewrite_needs_stands_where_it_matches(spark):
+    """No rewrite is left out of a text in which its pattern matches."""
+    cases = [(r, c.text) for r in rules.select_rules(None) if r.rewrites for c in r.cases if c.text]
+    for r, text in cases:
+        row = spark.range(1).select(*(F.lit(text).rlike(x.plain).alias(f"m{n}") for n, x in enumerate(r.rewrites)), *(x.may_stand(F.lower(F.lit(text))).alias(f"s{n}") for n, x in enumerate(r.rewrites))).first()
+        assert all(row[f"s{n}"] or not row[f"m{n}"] for n in range(len(r.rewrites)))
