@@ -64,66 +64,123 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from summed().to_batches()
 
 
+class Vocabulary:
+    """The frequent words of all languages, numbered; the number after them stands for any other word and for the end of a piece."""
+
+    def __init__(self, words: pa.StringArray):
+        self.words = words
+
+    def encoded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(lang, symbols) of each text: the numbers of its words as 32-bit integers, one that no word has before each piece."""
+        n = len(self.words)
+        for batch in batches:
+            for part, data, offsets in slices(batch, "text", BYTES):
+                found, row, first = tokens(data, offsets)
+                symbols = pc.fill_null(pc.index_in(found, value_set=self.words), n).to_numpy(zero_copy_only=False)
+                flat = np.full(len(symbols) + int(first.sum()), n, np.int32)
+                flat[np.arange(len(symbols)) + np.cumsum(first)] = symbols
+                ends = np.zeros(len(part) + 1, np.int64)
+                np.cumsum(np.bincount(row, minlength=len(part)) + np.bincount(row[first], minlength=len(part)), out=ends[1:])
+                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(4 * ends), pa.py_buffer(flat)])
+                yield pa.record_batch({"lang": part.column("lang").cast(pa.string()), "symbols": held.cast(pa.binary())})
+
+
+def _sequences(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(langs, symbols, number of symbols of each row) of parts of a batch of encoded texts, with about HELD symbols each."""
+    held = batch.column("symbols").cast(pa.large_binary())
+    ends = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1] // 4
+    data = np.frombuffer(held.buffers()[2], np.int32) if held.buffers()[2] is not None else np.zeros(0, np.int32)
+    at = 0
+    while at < len(held):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + HELD, "right")) - 1)
+        yield batch.column("lang").slice(at, to - at), data[ends[at] : ends[to]], np.diff(ends[at : to + 1])
+        at = to
+
+
 class Trie:
-    """A double array over sequences of symbols: the child of state s by symbol x is base[s] + x if check there is s.
+    """A double array over sequences of symbols: the child of state s by digit x is base[s] + x if check there is s.
 
     Symbols 0 to n_words - 1 are words, n_words stands for any other word or the end of a piece and
-    leads nowhere, those above are languages, the first symbol of each sequence. State 0 is dead, state
-    1 the root.
+    leads nowhere, those above are languages, the first symbol of each sequence. A symbol is two digits, its
+    upper and its lower bits, so the children of a state lie close together however many words there are.
+    State 0 is dead, state 1 the root.
     """
 
     def __init__(self, sequences: np.ndarray, n_words: int, n_langs: int):
         """sequences: distinct rows of symbols, all of one length."""
         self.n_words = n_words
-        room = n_words + n_langs + 2
-        self.base = np.zeros(2 * room, np.int32)
-        self.check = np.full(2 * room, -1, np.int32)
-        self.check[:2] = 0, np.iinfo(np.int32).max  # no state's children, and not free
-        self._low = 2
+        self.bits = ((n_words + n_langs).bit_length() + 1) // 2
+        self.base, self.check = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self._taken, self._high, self._random = 2, 2, np.random.default_rng(0)
+        self._grow()
+        self.check[:2] = -2, np.iinfo(np.int32).max  # no state's children, and not free
         order = np.lexsort(sequences.T[::-1])
-        rows = sequences[order]
+        rows = sequences[order].astype(np.int64)
         state = np.ones(len(rows), np.int64)
-        for depth in range(rows.shape[1]):
-            symbol = rows[:, depth]
-            # sorted rows hold the children of a state side by side
-            first = np.ones(len(rows), bool)
-            first[1:] = (state[1:] != state[:-1]) | (symbol[1:] != symbol[:-1])
-            at = np.flatnonzero(first)
-            parents, begin = np.unique(state[at], return_index=True)
-            groups = np.split(symbol[at], np.sort(begin)[1:])
-            owners = state[at][np.sort(begin)]
-            for k in sorted(range(len(groups)), key=lambda k: -len(groups[k])):
-                self._place(int(owners[k]), groups[k].astype(np.int64), room)
-            state = self.base[state] + symbol.astype(np.int64)
+        for symbols in rows.T:
+            for digit in (symbols >> self.bits, symbols & ((1 << self.bits) - 1)):
+                # sorted rows hold the children of a state side by side
+                first = np.ones(len(rows), bool)
+                first[1:] = (state[1:] != state[:-1]) | (digit[1:] != digit[:-1])
+                self._place(state[first], digit[first])
+                state = self.base[state] + digit
         self.final = np.empty(len(rows), np.int64)
         self.final[order] = state
 
-    def _place(self, parent: int, symbols: np.ndarray, room: int) -> None:
-        """Find the lowest free base for a state's children, and take their places."""
-        at = self._low
-        while True:
-            while at + 4096 + room >= len(self.check):
-                more = len(self.check)
-                self.base = np.concatenate((self.base, np.zeros(more, np.int32)))
-                self.check = np.concatenate((self.check, np.full(more, -1, np.int32)))
-            free = at + np.flatnonzero(self.check[at : at + 4096] < 0)
-            bases = free[free > symbols[0]] - symbols[0]
-            step = max(1, 65536 // len(symbols))
-            for k in range(0, len(bases), step):
-                fits = np.flatnonzero((self.check[bases[k : k + step, None] + symbols] < 0).all(axis=1))
-                if len(fits):
-                    base = int(bases[k + fits[0]])
-                    self.base[parent] = base
-                    self.check[base + symbols] = parent
-                    while self.check[self._low] >= 0:
-                        self._low += 1
-                    return
-            at += 4096
+    def _grow(self) -> None:
+        """Room for bases below _high."""
+        more = max(0, self._high + (2 << self.bits) - len(self.check))
+        self.base = np.concatenate((self.base, np.zeros(more, np.int32)))
+        self.check = np.concatenate((self.check, np.full(more, -1, np.int32)))
+
+    def _place(self, parents: np.ndarray, digits: np.ndarray) -> None:
+        """Find a base for each parent, with its children side by side, and take their places; the largest come first.
+
+        A parent with a good share of all digits gets a range of its own. The others try random bases, all of about
+        one size at once, in an array so large that each try has a fair chance.
+        """
+        begin = np.flatnonzero(np.append(True, parents[1:] != parents[:-1]))
+        size = np.diff(np.append(begin, len(parents)))
+        wide = np.flatnonzero(size << 4 > 1 << self.bits)
+        self._taken += len(parents)
+        # what has a base below _high may reach one range further
+        bases = self._high + ((np.arange(len(wide)) + 1) << self.bits)
+        self._high += len(wide) << self.bits
+        self._grow()
+        self._take(parents, digits, begin, size, wide, bases)
+        band = np.frexp(size)[1]
+        band[wide] = 0
+        for k in sorted(set(band.tolist()) - {0}, reverse=True):
+            self._high = max(self._high, self._taken << max(1, k - 2))
+            self._grow()
+            left, tries = np.flatnonzero(band == k), 0
+            while len(left):
+                bases, n = self._random.integers(2, self._high, len(left)), size[left]
+                starts = np.cumsum(n) - n
+                of = np.repeat(np.arange(len(left)), n)
+                slots = bases[of] + digits[begin[left][of] + np.arange(len(of)) - starts[of]]
+                claimed = np.full(len(self.check), -1, np.int32)
+                claimed[slots] = of
+                fits = np.logical_and.reduceat((self.check[slots] == -1) & (claimed[slots] == of), starts)
+                self._take(parents, digits, begin, size, left[fits], bases[fits])
+                left, tries = left[~fits], tries + 1
+                if tries % 32 == 0:
+                    self._high *= 2
+                    self._grow()
+
+    def _take(self, parents: np.ndarray, digits: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.ndarray, bases: np.ndarray) -> None:
+        n = size[which]
+        of = np.repeat(np.arange(len(which)), n)
+        at = begin[which][of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]
+        self.base[parents[begin[which]]] = bases
+        self.check[bases[of] + digits[at]] = parents[at]
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The next states, 0 where there is none."""
-        to = self.base[states] + symbols
-        return np.where(self.check[to] == states, to, 0)
+        for digit in (symbols >> self.bits, symbols & ((1 << self.bits) - 1)):
+            to = self.base[states] + digit
+            states = np.where(self.check[to] == states, to, 0)
+        return states
 
 
 class Shard:
@@ -134,39 +191,39 @@ class Shard:
     pair of theirs. So no candidate has to be listed before the texts show that it occurs.
     """
 
-    def __init__(self, left: list[tuple[str, str]], right: list[tuple[str, str]]):
-        self.left, self.right = left, right
-        phrases = sorted({*left, *right})
-        self.langs = pa.array(sorted({x[0] for x in phrases}), pa.string())
-        split = [x[1].split(" ") for x in phrases]
-        self.words = pa.array(sorted({w for x in split for w in x}), pa.string())
-        self.depth, n = len(split[0]), len(self.words)
-        symbols = pc.index_in(pa.array([w for x in split for w in x], pa.string()), value_set=self.words).to_numpy().reshape(len(split), -1)
-        langs = pc.index_in(pa.array([x[0] for x in phrases], pa.string()), value_set=self.langs).to_numpy() + n + 1
-        self.trie = Trie(np.column_stack((langs, symbols)), n, len(self.langs))
-        final = dict(zip(phrases, self.trie.final, strict=True))
-        self.of_left, self.of_right = (np.full(len(self.trie.base), -1, np.int64) for _ in range(2))
-        for places, side in ((self.of_left, left), (self.of_right, right)):
-            places[[final[x] for x in side]] = np.arange(len(side))
-        self.starts = np.append(self.trie.step(np.ones(len(self.langs), np.int64), n + 1 + np.arange(len(self.langs))), 0)
-
-    def candidates(self, data: np.ndarray, offsets: np.ndarray, langs: pa.Array) -> np.ndarray:
-        """The candidates that stand at any position, as left * len(right) + right."""
-        found, row, first = tokens(data, offsets)
-        symbols = pc.fill_null(pc.index_in(found, value_set=self.words), self.trie.n_words).to_numpy(zero_copy_only=False)
-        at = np.arange(len(symbols)) + np.cumsum(first)  # a place that leads nowhere stands before each piece
-        flat = np.full(len(symbols) + int(first.sum()) + self.depth + 2, self.trie.n_words, np.int64)
-        flat[at] = symbols
-        lang = pc.fill_null(pc.index_in(langs.cast(pa.string()), value_set=self.langs), len(self.langs)).to_numpy(zero_copy_only=False)
-        state = self.starts[lang[row]]
+    def __init__(self, left: pa.Table, right: pa.Table, words: pa.StringArray):
+        """left, right: (lang, phrase); words: the vocabulary by which the texts are encoded."""
+        both = pa.concat_tables([left, right])
+        cut = pc.split_pattern(both["phrase"].combine_chunks(), " ")
+        symbols = pc.index_in(cut.flatten(), value_set=words).to_numpy().reshape(both.num_rows, -1)
+        self.langs = pc.unique(both["lang"])
+        langs = pc.index_in(both["lang"].combine_chunks(), value_set=self.langs).to_numpy() + len(words) + 1
+        rows = np.column_stack((langs, symbols))
+        order = np.lexsort(rows.T[::-1])
+        new = np.append(True, (rows[order[1:]] != rows[order[:-1]]).any(axis=1))
+        self.trie, self.depth, self.n_right = Trie(rows[order[new]], len(words), len(self.langs)), symbols.shape[1], right.num_rows
+        final = np.empty(len(rows), np.int64)
+        final[order] = self.trie.final[np.cumsum(new) - 1]
+        self.of_left, self.of_right = (np.full(len(self.trie.base), -1, np.int32) for _ in range(2))
+        self.of_left[final[: left.num_rows]] = np.arange(left.num_rows)
+        self.of_right[final[left.num_rows :]] = np.arange(right.num_rows)
+        self.starts = np.append(self.trie.step(np.ones(len(self.langs), np.int64), len(words) + 1 + np.arange(len(self.langs))), 0).astype(np.int32)
+
+    def candidates(self, langs: pa.Array, symbols: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The candidates that stand at any position, as left * n_right + right."""
+        flat = np.append(symbols, np.full(self.depth + 1, self.trie.n_words, np.int32))
+        lang = pc.fill_null(pc.index_in(langs, value_set=self.langs), len(self.langs)).to_numpy(zero_copy_only=False)
+        state = np.repeat(self.starts[lang], n)
+        at = np.flatnonzero((symbols != self.trie.n_words) & (state > 0)).astype(np.int32)
+        state = state[at]
         for level in range(self.depth):
             state = self.trie.step(state, flat[at + level])
             at, state = at[state > 0], state[state > 0]
-        accepted = np.zeros(len(flat), np.int64)
-        accepted[at] = state
-        left, right = self.of_left[state], self.of_right[accepted[at + 1]]
+        right = np.full(len(flat), -1, np.int32)
+        right[at] = self.of_right[state]
+        left, right = self.of_left[state], right[at + 1]
         both = (left >= 0) & (right >= 0)
-        return left[both] * len(self.right) + right[both]
+        return left[both].astype(np.int64) * self.n_right + right[both]
 
 
 def _tally(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,15 +231,18 @@ def _tally(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return found, np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
 
 
-def _counted(texts: DataFrame, shard: Shard, min_count: int) -> DataFrame:
-    """(lang, phrase, a) of the shard's candidates that stand at least min_count times in the texts."""
-    sent = texts.sparkSession.sparkContext.broadcast(shard)
+def _counted(texts: DataFrame, left: pa.Table, right: pa.Table, words: pa.StringArray, min_count: int) -> DataFrame:
+    """(lang, phrase, a) of the candidates of left and right that stand at least min_count times in the encoded texts."""
+    send = texts.sparkSession.sparkContext.broadcast
+    sent, n_right = send(Shard(left, right, words)), right.num_rows
+    last = pc.replace_substring_regex(right["phrase"].combine_chunks(), "^.* ", "")
+    names = send((left["lang"].combine_chunks(), left["phrase"].combine_chunks(), last))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, codes, counts = sent.value, [], []
         for batch in batches:
-            for part, data, offsets in slices(batch, "text", BYTES):
-                found, n = np.unique(shard.candidates(data, offsets, part.column("lang")), return_counts=True)
+            for part in _sequences(batch):
+                found, n = np.unique(shard.candidates(*part), return_counts=True)
                 codes, counts = [*codes, found], [*counts, n]
                 if sum(map(len, codes)) > 2 * HELD:
                     codes, counts = ([x] for x in _tally(codes, counts))
@@ -193,18 +253,17 @@ def _counted(texts: DataFrame, shard: Shard, min_count: int) -> DataFrame:
             yield pa.record_batch({"code": codes, "n": counts})
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = sent.value
+        lang, phrase, last = names.value
         for batch in batches:
-            pairs = [divmod(code, len(shard.right)) for code in batch.column("code").to_pylist()]
-            phrases = [f"{shard.left[a][1]} {shard.right[b][1].rpartition(' ')[2]}" for a, b in pairs]
-            yield pa.record_batch({"lang": pa.array([shard.left[a][0] for a, _ in pairs], pa.string()), "phrase": pa.array(phrases, pa.string()), "a": batch.column("a")})
+            a, b = np.divmod(batch.column("code").to_numpy(), n_right)
+            yield pa.record_batch({"lang": lang.take(pa.array(a)), "phrase": pc.binary_join_element_wise(phrase.take(pa.array(a)), last.take(pa.array(b)), " "), "a": batch.column("a")})
 
     sums = texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
     return sums.mapInArrow(named, "lang string, phrase string, a long")
 
 
-def _longer(texts: DataFrame, frequent: DataFrame, min_count: int, shard_phrases: int) -> DataFrame:
-    """Frequent phrases one word longer than the given ones; a pass over the texts for each shard of about shard_phrases of these."""
+def _longer(texts: DataFrame, frequent: DataFrame, words: pa.StringArray, min_count: int, shard_phrases: int) -> DataFrame:
+    """Frequent phrases one word longer than the given ones; a pass over the encoded texts for each shard of about shard_phrases of these."""
     n = frequent.count()
     if not n:
         return frequent
@@ -215,9 +274,8 @@ def _longer(texts: DataFrame, frequent: DataFrame, min_count: int, shard_phrases
     sides = {k: frequent.select("lang", "phrase", F.pmod(F.xxhash64("lang", x), F.lit(parts)).alias("part"), F.xxhash64("phrase").alias("h")) for k, x in shared.items()}
     blocks = {k: {r["part"]: -(-r["count"] // shard_phrases) for r in x.groupBy("part").count().collect()} for k, x in sides.items()}
 
-    def chosen(side: str, part: int, block: int) -> list[tuple[str, str]]:
-        rows = sides[side].where((F.col("part") == part) & (F.pmod("h", F.lit(blocks[side][part])) == block)).select("lang", "phrase").toArrow()
-        return list(zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist(), strict=True))
+    def chosen(side: str, part: int, block: int) -> pa.Table:
+        return sides[side].where((F.col("part") == part) & (F.pmod("h", F.lit(blocks[side][part])) == block)).select("lang", "phrase").toArrow()
 
     found = []
     for part in sorted(blocks["left"].keys() & blocks["right"].keys()):
@@ -225,8 +283,8 @@ def _longer(texts: DataFrame, frequent: DataFrame, min_count: int, shard_phrases
             left = chosen("left", part, i)
             for j in range(blocks["right"][part]):
                 right = chosen("right", part, j)
-                if left and right:
-                    found.append(written(_counted(texts, Shard(left, right), min_count), "phrases"))
+                if left.num_rows and right.num_rows:
+                    found.append(written(_counted(texts, left, right, words, min_count), "phrases"))
     if not found:
         return frequent.where(F.lit(False))
     whole = found[0]
@@ -245,12 +303,14 @@ def mine_phrases(documents: DataFrame, min_count: int = 100, most_words: int = 5
     counts, of equal ones the first. A candidate inside a longer one that is as frequent is dropped.
     Repeated rows count each time; further columns are ignored; an empty table gives nothing.
 
-    Words are counted once; then each level extends the frequent phrases of the last by a word.
-    They are broadcast as double-array tries of about shard_phrases phrases a side, whatever
-    their number; all positions of a slice of text walk a trie at once, one level a step, and the
-    pairs of accepting states at neighbouring places are counted for each task and summed. If there
-    are more phrases than a trie takes, there are more tries and a pass over the texts for each.
-    Strings are compared, not hashes.
+    Words are counted once, and the frequent ones numbered, so that the texts are cut into words and
+    looked up only once more: a table of numbers stands for them from then on. The list of frequent
+    words is broadcast whole; a word in it stands min_count times in the texts. Then each level extends
+    the frequent phrases of the last by a word. They are broadcast as double-array tries of about
+    shard_phrases phrases a side, whatever their number; all positions of a slice of text walk a trie
+    at once, one level a step, and the pairs of accepting states at neighbouring places are counted for
+    each task and summed. If there are more phrases than a trie takes, there are more tries and a pass
+    over the numbers for each. Strings are compared, not hashes.
 
     Returns lang, rank (from 1), phrase, a, l, r, n, score.
     """
@@ -260,8 +320,13 @@ def mine_phrases(documents: DataFrame, min_count: int = 100, most_words: int = 5
     totals = written(counts.groupBy("lang").agg(F.sum("a").alias("n")), "word-totals")
     levels = [written(counts.where(F.col("a") >= min_count).select("lang", F.col("word").alias("phrase"), "a"), "phrases")]
     discard(counts)
-    for _ in range(2, most_words + 1):
-        levels.append(_longer(texts, levels[-1], min_count, shard_phrases))
+    words = levels[0].select("phrase").distinct().toArrow()["phrase"].combine_chunks().cast(pa.string())
+    if len(words):
+        sent = documents.sparkSession.sparkContext.broadcast(Vocabulary(words))
+        numbered = written(texts.mapInArrow(lambda batches: sent.value.encoded(batches), "lang string, symbols binary"), "phrase-symbols")
+        for _ in range(2, most_words + 1):
+            levels.append(_longer(numbered, levels[-1], words, min_count, shard_phrases))
+        discard(numbered)
     known, found = levels[0], levels[0].where(F.lit(False))
     for level in levels[1:]:
         known, found = known.unionAll(level), found.unionAll(level)

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -80,6 +81,20 @@ def test_trie_holds_its_sequences_alone():
     assert len(set(trie.final)) == len(sequences)
 
 
+def test_a_trie_of_many_words_is_built_in_seconds():
+    """The work of placing children grows with their number, not with the square of the vocabulary."""
+    rng = np.random.default_rng(7)
+    n_words, words = 300_000, (rng.pareto(0.9, (200_000, 2)) * 40).astype(np.int64) % 300_000
+    sequences = np.unique(np.column_stack((rng.integers(n_words + 1, n_words + 5, len(words)), words)), axis=0)
+    began = time.monotonic()
+    trie = phrases.Trie(sequences, n_words, 4)
+    assert time.monotonic() - began < 20
+    state = np.ones(len(sequences), np.int64)
+    for symbols in sequences.T:
+        state = trie.step(state, symbols)
+    assert (state == trie.final).all() and len(np.unique(state)) == len(sequences) and state.min() > 1
+
+
 def test_counts_of_a_task_are_sent_on_in_parts(spark, monkeypatch):
     monkeypatch.setattr(phrases, "HELD", 3)
     monkeypatch.setattr(phrases, "BYTES", 50)
