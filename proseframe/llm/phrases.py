@@ -20,8 +20,8 @@ _ENDS = np.isin(np.arange(256), list(PIECE_ENDS))
 _SEPARATOR = _ENDS | np.isin(np.arange(256), list(BLANKS))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-#: Bytes of text that are worked on at once, and rows of counts that a task holds before it sends them on.
-BYTES, HELD = 4 << 20, 1 << 20
+#: Bytes of text and symbols that are worked on at once, and rows of counts that a task holds before it sends them on.
+BYTES, SYMBOLS, HELD = 2 << 20, 1 << 18, 1 << 20
 #: Parts in which a language's phrases are ranked before their best are ranked together.
 RANK_PARTS = 16
 
@@ -34,7 +34,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.StringArray, np.nd
     np.cumsum(ends - starts, out=bounds[1:])
     found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(packed))
     row = np.searchsorted(offsets, starts, "right") - 1
-    piece = np.concatenate(([0], np.cumsum(_ENDS[data])))[starts]
+    piece = np.cumsum(_ENDS[data], dtype=np.int32)[starts]
     first = np.ones(len(starts), bool)
     first[1:] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
     return found, row, first
@@ -62,6 +62,13 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from held.pop().to_batches()
     if held:
         yield from summed().to_batches()
+        held.clear()
+    _release()
+
+
+def _release() -> None:
+    """Give back what Arrow keeps for later: the worker lives on, beside others, for the stages that follow."""
+    pa.default_memory_pool().release_unused()
 
 
 class Vocabulary:
@@ -83,16 +90,17 @@ class Vocabulary:
                 np.cumsum(np.bincount(row, minlength=len(part)) + np.bincount(row[first], minlength=len(part)), out=ends[1:])
                 held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(4 * ends), pa.py_buffer(flat)])
                 yield pa.record_batch({"lang": part.column("lang").cast(pa.string()), "symbols": held.cast(pa.binary())})
+        _release()
 
 
 def _sequences(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(langs, symbols, number of symbols of each row) of parts of a batch of encoded texts, with about HELD symbols each."""
+    """(langs, symbols, number of symbols of each row) of parts of a batch of encoded texts, with about SYMBOLS symbols each."""
     held = batch.column("symbols").cast(pa.large_binary())
     ends = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1] // 4
     data = np.frombuffer(held.buffers()[2], np.int32) if held.buffers()[2] is not None else np.zeros(0, np.int32)
     at = 0
     while at < len(held):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + HELD, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SYMBOLS, "right")) - 1)
         yield batch.column("lang").slice(at, to - at), data[ends[at] : ends[to]], np.diff(ends[at : to + 1])
         at = to
 
@@ -251,6 +259,7 @@ def _counted(texts: DataFrame, left: pa.Table, right: pa.Table, words: pa.String
         if codes:
             codes, counts = _tally(codes, counts)
             yield pa.record_batch({"code": codes, "n": counts})
+        _release()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, phrase, last = names.value
