@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -55,12 +56,16 @@ class Rewrite:
         """What a match is by itself, without what stands before it."""
         return dataclasses.replace(self, behind="").plain
 
+    @property
+    def needs(self) -> str | tuple[str, ...]:
+        """What stands in every text with a match: `holds`, or literals of the pattern."""
+        return self.holds or tuple(needed_literals(self.pattern) or ())
+
     def may_stand(self, folded: Column) -> Column:
-        """Whether a text, given in lower case, holds what every match holds; true where no such strings are known."""
-        if self.holds:
-            return folded.rlike(self.holds)
-        literals = needed_literals(self.pattern)
-        return holds_any(folded, literals) if literals else F.lit(True)
+        """Whether a text, given in lower case, holds what every match needs; true where that is not known."""
+        if isinstance(self.needs, str):
+            return folded.rlike(self.needs)
+        return holds_any(folded, self.needs) if self.needs else F.lit(True)
 
 
 def cut(pattern: str, noun: bool = False) -> Rewrite:
@@ -233,7 +238,8 @@ def applied(text: Column, rewrites: Sequence[Rewrite]) -> Column:
 
     def patterns(text: Column) -> Column:
         """Those of the rewrites that may stand in a text, as one; the empty string if none may."""
-        return S.let(F.lower(text), lambda low: F.concat_ws("|", *(F.when(r.may_stand(low), F.lit(r.plain)) for r in rewrites)))
+        alike = [list(g) for _, g in itertools.groupby(rewrites, lambda r: r.needs)]
+        return S.let(F.lower(text), lambda low: F.concat_ws("|", *(F.when(g[0].may_stand(low), F.lit("|".join(r.plain for r in g))) for g in alike)))
 
     # texts that hold the marks themselves are left as they are
     marks = lambda t: F.contains(t, F.lit(GUARDED)) | F.contains(t, F.lit(MATCH))

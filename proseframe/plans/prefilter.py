@@ -12,6 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Words that stand in most texts, so that it says little that one of them does.
+COMMON = frozenset({"and", "for", "not", "that", "the", "this", "was", "with"})
+
+
 def needed_literals(pattern: str, shortest: int = 2, most: int = 64) -> list[str] | None:
     """Lower-case strings of which every match holds at least one; None if there are no such strings.
 
@@ -41,7 +45,7 @@ def needed_literals(pattern: str, shortest: int = 2, most: int = 64) -> list[str
             elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] > 0:
                 options.append(of(list(arg[2])))
         fit = [o for o in options if o and len(o) <= most and min(map(len, o)) >= shortest]
-        return max(fit, key=lambda o: (min(map(len, o)), -len(o)), default=None)
+        return max(fit, key=lambda o: (min(map(len, o)), -len(o), COMMON.isdisjoint(o)), default=None)
 
     return of(list(tree))
 
@@ -55,5 +59,5 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def holds_any(folded: Column, literals: Sequence[str]) -> Column:
-    """Whether a text in lower case holds one of the strings."""
-    return functools.reduce(lambda a, b: a | b, [F.contains(folded, F.lit(x)) for x in literals])
+    """Whether a text in lower case holds one of the strings; short ones, the likelier to stand there, are looked for first."""
+    return functools.reduce(lambda a, b: a | b, [F.contains(folded, F.lit(x)) for x in sorted(literals, key=len)])
